@@ -21,3 +21,16 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS c
        d.doc_id = coalesce(c.root, d.doc_id) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id
 """
+
+SUBSTRINGS = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+dup AS (SELECT doc_id, i FROM win JOIN (SELECT h, min(doc_id) AS m FROM win GROUP BY h) USING (h) WHERE doc_id > m),
+cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM dup),
+one AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM one ANTI JOIN cov USING (doc_id, k)
+         GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

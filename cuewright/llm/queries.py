@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .near_dup import near_duplicates
+from .substring import remove_repeats
 from .tables import table
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_substring_dedup": oracles.SUBSTRINGS,
     "op8_minhash_near_dedup": oracles.NEAR_DEDUP,
 }
