@@ -34,3 +34,34 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FRO
 SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+MIXING = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                  substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 9) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
+      FROM s),
+r AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER before, 0))::DOUBLE
+                / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
+      FROM w WINDOW before AS (ORDER BY 2.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT coalesce(min_by(level, 2.0 * source_size / weight) FILTER (level * weight <= 2 * source_size), 0) AS level FROM r),
+t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * l.level) AS target FROM w, l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM t),
+e AS (SELECT source, h, sum(size) AS s FROM d GROUP BY source, h),
+u AS (SELECT source, h, s, sum(s) OVER (PARTITION BY source ORDER BY h) AS upto FROM e),
+b AS (SELECT u.source, min_by(u.h, u.h) AS cut, min_by(u.s, u.h) AS s, min_by(u.upto, u.h) AS upto, any_value(rest) AS rest
+      FROM u JOIN (SELECT source, target - passes * source_size AS rest FROM p) q ON u.source IS NOT DISTINCT FROM q.source
+      WHERE upto > rest GROUP BY u.source)
+SELECT d.doc_id, d.source, d.size, p.source_size, p.target,
+       (d.size * (p.passes + CASE WHEN d.h < b.cut OR d.h = b.cut AND b.upto - b.rest < b.rest - (b.upto - b.s) THEN 1 ELSE 0 END))::BIGINT
+         AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
+"""
+
+WARC = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (h)
+"""

@@ -5,25 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .shards import kd_shards
 from .substring import remove_repeats
 from .tables import table
+from .warc import archive_round_trip
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_mixing": op5_mixing,
+    "op7_warc": op7_warc,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLE_SQL = {
     "op4_substring_dedup": oracles.SUBSTRINGS,
+    "op5_mixing": oracles.MIXING,
+    "op7_warc": oracles.WARC,
     "op8_minhash_near_dedup": oracles.NEAR_DEDUP,
 }
