@@ -25,7 +25,9 @@ from .tables import checkpointed, small
 SHINGLE_WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-BAND_ROWS, BANDS = 4, 36
+BAND_ROWS, BANDS = 6, 70
+#: Positions of the signature that the sequential test may look at.
+COMPARED = 144
 #: Chance that a pair at the threshold shares no band, and chance at which the sequential test gives a pair up.
 MISS = 1e-6
 BATCH = 16
@@ -34,7 +36,8 @@ _RNG = np.random.default_rng(8)
 _XOR = _RNG.integers(1 << 32, size=BAND_ROWS * BANDS, dtype=np.uint32)
 _ODD = _RNG.integers(1 << 32, size=BAND_ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
 
-SIGNED = "doc_id long, seq_a long, seq_b long, n_shingles long, signature array<int>"
+MEMBERS = "doc_id long, seq_a long, seq_b long, n_shingles long"
+SIGNED = f"{MEMBERS}, signature array<int>, bands array<long>"
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray):
@@ -66,23 +69,31 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return least
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, last, data, offsets in W.chunked(batch):
-            rows = list(_sets(data, offsets))
-            signs = np.concatenate([signature(g) for _, _, g in rows]) if rows else np.zeros(0, np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [
+def _sign(with_signature: bool):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in W.chunked(batch):
+                rows = list(_sets(data, offsets))
+                columns = [
                     batch.column("doc_id").slice(first, last - first),
                     W.as_long(np.array([a for a, _, _ in rows], np.uint64)),
                     W.as_long(np.array([b for _, b, _ in rows], np.uint64)),
                     pa.array(np.array([len(g) for _, _, g in rows], np.int64)),
-                    pa.ListArray.from_arrays(
-                        np.arange(len(rows) + 1, dtype=np.int32) * len(_XOR), signs.view(np.int32)
-                    ),
-                ],
-                ["doc_id", "seq_a", "seq_b", "n_shingles", "signature"],
-            )
+                ]
+                names = ["doc_id", "seq_a", "seq_b", "n_shingles"]
+                if with_signature:
+                    signs = np.stack([signature(g) for _, _, g in rows])
+                    places = np.tile(np.arange(BANDS) * BAND_ROWS, len(rows)) + np.repeat(np.arange(len(rows)) * len(_XOR), BANDS)
+                    flat = np.ascontiguousarray(signs).reshape(-1).astype(np.uint64)
+                    bands = W.span_hashes(flat, places, places + BAND_ROWS, 5)
+                    bands = W.mix(bands + np.tile(np.arange(BANDS, dtype=np.uint64), len(rows)))
+                    kept = np.ascontiguousarray(signs[:, :COMPARED]).reshape(-1).view(np.int32)
+                    for values, width in ((kept, COMPARED), (bands.view(np.int64), BANDS)):
+                        columns.append(pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * width, values))
+                    names += ["signature", "bands"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return sign
 
 
 def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
@@ -100,12 +111,12 @@ def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    need = {n: least_matches(n) for n in range(BATCH, len(_XOR) + 1, BATCH)}
+    need = {n: least_matches(n) for n in range(BATCH, COMPARED + 1, BATCH)}
     for batch in batches:
         rows = batch.num_rows
         one, two = (batch.column(c).flatten().to_numpy().reshape(rows, -1) for c in ("sig_a", "sig_b"))
         open_, matches = np.arange(rows), np.zeros(rows, np.int64)
-        for n in range(BATCH, len(_XOR) + 1, BATCH):
+        for n in range(BATCH, COMPARED + 1, BATCH):
             part = slice(n - BATCH, n)
             matches[open_] += (one[open_, part] == two[open_, part]).sum(axis=1)
             open_ = open_[matches[open_] >= need[n]]
@@ -134,12 +145,12 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
 
-def _links(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that the sequential test keeps and the full sets confirm."""
     side = lambda df, one, value, name: df.select(F.col("doc_id").alias(one), F.col(value).alias(name))
     kept = (
-        pairs.join(side(signed, "a", "signature", "sig_a"), "a")
-        .join(side(signed, "b", "signature", "sig_b"), "b")
+        pairs.join(side(signs, "a", "signature", "sig_a"), "a")
+        .join(side(signs, "b", "signature", "sig_b"), "b")
         .select("a", "b", "sig_a", "sig_b")
         .mapInArrow(_prune, "a long, b long")
     )
@@ -182,19 +193,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows each get their row; a null doc_id stays null, is linked with nothing and kept. Other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = texts.mapInArrow(_sign, SIGNED).persist(StorageLevel.DISK_ONLY)
+    members = texts.mapInArrow(_sign(False), MEMBERS)
     classes = (
-        signed.filter("n_shingles > 0 and doc_id is not null")
+        texts.mapInArrow(_sign(True), SIGNED)
+        .filter("n_shingles > 0 and doc_id is not null")
         .groupBy("seq_a", "seq_b")
-        .agg(F.min(F.struct("doc_id", "signature")).alias("least"), F.count("*").alias("copies"))
-        .select("seq_a", "seq_b", "copies", "least.doc_id", "least.signature")
+        .agg(F.min(F.struct("doc_id", "signature", "bands")).alias("least"), F.count("*").alias("copies"))
+        .select("seq_a", "seq_b", "copies", "least.doc_id", "least.signature", "least.bands")
         .persist(StorageLevel.DISK_ONLY)
     )
-    band = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda i: F.xxhash64(i, F.slice("signature", i * BAND_ROWS + 1, F.lit(BAND_ROWS))),
-    )
-    bands = classes.select("doc_id", F.explode(band).alias("band"))
+    bands = classes.select("doc_id", F.explode("bands").alias("band"))
     heads = bands.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("size")).filter("size > 1")
     met = checkpointed(bands.join(heads, "band").filter("doc_id > head").select("band", "head", "size", "doc_id"))
     signs = classes.select("doc_id", "signature")
@@ -219,7 +227,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         roots = checkpointed(components(links.union(_links(more, signs, texts))))
 
     heads = classes.filter("copies > 1").select("seq_a", "seq_b", F.col("doc_id").alias("class_id"))
-    rows = signed.select("doc_id", "seq_a", "seq_b", "n_shingles").join(heads, ["seq_a", "seq_b"], "left")
+    rows = members.join(heads, ["seq_a", "seq_b"], "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
     rows = rows.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")))
     out = rows.join(roots, rows.class_id == roots.node, "left")
