@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .language import identify
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .neighbours import nearest
+from .pii import personal_data
+from .quality import quality
 from .shards import kd_shards
 from .substring import remove_repeats
 from .tables import table
 from .warc import archive_round_trip
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -21,6 +33,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality(table(spark, sf_dir, "documents")).select(columns)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -33,15 +50,24 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing": op5_mixing,
+    "op6_quality_rules": op6_quality_rules,
     "op7_warc": op7_warc,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_sharding": op9_sharding,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL = {
+    "op3_nearest_neighbours": oracles.NEAREST,
     "op4_substring_dedup": oracles.SUBSTRINGS,
     "op5_mixing": oracles.MIXING,
     "op7_warc": oracles.WARC,
