@@ -12,11 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import checkpointed
+from .tables import checkpointed, small
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
@@ -69,26 +69,26 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
     return checkpointed(sources.select(*KEY, "source_size", goal.alias("target")))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, text, source).
+def _digits(doc_id: Column, seed: str) -> list[Column]:
+    """The hexadecimal parts of a document's hash."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    return [F.substring(digest, 1 + k * DIGITS, DIGITS).alias(f"d{k}") for k in range(LEVELS)]
 
-    Size: words of the text; null or empty: 0, and such a row takes 0. A null source is a source of its own. Order in
-    a source: a hash of doc_id, so rows that repeat a doc_id (or have none) are taken or left together. Each source's
-    sum of taken is as near to its target as whole documents in hash order allow. Other columns are ignored.
-    """
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(_sizes, "doc_id long, source string, size long")
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+
+def _source_key(source: Column) -> list[Column]:
+    return [source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source_key")]
+
+
+def _sized(docs: DataFrame, seed: str) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    rows = rows.mapInArrow(_sizes, "doc_id long, source string, size long")
+    return rows.select("doc_id", "source", "size", *_source_key(F.col("source")), *_digits(F.col("doc_id"), seed)).persist(StorageLevel.DISK_ONLY)
+
+
+def thresholds(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """For each source: source_size, target, passes (times that all its documents are taken), and up to which hash (`cut`,
+    with its own bucket if with_last) they are taken once more."""
     digits = [f"d{k}" for k in range(LEVELS)]
-    sized = (
-        sized.withColumn("digest", digest)
-        .select(
-            "doc_id", "source", "size", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"),
-            *[F.substring("digest", 1 + k * DIGITS, DIGITS).alias(d) for k, d in enumerate(digits)],
-        )
-        .persist(StorageLevel.DISK_ONLY)
-    )
     goals = targets(sized, weights, share, cap)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     edge = goals.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
@@ -104,9 +104,33 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
         edge = checkpointed(edge.withColumn(digit, F.col(f"m.{digit}")).withColumn("last", F.col("m.s")).drop("m"))
     # The last bucket goes with those below it if that comes nearer to the budget.
     edge = edge.withColumn("with_last", F.expr("below + last - rest < rest - below"))
-    cut = F.concat(*digits)
-    edge = edge.select(*KEY, "source_size", "target", "passes", cut.alias("cut"), "with_last")
-    rows = sized.withColumn("place", F.concat(*digits)).join(edge, KEY)
-    more = F.coalesce((F.col("place") < F.col("cut")) | ((F.col("place") == F.col("cut")) & F.col("with_last")), F.lit(False))
-    taken = F.col("size") * (F.col("passes") + more.cast("long"))
+    return small(edge.select(*KEY, "source_size", "target", "passes", F.concat(*digits).alias("cut"), "with_last"))
+
+
+def _copies(place: Column) -> Column:
+    more = (place < F.col("cut")) | ((place == F.col("cut")) & F.col("with_last"))
+    return F.col("passes") + F.coalesce(more, F.lit(False)).cast("long")
+
+
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, text, source).
+
+    Size: words of the text; null or empty: 0, and such a row takes 0. A null source is a source of its own. Order in
+    a source: a hash of doc_id, so rows that repeat a doc_id (or have none) are taken or left together. Each source's
+    sum of taken is as near to its target as whole documents in hash order allow. Other columns are ignored.
+    """
+    sized = _sized(docs, seed)
+    rows = sized.join(thresholds(sized, weights, share, cap), KEY)
+    taken = F.col("size") * _copies(F.concat(*[f"d{k}" for k in range(LEVELS)]))
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def apply_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """The rows of docs that the mix takes, with all columns, a row for each time that it takes them."""
+    edge = thresholds(_sized(docs, seed), weights, share, cap).select(*KEY, "passes", "cut", "with_last")
+    edge = edge.select(F.struct(*KEY).alias("mix_key"), F.struct("passes", "cut", "with_last").alias("mix_edge"))
+    place = F.concat(*_digits(F.col("doc_id").cast("long"), seed))
+    rows = docs.select(F.struct("*").alias("mix_row"), F.struct(*_source_key(F.col("source").cast("string"))).alias("mix_key"), place.alias("mix_place"))
+    rows = rows.join(edge, "mix_key").select("mix_row", "mix_place", "mix_edge.*")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.when(_copies(F.col("mix_place")) > 0, _copies(F.col("mix_place")))))
+    return rows.select("mix_row", times.alias("time")).select("mix_row.*")

@@ -9,6 +9,7 @@ from .language import identify
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .neighbours import nearest
+from .pieces import encoding_digests
 from .pii import personal_data
 from .quality import quality
 from .shards import kd_shards
@@ -21,6 +22,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +61,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing": op5_mixing,
