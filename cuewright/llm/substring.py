@@ -6,7 +6,7 @@ symbol's side is a bit of its hash, so names are global: equal word sequences ge
 their ends, in every task and without a table of names. With each symbol goes the range of words that its existence
 depends on. A window of words that holds such a range whole holds that symbol wherever else the window occurs.
 
-Of the symbols whose ranges a window holds, the one of the least hash is its anchor. Spark gathers the anchors and
+Of the symbols whose ranges a window holds, the one of the least hash, over the words of its range, is its anchor. Spark gathers the anchors and
 finds those that several documents share; a window whose anchor one document has alone can't repeat elsewhere. Only
 windows with shared anchors (and windows that hold no whole range) are verified, by a hash of all their words.
 """
@@ -25,7 +25,7 @@ from . import words as W
 from .tables import BROADCAST_ROWS, checkpointed
 
 WINDOW = 50
-ROUNDS = 3
+ROUNDS = 4
 KEY = ["doc_id", "text_key"]
 ANCHORS = "symbol long, doc_id long, text_key long, first int, last int"
 
@@ -87,14 +87,17 @@ def window_anchors(hashes: np.ndarray, first_word: np.ndarray, width: int = WIND
     k = np.searchsorted(hi, starts + width, "right")
     size = k - j
     has = size > 0
-    least = [sym]
+    # A symbol goes by all the words that it depends on; those that depend on an end of a document are in no window.
+    whole = (lo >= first_word[doc]) & (hi <= first_word[doc + 1])
+    names = np.where(whole, W.span_hashes(hashes, np.where(whole, lo, 0), np.where(whole, hi, 0), 5) ^ W.mix(sym), sym)
+    least = [names]
     for step in (1 << i for i in range(int(max(size.max(), 1)).bit_length() - 1)):
         row = least[-1].copy()
         np.minimum(row[:-step], least[-1][step:], out=row[:-step])
         least.append(row)
     least = np.stack(least)
     level = np.where(has, np.frexp(np.maximum(size, 1).astype(float))[1] - 1, 0)
-    top = len(sym) - 1
+    top = len(names) - 1
     anchors = np.minimum(least[level, np.minimum(j, top)], least[level, np.clip(k - (1 << level), 0, top)])
     return starts, np.where(has, anchors, np.uint64(0)), has
 
