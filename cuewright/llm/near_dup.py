@@ -2,9 +2,10 @@
 
 Documents with one word sequence become a class first, so copies of any number cost one row each. Classes get
 min-hash signatures; classes that share a band are candidates. In a band's bucket every class is compared with the
-bucket's smallest one, not with every other: where that settles that a bucket is one component, no further pair of
-it can change anything. Only classes of other components of a bucket are then paired with the rest of it. A
-candidate pair's signatures are compared batch by batch; the pair is dropped as soon as the posterior probability
+bucket's smallest one, its head, not with every other: where that settles that all that a head has met are one component, no further pair of
+them can change anything. Elsewhere the classes outside of the largest component are compared with all others that the head has met, packed
+in blocks, and a block tells of one link at most between a class and a component.
+A candidate pair's signatures are compared batch by batch; the pair is dropped as soon as the posterior probability
 that its similarity reaches the threshold falls under `miss`. Survivors are compared on their full shingle sets.
 """
 
@@ -25,12 +26,14 @@ from .tables import checkpointed, small
 SHINGLE_WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-BAND_ROWS, BANDS = 6, 70
+BAND_ROWS, BANDS = 5, 50
 #: Positions of the signature that the sequential test may look at.
 COMPARED = 144
 #: Chance that a pair at the threshold shares no band, and chance at which the sequential test gives a pair up.
 MISS = 1e-6
 BATCH = 16
+#: Documents, and bytes of text, that are packed into one row.
+PACK_ROWS, PACK_BYTES = 256, 1 << 20
 
 _RNG = np.random.default_rng(8)
 _XOR = _RNG.integers(1 << 32, size=BAND_ROWS * BANDS, dtype=np.uint32)
@@ -110,60 +113,120 @@ def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
     return n
 
 
+def _open(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Numbers of the rows of two signature tables that the sequential test does not give up."""
+    open_, matches = np.arange(len(one)), np.zeros(len(one), np.int64)
+    for n in range(BATCH, COMPARED + 1, BATCH):
+        part = slice(n - BATCH, n)
+        matches[open_] += (one[open_, part] == two[open_, part]).sum(axis=1)
+        open_ = open_[matches[open_] >= _NEED[n]]
+    return open_
+
+
+_NEED = {n: least_matches(n) for n in range(BATCH, COMPARED + 1, BATCH)}
+
+
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    need = {n: least_matches(n) for n in range(BATCH, COMPARED + 1, BATCH)}
     for batch in batches:
-        rows = batch.num_rows
-        one, two = (batch.column(c).flatten().to_numpy().reshape(rows, -1) for c in ("sig_a", "sig_b"))
-        open_, matches = np.arange(rows), np.zeros(rows, np.int64)
-        for n in range(BATCH, COMPARED + 1, BATCH):
-            part = slice(n - BATCH, n)
-            matches[open_] += (one[open_, part] == two[open_, part]).sum(axis=1)
-            open_ = open_[matches[open_] >= need[n]]
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(open_)) for c in ("a", "b")], ["a", "b"])
+        one, two = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+        kept = pa.array(_open(one, two))
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(kept) for c in ("a", "b")], ["a", "b"])
+
+
+def is_link(both, size_a, size_b):
+    return (both > 0) & (100 * both >= PERCENT * (size_a + size_b - both))
+
+
+def _grams(column: pa.Array) -> list[np.ndarray]:
+    """Shingle sets of a column of texts."""
+    data, offsets = W.text_bytes(column)
+    out = []
+    for first, last in W.row_chunks(offsets):
+        at = offsets[first : last + 1]
+        out += [g for _, _, g in _sets(data[at[0] : at[-1]], at - at[0])]
+    return out
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: tuple = (None, None)
     for batch in batches:
-        ids = [batch.column(c).to_pylist() for c in ("a", "b")]
-        texts = [W.text_bytes(batch.column(c)) for c in ("text_a", "text_b")]
-        keep = []
+        for first, last, _, _ in W.chunked(batch, "text_b"):
+            part = batch.slice(first, last - first)
+            # Rows of one a lie together, so its text is cut up once.
+            a = part.column("a").to_numpy()
+            opens = np.append(True, a[1:] != a[:-1])
+            heads = _grams(part.column("text_a").take(pa.array(np.flatnonzero(opens))))
+            which, others = np.cumsum(opens) - 1, _grams(part.column("text_b"))
+            keep = []
+            for i, own in enumerate(others):
+                head = heads[which[i]]
+                if is_link(len(np.intersect1d(head, own, assume_unique=True)), len(head), len(own)):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
+
+
+def block_links(one, two) -> list[tuple[int, int]]:
+    """Links between the classes of two blocks (ids, roots, signatures, shingle sets): one for each class of the first and
+    component of the second that has any."""
+    ids, roots, signs, grams = two
+    sizes = np.array([len(g) for g in grams])
+    member = np.repeat(np.arange(len(grams)), sizes)
+    flat = np.concatenate(grams)
+    order = np.argsort(flat, kind="stable")
+    flat, member = flat[order], member[order]
+    out = []
+    for x, root, sign, own in zip(*one, strict=True):
+        other = np.flatnonzero(roots != root)
+        other = other[_open(np.broadcast_to(sign, (len(other), len(sign))), signs[other])]
+        if not len(other):
+            continue
+        low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+        n = high - low
+        at = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
+        both = np.bincount(member[at], minlength=len(ids))
+        good = other[is_link(both[other], len(own), sizes[other])]
+        for k in np.unique(roots[good], return_index=True)[1]:
+            out.append((int(x), int(ids[good[k]])))
+    return out
+
+
+def _unpack(rows: pa.Array):
+    values = rows.values
+    signs = values.field("signature").flatten().to_numpy().reshape(len(values), -1)
+    return values.field("doc_id").to_numpy(), values.field("root").to_numpy(), signs, _grams(values.field("text"))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         for i in range(batch.num_rows):
-            grams = []
-            for side in (0, 1):
-                if side == 0 and last[0] == ids[0][i]:
-                    grams.append(last[1])
-                    continue
-                data, at = texts[side]
-                raw = data[at[i] : at[i + 1]]
-                grams.append(next(_sets(raw, np.array([0, len(raw)])))[2])
-            last = (ids[0][i], grams[0])
-            both = len(np.intersect1d(*grams, assume_unique=True))
-            if both and 100 * both >= PERCENT * (len(grams[0]) + len(grams[1]) - both):
-                keep.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
+            found = block_links(_unpack(batch.column("one")[i]), _unpack(batch.column("two")[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """The rows (head, doc_id, root, signature, text) of each head in blocks of PACK_ROWS and PACK_BYTES or so."""
+    sizes = rows.groupBy("head").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    parts = sizes.select("head", F.ceil(F.greatest(F.col("n") / PACK_ROWS, F.col("bytes") / PACK_BYTES)).alias("parts"))
+    part = F.pmod(F.xxhash64("doc_id"), F.greatest("parts", F.lit(1)))
+    packs = rows.join(parts, "head").groupBy("head", part.alias("part"))
+    return packs.agg(F.collect_list(F.struct("doc_id", "root", "signature", "text")).alias(name)).drop("part")
+
+
+def _side(df: DataFrame, one: str, value: str, name: str) -> DataFrame:
+    return df.select(F.col("doc_id").alias(one), F.col(value).alias(name))
+
+
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of those ids, each once."""
+    return texts.join(small(ids.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def _links(pairs: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that the sequential test keeps and the full sets confirm."""
-    side = lambda df, one, value, name: df.select(F.col("doc_id").alias(one), F.col(value).alias(name))
-    kept = (
-        pairs.join(side(signs, "a", "signature", "sig_a"), "a")
-        .join(side(signs, "b", "signature", "sig_b"), "b")
-        .select("a", "b", "sig_a", "sig_b")
-        .mapInArrow(_prune, "a long, b long")
-    )
-    kept = checkpointed(kept)
-    ids = small(kept.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    wanted = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    found = (
-        kept.join(side(wanted, "a", "text", "text_a"), "a")
-        .join(side(wanted, "b", "text", "text_b"), "b")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(_confirm, "a long, b long")
-    )
-    return checkpointed(found)
+    kept = pairs.join(_side(signs, "a", "signature", "sig_a"), "a").join(_side(signs, "b", "signature", "sig_b"), "b")
+    kept = checkpointed(kept.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune, "a long, b long"))
+    wanted = _texts_of(texts, kept.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    found = kept.join(_side(wanted, "b", "text", "text_b"), "b").join(_side(wanted, "a", "text", "text_a"), "a")
+    return checkpointed(found.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -204,27 +267,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     bands = classes.select("doc_id", F.explode("bands").alias("band"))
     heads = bands.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("size")).filter("size > 1")
-    met = checkpointed(bands.join(heads, "band").filter("doc_id > head").select("band", "head", "size", "doc_id"))
+    met = checkpointed(bands.join(heads, "band").filter("doc_id > head").select("head", "doc_id").distinct())
     signs = classes.select("doc_id", "signature")
 
-    links = _links(met.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), signs, texts)
+    links = _links(met.select(F.col("head").alias("a"), F.col("doc_id").alias("b")), signs, texts)
     roots = checkpointed(components(links))
 
-    # Buckets that hold more than one component, without their heads, which have met all others already.
-    placed = met.filter("size > 2").join(roots, met.doc_id == roots.node, "left")
-    placed = placed.select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    shares = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("band").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = checkpointed(placed.join(mixed.select("band", "main"), "band"))
-    rest = mixed.filter("root <> main").select("band", F.col("doc_id").alias("x"), F.col("root").alias("rx"))
-    more = (
-        rest.join(mixed, "band")
-        .filter("rx <> root and (root = main or x < doc_id)")
-        .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
-        .distinct()
-    )
+    # Heads that have met more than one component, each with what it met.
+    placed = met.join(roots, met.doc_id == roots.node, "left").select("head", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    shares = placed.groupBy("head", "root").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("head").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = checkpointed(placed.join(mixed.select("head", "main"), "head"))
     if not mixed.isEmpty():
-        roots = checkpointed(components(links.union(_links(more, signs, texts))))
+        full = mixed.join(signs, "doc_id").join(_texts_of(texts, mixed), "doc_id")
+        packs = _packed(full.filter("root <> main"), "one").join(_packed(full, "two"), "head").select("one", "two")
+        roots = checkpointed(components(links.union(packs.mapInArrow(_meet, "a long, b long"))))
 
     heads = classes.filter("copies > 1").select("seq_a", "seq_b", F.col("doc_id").alias("class_id"))
     rows = members.join(heads, ["seq_a", "seq_b"], "left")
