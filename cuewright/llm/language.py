@@ -25,7 +25,7 @@ DIMENSIONS = 1 << 13
 ROWS_PER_LANGUAGE, LANGUAGES = 400, 64
 LANDMARKS = 256
 RIDGE = 1e-2
-BATCH_BYTES = 1 << 18
+BATCH_BYTES, BATCH_ROWS = 1 << 18, 256
 UNKNOWN = "und"
 
 
@@ -98,7 +98,7 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Presence rows as bits, with their labels."""
     for batch in batches:
-        for first, last, data, offsets in W.chunked(batch, limit=BATCH_BYTES):
+        for first, last, data, offsets in W.chunked(batch, limit=BATCH_BYTES, most=BATCH_ROWS):
             bits = np.packbits(presence(data, offsets), axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("lang").slice(first, last - first), pa.array([r.tobytes() for r in bits], pa.binary())], ["lang", "bits"]
@@ -124,7 +124,7 @@ def train(labelled: DataFrame) -> Model:
 def _predict(model: Model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in W.chunked(batch, limit=BATCH_BYTES):
+            for first, last, data, offsets in W.chunked(batch, limit=BATCH_BYTES, most=BATCH_ROWS):
                 part = batch.slice(first, last - first)
                 letter = part.column("__has_letter").to_numpy(zero_copy_only=False).astype(bool)
                 if model.languages:

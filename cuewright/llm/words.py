@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 SEPARATORS = b" \t\n\v\f\r"
 _IS_SEPARATOR = np.isin(np.arange(256), list(SEPARATORS))
-#: Bytes of text that are handled at once; a longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text, and rows, that are handled at once; a longer text is handled alone.
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 4096
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -32,20 +32,20 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def row_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about that many bytes."""
+def row_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES, most: int = CHUNK_ROWS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about that many bytes, and at most so many rows."""
     first, rows = 0, len(offsets) - 1
     while first < rows:
         last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        last = min(max(last, first + 1), rows)
+        last = min(max(last, first + 1), first + most, rows)
         yield first, last
         first = last
 
 
-def chunked(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES):
+def chunked(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES, most: int = CHUNK_ROWS):
     """(first row, last row, bytes, offsets) for each chunk of a batch."""
     data, offsets = text_bytes(batch.column(column))
-    for first, last in row_chunks(offsets, limit):
+    for first, last in row_chunks(offsets, limit, most):
         at = offsets[first : last + 1]
         yield first, last, data[at[0] : at[-1]], at - at[0]
 
