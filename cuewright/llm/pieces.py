@@ -35,7 +35,7 @@ SPACE = "▁"
 SHARPNESS = 1.0
 CHUNK = 1 << 18
 #: Edges of kept lattices; the store starts anew beyond that.
-MOST_EDGES = 2_000_000
+MOST_EDGES = 1_000_000
 
 
 class Vocabulary:
@@ -378,40 +378,45 @@ def decode_pieces(ids: np.ndarray, vocab: Vocabulary) -> str:
     return raw[1:].decode("utf-8", "surrogatepass") if raw[:1] == b" " else raw.decode("utf-8", "surrogatepass")
 
 
-SAMPLED = "doc_id long, sample int, log_prob double, inclusion double, ids array<int>"
+SAMPLED = "doc_id long, sample int, n_pieces int, log_prob double, inclusion double, ids_sha256 string, round_trip boolean"
 
 
-def _encode(path: str, k: int):
+def _encode(path: str, k: int, with_ids: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
         for batch in batches:
             for first, last, _, _ in W.chunked(batch, limit=CHUNK):
                 part = batch.slice(first, last - first)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                keys = part.column("row_key").to_numpy().view(np.uint64)
-                found = sample_texts(texts, keys, path, k)
-                rows = pa.array(np.repeat(np.arange(len(texts)), [len(f) for f in found]))
-                flat = [s for f in found for s in f]
-                ids = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(s[0]) for s in flat])).astype(np.int32), np.concatenate([s[0] for s in flat] or [np.zeros(0)]).astype(np.int32))
-                extra = [c for c in part.schema.names if c not in ("doc_id", "text", "row_key")]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(rows), pa.array([n + 1 for f in found for n in range(len(f))], pa.int32()), pa.array([s[1] for s in flat], pa.float64()), pa.array([s[2] for s in flat], pa.float64()), ids, *[part.column(c).take(rows) for c in extra]],
-                    ["doc_id", "sample", "log_prob", "inclusion", "ids", *extra],
-                )
+                found = sample_texts(texts, part.column("row_key").to_numpy().view(np.uint64), path, k)
+                rows = [(i, n + 1, *s) for i, own in enumerate(found) for n, s in enumerate(own)]
+                ids = [s[2].astype(np.int32) for s in rows]
+                columns = [
+                    part.column("doc_id").take(pa.array([s[0] for s in rows], pa.int64())), pa.array([s[1] for s in rows], pa.int32()), pa.array([len(x) for x in ids], pa.int32()),
+                    pa.array([s[3] for s in rows], pa.float64()), pa.array([s[4] for s in rows], pa.float64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
+                    pa.array([decode_pieces(x.tolist(), vocab) == texts[s[0]] for s, x in zip(rows, ids, strict=True)], pa.bool_()),
+                ]
+                names = [x.split()[0] for x in SAMPLED.split(", ")]
+                if with_ids:
+                    ends = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.zeros(0, np.int32)])))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return encode
 
 
-def sample_encodings(docs: DataFrame, path: str = MODEL, k: int = SAMPLES, digest: bool = False) -> DataFrame:
-    """doc_id, sample (from 1), log_prob, inclusion, ids: at most k distinct segmentations of each row of docs (doc_id, text).
+def sample_encodings(docs: DataFrame, path: str = MODEL, k: int = SAMPLES, with_ids: bool = True) -> DataFrame:
+    """doc_id, sample (from 1), n_pieces, log_prob, inclusion, ids_sha256 (of the ids as 32-bit numbers), round_trip (the ids decode to the
+    text) and ids: at most k distinct segmentations of each row of docs (doc_id, text).
 
     A row's key is its doc_id (a null has a key of its own), so rows that repeat it get the same segmentations of the same
     text. A text with fewer segmentations has all of them, each with inclusion 1. Null or empty text: one without pieces.
-    Other columns are ignored. With `digest` comes text_sha256, of the text (null: empty).
+    Other columns are ignored.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    extra = [F.sha2(text.cast("binary"), 256).alias("text_sha256")] if digest else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long")).alias("row_key"), *extra)
-    return rows.mapInArrow(_encode(path, k), SAMPLED + ", text_sha256 string" * digest)
+    key = F.xxhash64(F.col("doc_id").cast("long")).alias("row_key")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key)
+    return rows.mapInArrow(_encode(path, k, with_ids), SAMPLED + ", ids array<int>" * with_ids)
 
 
 def _decode(path: str):
@@ -429,11 +434,3 @@ def decode_encodings(rows: DataFrame, path: str = MODEL) -> DataFrame:
     """The rows with the text that their ids stand for, as `decoded`."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(_decode(path), f"{schema}, decoded string")
-
-
-def encoding_digests(docs: DataFrame, path: str = MODEL, k: int = SAMPLES) -> DataFrame:
-    """doc_id, sample, n_pieces, log_prob, inclusion, ids_sha256, round_trip: each sampled segmentation, decoded again."""
-    rows = decode_encodings(sample_encodings(docs, path, k, digest=True), path)
-    ids = F.sha2(F.array_join("ids", ",").cast("binary"), 256)
-    same = F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")
-    return rows.select("doc_id", "sample", F.size("ids").alias("n_pieces"), "log_prob", "inclusion", ids.alias("ids_sha256"), same.alias("round_trip"))

@@ -9,7 +9,7 @@ from .language import identify
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .neighbours import nearest
-from .pieces import encoding_digests
+from .pieces import sample_encodings
 from .pii import personal_data
 from .quality import quality
 from .shards import kd_shards
@@ -23,7 +23,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding_digests(table(spark, sf_dir, "documents"))
+    return sample_encodings(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
