@@ -25,7 +25,7 @@ PROJECTED = 8
 SURE = 0.995
 #: The tree is fitted on at most so many vectors of each dimension, chosen by a hash, and has so many cells at most.
 SAMPLE, CELLS, CELL_ROWS = 20_000, 2048, 4096
-BLOCK_ROWS, QUERY_ROWS, VERIFIED_AT_ONCE = 1024, 256, 64
+BLOCK_ROWS, QUERY_ROWS, VERIFIED_AT_ONCE = 1024, 256, 128
 
 
 def chi_square(x: np.ndarray, m: int = PROJECTED) -> np.ndarray:
@@ -111,20 +111,24 @@ def search_block(query: np.ndarray, query_point: np.ndarray, own: int, bound: fl
     gap = ((points - query_point) ** 2).sum(axis=1)
     order = np.lexsort((ids, gap))
     order = order[ids[order] != own]
-    best_id, best = np.zeros(0, np.int64), np.zeros(0)
+    best = np.zeros(0, np.int64)
+    near = np.zeros(0)
     for i in range(0, len(order), VERIFIED_AT_ONCE):
         delta = gap[order[i]]
-        if delta > limit * bound**2 or (len(best) == k and delta >= limit * best[-1] ** 2):
+        if delta > limit * bound**2 or (len(best) == k and delta >= limit * near[-1] ** 2):
             break
         some = order[i : i + VERIFIED_AT_ONCE]
-        # One dimension after another, so that sums come out as in any other engine.
-        square = np.zeros(len(some))
-        for j in range(vectors.shape[1]):
-            square += (vectors[some, j] - query[j]) ** 2
-        best_id, best = np.append(best_id, ids[some]), np.append(best, np.sqrt(square))
-        rank = np.lexsort((best_id, best))[:k]
-        best_id, best = best_id[rank], best[rank]
-    return best_id, best
+        best = np.append(best, some)
+        near = np.append(near, np.sqrt(((vectors[some] - query) ** 2).sum(axis=1)))
+        rank = np.lexsort((ids[best], near))[:k]
+        best, near = best[rank], near[rank]
+    # Sums of one dimension after another, as in any other engine.
+    square = np.zeros(len(best))
+    for j in range(vectors.shape[1]):
+        square += (vectors[best, j] - query[j]) ** 2
+    exact = np.sqrt(square)
+    rank = np.lexsort((ids[best], exact))
+    return ids[best][rank], exact[rank]
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
