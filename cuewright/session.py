@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # GBK is not among the charsets that decode() takes by default.
     "spark.sql.legacy.javaCharsets": "true",
+    # decode() then replaces what it cannot read, which decode_text() takes as a sign of another charset.
+    "spark.sql.legacy.codingErrorAction": "true",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 

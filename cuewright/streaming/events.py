@@ -32,16 +32,16 @@ class _Dedup(StatefulProcessor):
         self.last = handle.getValueState("last", "at_us long")
         self.waiting = handle.getListState("waiting", "at_us long, window_us long, row string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
             for r in frame.itertuples(index=False):
                 self.waiting.appendValue((int(r.at_us), int(r.window_us), r.row))
-        mark = timers.getCurrentWatermarkInMs()
+        mark = timerValues.getCurrentWatermarkInMs()
         yield from self._pass(mark)
         self._wake(mark)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        mark = timers.getCurrentWatermarkInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
         yield from self._pass(mark)
         self._wake(mark)
 
