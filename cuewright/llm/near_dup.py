@@ -299,10 +299,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose document stands for its component; a repeated doc_id keeps one row with that id.
+    """The rows of docs, with all columns, whose document stands for its component; rows that repeat its doc_id stay too.
 
-    All columns stay. Rows with a null doc_id stay.
+    Rows with a null doc_id stay.
     """
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
-    return left
+    gone = small(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct())
+    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
