@@ -247,6 +247,15 @@ def group_batch_updates(events: DataFrame) -> DataFrame:
     return rows.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "event_type", "step_id"))).alias("updates"))
 
 
+def load_cached_status(steps: DataFrame, legacy: DataFrame) -> DataFrame:
+    """Per task the completed steps for a dashboard, from step rows or else from legacy rows (task_id, completed_steps); tasks without a
+    completed step have none."""
+    own = completed_steps(steps).filter(F.size("steps") > 0)
+    old = legacy.select("task_id", F.array_sort("completed_steps").alias("old")).filter(F.size("old") > 0)
+    rows = own.join(old, "task_id", "full_outer")
+    return rows.select("task_id", F.coalesce("steps", "old").alias("steps"), (F.size(F.coalesce("steps", "old")) * 100.0 / STEP_COUNT).alias("percent"))
+
+
 def merge_metadata(old: Column, new: Column) -> Column:
     """Maps as one, the right side wins; the session needs LAST_WIN."""
     return F.map_concat(F.coalesce(old, F.create_map().cast("map<string,string>")), F.coalesce(new, F.create_map().cast("map<string,string>")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,16 @@ def mux(t: Tables) -> DataFrame:
 STAGES = [clean_cues, requests, timeline, aligned_cues, speed, mux]
 
 
+def text_pipeline(rows: DataFrame, fn: Callable[[str], str], column: str = "text") -> DataFrame:
+    """Rows with a text column passed through a user's own function, in Arrow batches; nulls stay."""
+
+    @F.pandas_udf("string")
+    def own(texts: pd.Series) -> pd.Series:
+        return texts.map(fn, na_action="ignore")
+
+    return rows.withColumn(column, own(column))
+
+
 def run_stages(tables: Tables, stages: list[Stage] = STAGES) -> Tables:
     """All stages in order; a stage whose tables aren't there is an error that names them."""
     out = dict(tables)
