@@ -8,7 +8,8 @@ depends on. A window of words that holds such a range whole holds that symbol wh
 
 Of the symbols whose ranges a window holds, the one of the least hash, over the words of its range, is its anchor. Spark gathers the anchors and
 finds those that several documents share; a window whose anchor one document has alone can't repeat elsewhere. Only
-windows with shared anchors (and windows that hold no whole range) are verified, by a hash of all their words.
+windows with shared anchors (and windows that hold no whole range) are verified, by a hash of all their words. Of documents
+with one word sequence only the first takes part: all windows of the others repeat.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import BROADCAST_ROWS, checkpointed
+from .tables import BROADCAST_ROWS, checkpointed, small
 
 WINDOW = 50
 ROUNDS = 4
@@ -197,12 +198,49 @@ def _apply(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two hashes of the word sequence, and the number of words, of each document with a window."""
+    for batch in batches:
+        for row, _, data, offsets in W.chunked(batch):
+            start, end, first_word = W.word_spans(data, offsets)
+            hashes, words = W.word_hashes(data, start, end), np.diff(first_word)
+            rows = np.flatnonzero(words >= WINDOW)
+            pair = [W.as_long(W.span_hashes(hashes, first_word[:-1][rows], first_word[1:][rows], seed)) for seed in (1, 2)]
+            keys = [batch.column(k).take(pa.array(rows + row)) for k in KEY]
+            yield pa.RecordBatch.from_arrays([*keys, *pair, pa.array(words[rows].astype(np.int32))], [*KEY, "seq_a", "seq_b", "n"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of each row in order, those that touch as one."""
+    for batch in batches:
+        column = batch.column("ranges")
+        row = np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy())
+        first, last = (column.flatten().field(c).to_numpy() for c in ("first", "last"))
+        order = np.lexsort((first, row))
+        row, first, last = row[order], first[order].astype(np.int64), last[order].astype(np.int64)
+        # Ranges of a document do not lie within one another, so each ends behind the one before.
+        opens = np.ones(len(row), bool)
+        opens[1:] = (row[1:] != row[:-1]) | (first[1:] > last[:-1] + 1)
+        at = np.flatnonzero(opens)
+        ends = last[np.append(at[1:], len(row)) - 1]
+        values = pa.StructArray.from_arrays([pa.array(first[at], pa.int32()), pa.array(ends, pa.int32())], ["first", "last"])
+        cuts = np.searchsorted(row[at], np.arange(batch.num_rows + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in KEY], pa.ListArray.from_arrays(cuts, values)], [*KEY, "ranges"])
+
+
+RANGES = "doc_id long, text_key long, ranges array<struct<first:int,last:int>>"
+
+
 def _by_document(rows: DataFrame, first: Column, last: Column) -> DataFrame:
     """The ranges of each document. One document's ranges are as many as its words at most."""
     found = rows.groupBy(*KEY).agg(F.collect_list(F.struct(first.alias("first"), last.alias("last"))).alias("ranges"))
-    found = checkpointed(found)
-    held = found.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
-    return F.broadcast(found) if held <= BROADCAST_ROWS else found
+    return checkpointed(found.mapInArrow(_merge, RANGES))
+
+
+def _held(ranges: DataFrame) -> DataFrame:
+    """A hint to broadcast the ranges if they are few."""
+    held = ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
+    return F.broadcast(ranges) if held <= BROADCAST_ROWS else ranges
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -215,18 +253,31 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    ).withColumn("text_key", F.xxhash64("text"))
+    )
+    # A second key tells rows of one doc_id apart; it is 0 where that is not needed, which costs the shuffles nothing.
+    again = small(texts.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("again_id")))
+    texts = texts.join(again, texts.doc_id == again.again_id, "left")
+    texts = texts.select("doc_id", "text", F.when(F.col("again_id").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("text_key"))
     known = texts.filter("doc_id is not null")
-    anchors = known.mapInArrow(_anchors, ANCHORS)
+
+    sequences = known.mapInArrow(_sequences, "doc_id long, text_key long, seq_a long, seq_b long, n int")
+    first = sequences.groupBy("seq_a", "seq_b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    copies = sequences.join(first, ["seq_a", "seq_b"]).filter("doc_id > least").select(*KEY, "n").distinct()
+    copies = small(copies)
+    single = known.join(copies.select(*KEY), KEY, "left_anti")
+
+    anchors = single.mapInArrow(_anchors, ANCHORS)
     shared = anchors.filter("symbol is not null").groupBy("symbol").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     shared = shared.filter("a < b").select("symbol")
     flagged = anchors.join(shared, "symbol", "left_semi").union(anchors.filter("symbol is null"))
     ranges = _by_document(flagged, F.col("first"), F.col("last"))
 
-    windows = known.join(ranges, KEY).mapInArrow(_windows, "window long, doc_id long, text_key long, at int")
+    windows = single.join(_held(ranges), KEY).mapInArrow(_windows, "window long, doc_id long, text_key long, at int")
     least = windows.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
     repeats = windows.join(least.select("window", "a"), "window").filter("doc_id > a")
     removed = _by_document(repeats, F.col("at"), F.col("at"))
+    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") - WINDOW).alias("last")))
+    removed = removed.union(copies.select(*KEY, whole.alias("ranges")))
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return texts.join(removed, KEY, "left").mapInArrow(lambda batches: _apply(batches, with_text), schema)
+    return texts.join(_held(removed), KEY, "left").mapInArrow(lambda batches: _apply(batches, with_text), schema)
