@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import ALIGNMENT_DOCUMENT, STEP_STATUS, STEPS, SYNTHESIS_DOCUMENT, TASK_STATE
-
-_REFERENCE = (
-    "success boolean, reference_audio_segments array<struct<index:int,text:string,start_time:double,end_time:double,duration:double,file_path:string,"
-    "quality_score:double,sample_rate:int,audio_length:bigint,is_silence:boolean,replaced_with:int>>"
-)
+from ..model import ALIGNMENT_DOCUMENT, REFERENCE_DOCUMENT, STEP_STATUS, STEPS, SYNTHESIS_DOCUMENT, TASK_STATE
 
 
 def _segments(spark: SparkSession, path: str, schema: str, field: str) -> DataFrame:
@@ -21,7 +16,7 @@ def _segments(spark: SparkSession, path: str, schema: str, field: str) -> DataFr
 
 
 def read_reference_results(spark: SparkSession, path: str) -> DataFrame:
-    return _segments(spark, path, _REFERENCE, "reference_audio_segments")
+    return _segments(spark, path, REFERENCE_DOCUMENT, "reference_audio_segments")
 
 
 def read_synth_results(spark: SparkSession, path: str) -> DataFrame:
