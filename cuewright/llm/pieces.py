@@ -35,7 +35,7 @@ SPACE = "▁"
 SHARPNESS = 1.0
 CHUNK = 1 << 18
 #: Edges of kept lattices; the store starts anew beyond that.
-MOST_EDGES = 1_000_000
+MOST_EDGES = 5_000_000
 
 
 class Vocabulary:
@@ -132,13 +132,13 @@ class Lattices:
 
     def clear(self) -> None:
         self.root: dict[str, int] = {}
-        self.first, self.count, self.target, self.piece = (_Column(np.int64) for _ in range(4))
-        self.logq, self.below = _Column(np.float64), _Column(np.float64)
+        self.first, self.count, self.target, self.piece = (_Column(np.int32) for _ in range(4))
+        self.logq, self.below = _Column(np.float64), _Column(np.float32)
 
     def roots(self, units: list[str]) -> np.ndarray:
         if self.piece.size > MOST_EDGES:
             self.clear()
-        new = sorted(set(units).difference(self.root))
+        new = list(set(units).difference(self.root))
         plain = [u for u in new if self.vocab.covers(u)]
         if plain:
             self._build(plain)
@@ -324,7 +324,8 @@ def sample_texts(texts: list[str], keys: np.ndarray, path: str = MODEL, k: int =
             path_edges = np.concatenate([prefix, edges[a:b]])
             # What is left at a node has the score of a Gumbel of its mass, cut off at the score of the node.
             rest = -np.logaddexp(-score, np.log(waits[a:b]) - before - left[a:b])
-            best = np.argsort(-rest, kind="stable")[: k + 1 - turn]
+            most = k + 1 - turn
+            best = np.argpartition(-rest, most - 1)[:most] if len(rest) > most else np.arange(len(rest))
             for s in best.tolist():
                 if rest[s] > -inf:
                     unit = int(unit_of[a + s])
