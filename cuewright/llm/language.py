@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .tables import checkpointed
 
 ORDER = 3
 DIMENSIONS = 1 << 13
@@ -27,16 +29,16 @@ LANDMARKS = 256
 RIDGE = 1e-2
 BATCH_BYTES, BATCH_ROWS = 1 << 18, 256
 UNKNOWN = "und"
+#: What a text must be like to be of a language, see Evidence and gather_evidence().
+LOW, REACH, LEAST_DISTANCE, NOISE = 0.05, 2.0, 0.3, 3.0
 
 
-def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows x DIMENSIONS, true where a text has an n-gram of that place. Letter case does not count."""
-    rows = len(offsets) - 1
-    found = np.zeros((rows, DIMENSIONS), bool)
+def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order: the order, and the row, the place and the middle code point of all its n-grams. Letter case does not count."""
     text = [data[a:b].tobytes().decode().lower() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    lengths = np.array([len(t) for t in text])
+    lengths = np.array([len(t) for t in text], np.int64)
     points = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(rows) * DIMENSIONS, lengths)
+    row = np.repeat(np.arange(len(text)), lengths)
     end = np.repeat(np.cumsum(lengths), lengths)
     at = np.arange(len(points))
     h = np.zeros(len(points), np.uint32)
@@ -48,7 +50,14 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint32(15)
         place = ((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - DIMENSIONS.bit_length() + 1)).astype(np.int64)
         inside = at[:size] + n <= end[:size]
-        found.reshape(-1)[(row[:size] + place)[inside]] = True
+        yield n, row[:size][inside], place[inside], points[n // 2 : n // 2 + size][inside]
+
+
+def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows x DIMENSIONS, true where a text has an n-gram of that place."""
+    found = np.zeros((len(offsets) - 1, DIMENSIONS), bool)
+    for _, row, place, _ in grams(data, offsets):
+        found.reshape(-1)[row * DIMENSIONS + place] = True
     return found
 
 
@@ -105,8 +114,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(labelled: DataFrame) -> Model:
-    """A model of labelled texts (text, lang), from at most ROWS_PER_LANGUAGE of each of at most LANGUAGES languages.
+def sample(labelled: DataFrame) -> DataFrame:
+    """text, lang: at most ROWS_PER_LANGUAGE of each of at most LANGUAGES languages.
 
     The rows of a language are chosen by a hash of their text alone, each distinct text once, so the sample does not depend on how the table is dealt
     out. Rows with a null lang, or without a letter, are not learned from.
@@ -114,19 +123,110 @@ def train(labelled: DataFrame) -> Model:
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
     common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not common:
-        return fit(np.zeros((0, DIMENSIONS), np.float32), [])
+        return rows.limit(0)
     # A few times the rows that are wanted pass by their hash, so that hardly more than those are shuffled.
     share = {r["lang"]: min(1.0, 4 * ROWS_PER_LANGUAGE / r["count"]) for r in common}
     limit = F.create_map(*[F.lit(x) for c, s in share.items() for x in (c, int(s * (1 << 40)))])
     keyed = rows.withColumns({"h": F.pmod(F.xxhash64("text"), F.lit(1 << 40)), "h2": F.hash("text")})
     keyed = keyed.filter(F.col("h") <= F.element_at(limit, F.col("lang"))).dropDuplicates(["lang", "h", "h2"])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "h2"))
-    chosen = keyed.withColumn("place", place).filter(F.col("place") <= ROWS_PER_LANGUAGE).select("text", "lang")
+    return keyed.withColumn("place", place).filter(F.col("place") <= ROWS_PER_LANGUAGE).select("text", "lang")
+
+
+def train(chosen: DataFrame) -> Model:
+    """A model of the rows of sample()."""
     found = sorted((r["lang"], bytes(r["bits"])) for r in chosen.mapInArrow(_features, "lang string, bits binary").collect())
     bits = np.frombuffer(b"".join(b for _, b in found), np.uint8).reshape(len(found), DIMENSIONS // 8)
     return fit(unit(np.unpackbits(bits, axis=1)), [c for c, _ in found])
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
+def letter_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and places of all n-grams of the highest order around a letter."""
+    for n, row, place, middle in grams(data, offsets):
+        if n == ORDER:
+            good = _letters()[middle]
+            return row[good], place[good]
+    return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+@dataclass
+class Evidence:
+    """What the texts of each language are like, whatever other languages there are."""
+
+    #: languages x DIMENSIONS: log-probability of an n-gram around a letter.
+    logs: np.ndarray
+    #: For each language the least mean log-probability of a long text, and the deviation of a single n-gram.
+    least: np.ndarray
+    deviation: np.ndarray
+
+    def fits(self, data: np.ndarray, offsets: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Whether each row is like the texts of its language (a number). A text of n n-grams may miss the least mean by NOISE deviations of such a
+        mean; one without n-grams fits."""
+        row, place = letter_grams(data, offsets)
+        rows = len(offsets) - 1
+        n = np.maximum(np.bincount(row, minlength=rows), 1)
+        mean = np.bincount(row, self.logs[language[row], place], minlength=rows) / n
+        return mean >= self.least[language] - NOISE * self.deviation[language] / np.sqrt(n)
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names, number = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True)
+        sums = np.zeros((len(names), DIMENSIONS), np.int64)
+        for first, last, data, offsets in W.chunked(batch, limit=BATCH_BYTES, most=BATCH_ROWS):
+            row, place = letter_grams(data, offsets)
+            np.add.at(sums, (number[first:last][row], place), 1)
+        who, place = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(names[who].tolist(), pa.string()), pa.array(place), pa.array(sums[who, place])], ["lang", "place", "n"])
+
+
+def _log_probabilities(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts + 0.5) / (counts.sum(axis=-1, keepdims=True) + 0.5 * DIMENSIONS))
+
+
+def _learned_rows(sums, number: dict[str, int]):
+    """Mean and variance of the log-probabilities of each learned row's n-grams, as its language has them without that row."""
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for first, last, data, offsets in W.chunked(batch, limit=BATCH_BYTES, most=BATCH_ROWS):
+                row, place = letter_grams(data, offsets)
+                ends = np.searchsorted(row, np.arange(last - first + 1))
+                for c, a, b in zip(batch.column("lang").slice(first, last - first).to_pylist(), ends[:-1], ends[1:], strict=True):
+                    if a < b:
+                        logs = _log_probabilities(sums.value[number[c]] - np.bincount(place[a:b], minlength=DIMENSIONS))[place[a:b]]
+                        out.append((c, logs.mean(), logs.var()))
+            columns = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.float64(), pa.float64()), strict=True)], ["lang", "mean", "variance"])
+
+    return learned
+
+
+def gather_evidence(chosen: DataFrame, languages: list[str]) -> Evidence:
+    """From the rows of sample(). A language's least mean lies below the median of its own rows by REACH times the distance of their LOW quantile."""
+    number = {c: i for i, c in enumerate(languages)}
+    counts = chosen.mapInArrow(_gram_counts, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros((len(languages), DIMENSIONS), np.int64)
+    sums[[number[c] for c in counts["lang"].to_pylist()], counts["place"].to_numpy()] = counts["n"].to_numpy()
+    least, deviation = np.full(len(languages), -np.inf), np.zeros(len(languages))
+    shared = chosen.sparkSession.sparkContext.broadcast(sums)
+    own: dict[str, list] = {}
+    for r in chosen.mapInArrow(_learned_rows(shared, number), "lang string, mean double, variance double").collect():
+        own.setdefault(r["lang"], []).append((r["mean"], r["variance"]))
+    for c, found in own.items():
+        mean, variance = np.array(found).T
+        middle = np.median(mean)
+        least[number[c]] = middle - REACH * max(middle - np.quantile(mean, LOW), LEAST_DISTANCE)
+        deviation[number[c]] = np.sqrt(variance.mean())
+    return Evidence(_log_probabilities(sums).astype(np.float32), least, deviation)
+
+
 def _predict(model: Model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,27 +260,32 @@ def identify(docs: DataFrame) -> DataFrame:
     Ties between languages go to the first by code point. Repeated rows each get their row; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = train(rows.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
+    model = train(sample(rows.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))))
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = rows.select("doc_id", "text", letters.alias("__has_letter"), held_out(F.col("doc_id")).alias("held_out"))
     return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-#: The pipeline's filter: a text that is no language the model knows scores low for all of them.
-LEAST_SCORE = 0.2
-
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, whose text has letters and is like the learned texts of the language that is identified.
 
-def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, with all columns, whose text is identified with at least that score."""
+    The score cannot tell: the scores of a text add up to 1 over the languages, so one of them is always at least 1 / languages.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = train(rows.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
+    chosen = checkpointed(sample(rows.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))))
+    model = train(chosen)
+    number = {c: i for i, c in enumerate(model.languages)}
+    evidence = docs.sparkSession.sparkContext.broadcast(gather_evidence(chosen, model.languages))
     marked = docs.withColumn("__has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             view = pa.RecordBatch.from_arrays([batch.column("text"), batch.column("__has_letter")], ["text", "__has_letter"])
             done = pa.Table.from_batches(list(_predict(model)(iter([view]))), pa.schema([("lang_pred", pa.string()), ("score", pa.float64())]))
-            good = (done["score"].to_numpy() >= least) & (done["lang_pred"].to_numpy() != UNKNOWN)
-            yield batch.filter(pa.array(good)).select([n for n in batch.schema.names if n != "__has_letter"])
+            language = np.array([number.get(c, -1) for c in done["lang_pred"].to_pylist()], np.int64)
+            good = language >= 0
+            named = batch.filter(pa.array(good))
+            fits = [evidence.value.fits(data, offsets, language[good][first:last]) for first, last, data, offsets in W.chunked(named, limit=BATCH_BYTES, most=BATCH_ROWS)]
+            yield named.filter(pa.array(np.concatenate([*fits, np.zeros(0, bool)]))).select([n for n in batch.schema.names if n != "__has_letter"])
 
     return marked.mapInArrow(keep, docs.schema)

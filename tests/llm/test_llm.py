@@ -186,6 +186,27 @@ def test_held_out_accuracy(spark):
     assert len(got) > 20 and (got.lang == got.lang_pred).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def test_texts_of_no_learned_language_are_rejected(spark):
+    """Gibberish and a language that is not learned go, long or short; short clean texts stay; all this with two languages and with six."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").filter("lang in ('en', 'de') and n_chars > 400").dropDuplicates(["text"]).toPandas()
+    other = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'es' and n_chars > 400").toPandas().text.tolist()[:8]
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz   ")
+    made = [("l1", "aeiou", "lmn"), ("l2", "aeiou", "ptk"), ("l3", "áéíóú", "rsz"), ("l4", "àèìòù", "bdg")]
+    more = [(c, " ".join("".join(rng.choice(list(b)) + rng.choice(list(a)) for _ in range(int(rng.integers(1, 4)))) for _ in range(120))) for c, a, b in made for _ in range(30)]
+    base = list(zip(table.lang, table.text, strict=True))
+    bad = [(None, "".join(rng.choice(letters, n))) for n in (60, 300, 2000) for _ in range(4)] + [(None, t[:n]) for t in other for n in (150, 400)]
+    bad += [(None, "for (int i = 0; i < n; ++i) { x[i] = f(y[i], &z); } if (!ptr) return NULL; #define QX 0x3f\n" * 4)]
+    for learned in (base, base + more):
+        clean = [(c, t[50:110]) for c, t in learned[:: max(1, len(learned) // 60)] if t.isprintable()]
+        rows_ = [(c, t) for c, t in learned] + bad + clean
+        frame = spark.createDataFrame([(i, t, c) for i, (c, t) in enumerate(rows_)], "doc_id long, text string, lang string")
+        kept = {r["doc_id"] for r in language.keep_identified(frame).collect()}
+        n = len(learned)
+        assert not kept & set(range(n, n + len(bad)))
+        assert len(kept & set(range(n + len(bad), len(rows_)))) >= 0.95 * len(clean) and len(kept & set(range(n))) >= 0.95 * n
+
+
 def test_folded_weights_are_the_kernel_machine():
     rng = np.random.default_rng(3)
     x = language.unit(rng.random((60, language.DIMENSIONS)) < 0.02)
