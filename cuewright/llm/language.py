@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import checkpointed
+from .tables import checkpointed, small
 
 ORDER = 3
 DIMENSIONS = 1 << 13
-#: The learner sees at most so many rows of each language, and at most so many languages (the most frequent).
-ROWS_PER_LANGUAGE, LANGUAGES = 400, 64
+#: The learner sees at most so many rows of each language, and so many of all languages together, but at least one of each.
+ROWS_PER_LANGUAGE, ROWS = 400, 25_600
 LANDMARKS = 256
 RIDGE = 1e-2
 BATCH_BYTES, BATCH_ROWS = 1 << 18, 256
@@ -115,22 +115,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(labelled: DataFrame) -> DataFrame:
-    """text, lang: at most ROWS_PER_LANGUAGE of each of at most LANGUAGES languages.
+    """text, lang: distinct texts of every language, ROWS_PER_LANGUAGE of each at most, or an equal part of ROWS where there are many languages.
 
     The rows of a language are chosen by a hash of their text alone, each distinct text once, so the sample does not depend on how the table is dealt
     out. Rows with a null lang, or without a letter, are not learned from.
     """
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not common:
-        return rows.limit(0)
-    # A few times the rows that are wanted pass by their hash, so that hardly more than those are shuffled.
-    share = {r["lang"]: min(1.0, 4 * ROWS_PER_LANGUAGE / r["count"]) for r in common}
-    limit = F.create_map(*[F.lit(x) for c, s in share.items() for x in (c, int(s * (1 << 40)))])
-    keyed = rows.withColumns({"h": F.pmod(F.xxhash64("text"), F.lit(1 << 40)), "h2": F.hash("text")})
-    keyed = keyed.filter(F.col("h") <= F.element_at(limit, F.col("lang"))).dropDuplicates(["lang", "h", "h2"])
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", F.xxhash64("text").alias("hash"))
+    sizes = small(rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("texts")))
+    most = max(1, min(ROWS_PER_LANGUAGE, ROWS // max(1, sizes.count())))
+    # A few times the texts that are wanted pass by their hash, so that hardly more than those are shuffled.
+    share = F.least(F.lit(1.0), 4 * most / F.col("texts"))
+    keyed = rows.withColumns({"h": F.pmod("hash", F.lit(1 << 40)), "h2": F.hash("text")}).join(sizes, "lang")
+    keyed = keyed.filter(F.col("h") <= share * (1 << 40)).select("text", "lang", "h", "h2").dropDuplicates(["lang", "h", "h2"])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "h2"))
-    return keyed.withColumn("place", place).filter(F.col("place") <= ROWS_PER_LANGUAGE).select("text", "lang")
+    return keyed.withColumn("place", place).filter(F.col("place") <= most).select("text", "lang")
 
 
 def train(chosen: DataFrame) -> Model:

@@ -6,6 +6,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cuewright.llm import language, mixing, near_dup, neighbours, pieces, pii, quality, shards, substring, warc
 from cuewright.llm import words as W
@@ -207,6 +208,15 @@ def test_texts_of_no_learned_language_are_rejected(spark):
         assert len(kept & set(range(n + len(bad), len(rows_)))) >= 0.95 * len(clean) and len(kept & set(range(n))) >= 0.95 * n
 
 
+def test_sample_has_all_languages_and_distinct_texts(spark):
+    """Copies do not displace the distinct texts of a language, and more than 64 languages are all learned."""
+    copies = spark.range(40_000).select(F.concat(F.lit("text number "), F.col("id") % 20).alias("text"), F.lit("xx").alias("lang"))
+    assert sorted(r["text"] for r in language.sample(copies).collect()) == sorted(f"text number {i}" for i in range(20))
+    many = spark.range(900).select(F.concat(F.lit("text number "), F.col("id")).alias("text"), F.concat(F.lit("l"), F.col("id") % 90).alias("lang"))
+    got = language.sample(many).toPandas().groupby("lang").size()
+    assert len(got) == 90 and (got == 10).all()
+
+
 def test_folded_weights_are_the_kernel_machine():
     rng = np.random.default_rng(3)
     x = language.unit(rng.random((60, language.DIMENSIONS)) < 0.02)
