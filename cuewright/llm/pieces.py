@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from . import words as W
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES = 2
+#: From the third sample on, the search chooses among open nodes that several walks have left.
+SAMPLES = 4
 SPACE = "▁"
 #: A piece weighs its rank to this power; a byte of a character without a piece counts as the last rank.
 SHARPNESS = 1.0

@@ -23,7 +23,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_encodings(table(spark, sf_dir, "documents"), with_ids=False)
+    return sample_encodings(table(spark, sf_dir, "documents"))
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -339,6 +339,14 @@ def test_stored_ids_decode(spark):
     assert {r["decoded"] for r in rows_.collect()} == {"one  two", "drei\nvier"}
 
 
+def test_query_returns_ids_of_more_samples_than_one_branch_gives(spark):
+    got = pieces.decode_encodings(QUERIES["op2_sentencepiece"](spark, SF)).toPandas()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    assert set(got.doc_id) == set(texts) and all(texts[i] == t for i, t in zip(got.doc_id, got.decoded, strict=True))
+    assert all(hashlib.sha256(np.array(x, np.int32).tobytes()).hexdigest() == h for x, h in zip(got.ids, got.ids_sha256, strict=True))
+    assert got["sample"].max() >= 3 and not got.duplicated(["doc_id", "ids_sha256"]).any()
+
+
 # The pipeline.
 
 
