@@ -25,6 +25,8 @@ PROJECTED = 8
 SURE = 0.995
 #: The tree is fitted on at most so many vectors of each dimension, chosen by a hash, and has so many cells at most.
 SAMPLE, CELLS, CELL_ROWS = 20_000, 2048, 4096
+#: Projections of equal vectors may differ by rounding, as products of other shapes sum in another order: by less than this part of their length.
+ROUNDING = 1e-10
 BLOCK_ROWS, QUERY_ROWS, VERIFIED_AT_ONCE = 1024, 256, 128
 
 
@@ -113,9 +115,10 @@ def search_block(query: np.ndarray, query_point: np.ndarray, own: int, bound: fl
     order = order[ids[order] != own]
     best = np.zeros(0, np.int64)
     near = np.zeros(0)
+    root, slack = np.sqrt(limit), ROUNDING * np.sqrt((query_point**2).sum())
     for i in range(0, len(order), VERIFIED_AT_ONCE):
-        delta = gap[order[i]]
-        if delta > limit * bound**2 or (len(best) == k and delta >= limit * near[-1] ** 2):
+        delta = np.sqrt(gap[order[i]]) - slack
+        if delta > root * bound or (len(best) == k and delta > root * near[-1]):
             break
         some = order[i : i + VERIFIED_AT_ONCE]
         best = np.append(best, some)
@@ -161,7 +164,8 @@ def _visits(boxes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
             for i, (p, d) in enumerate(zip(points, kinds, strict=True)):
                 cell, low, high = boxes[d]
                 gap = np.maximum(np.maximum(low - p, np.array(p) - high), 0)
-                near = cell[(gap**2).sum(axis=1) <= limit * bounds[i] ** 2]
+                slack = ROUNDING * np.sqrt((np.array(p) ** 2).sum())
+                near = cell[np.sqrt((gap**2).sum(axis=1)) <= np.sqrt(limit) * bounds[i] + slack]
                 rows.append(np.full(len(near), i))
                 cells.append(near)
             take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
@@ -183,7 +187,7 @@ def _met(asked: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", place).filter(F.col("rank") <= k)
+    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", place).filter(F.col("rank") <= k)
 
 
 def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFrame:
@@ -221,8 +225,8 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFra
     blocks = blocks.agg(F.collect_list(F.struct("vec_id", "embedding")).alias("held")).persist(StorageLevel.DISK_ONLY)
 
     asked = placed.filter(F.col("vec_id") % every == 0)
-    home = _met(asked.select("vec_id", "embedding", "dimension", "cell", F.lit(float("inf")).alias("bound")), blocks)
-    bound = _ranked(home, k).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
-    known = asked.join(checkpointed(bound), "vec_id", "left").fillna(float("inf"), ["bound"])
+    home = checkpointed(_ranked(_met(asked.select("vec_id", "embedding", "dimension", "cell", F.lit(float("inf")).alias("bound")), blocks), k))
+    bound = home.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    known = asked.join(bound, "vec_id", "left").fillna(float("inf"), ["bound"])
     visits = known.select("vec_id", "embedding", "dimension", "bound", "point").mapInArrow(_visits(boxes), "vec_id long, embedding array<double>, dimension long, bound double, cell long")
-    return _ranked(_met(visits, blocks), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _ranked(_met(visits, blocks).unionByName(home.drop("rank")), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -308,6 +308,20 @@ def test_recall_ties_and_bad_vectors(spark):
     assert got[got.query_id == 100].sort_values("rank").vec_id.tolist()[:2] == [2000, 2001] and set(got.query_id) <= set(ids)
 
 
+def test_copies_of_a_query_alone_in_its_pack(spark):
+    """More copies than neighbours: the k-th distance is 0, and projections of equal vectors may differ by rounding."""
+    rng = np.random.default_rng(5)
+    one, others = rng.standard_normal(128), rng.standard_normal((30, 128))
+    table = [(100, one)] + [(112 - i, one) for i in range(12)][:-1] + [(113, one)] + [(201 + i, v) for i, v in enumerate(others)]
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in table], "vec_id bigint, embedding array<double>")).toPandas().sort_values("rank")
+    assert got.query_id.tolist() == [100] * 10 and got.vec_id.tolist() == list(range(102, 112)) and (got.score == 0).all()
+    ids, vectors = np.arange(400), np.tile(one, (400, 1))
+    points = vectors @ neighbours.directions(128)
+    points += rng.standard_normal(points.shape) * 1e-14
+    found, _ = neighbours.search_block(one, points[0], -1, 0.0, ids, vectors, points, neighbours.quantile(neighbours.SURE))
+    assert found.tolist() == list(range(10))
+
+
 def test_chi_square():
     assert neighbours.chi_square(np.array(neighbours.quantile(0.9)), 8) == pytest.approx(0.9) and neighbours.quantile(0.95) == pytest.approx(15.507, abs=1e-3)
 
