@@ -50,10 +50,12 @@ def match_subtitle_prefix(files: DataFrame) -> DataFrame:
     order = F.struct(_preference(F.col("ext")).alias("p"), F.col("path"))
     exact = subtitles.groupBy("dir", "stem").agg(F.min(order).alias("s")).select("dir", "stem", F.col("s.path").alias("exact"))
     first = media.join(exact, ["dir", "stem"], "left")
-    rest = first.filter("exact is null").select("dir", "stem", "path")
-    near = rest.join(subtitles.select("dir", F.col("stem").alias("longer"), F.col("path").alias("other")), "dir").filter(F.startswith("longer", F.col("stem")))
-    near = near.groupBy("path").agg(F.min("other").alias("near"))
-    return first.join(near, "path", "left").select(F.col("path").alias("media"), F.coalesce("exact", "near").alias("subtitle"))
+    # Subtitles meet media on the beginnings of their stems, of the lengths that are looked for (a file name's at most), not on the folder.
+    rest = first.filter("exact is null").select("dir", "stem").distinct()
+    lengths = F.broadcast(rest.select(F.length("stem").alias("n")).distinct())
+    longer = subtitles.select("dir", F.col("stem").alias("longer"), F.col("path").alias("other")).join(lengths, F.col("n") <= F.length("longer"))
+    near = longer.groupBy("dir", F.expr("substring(longer, 1, n)").alias("stem")).agg(F.min("other").alias("near"))
+    return first.join(near, ["dir", "stem"], "left").select(F.col("path").alias("media"), F.coalesce("exact", "near").alias("subtitle"))
 
 
 def match_task_names(tasks: DataFrame, names: DataFrame) -> DataFrame:

@@ -82,3 +82,12 @@ def test_stages(spark):
     out = run_stages({"cues": cues, "clips": D.clips(cues), "media": D.media(cues), "references": refs})
     assert out["mux"].count() == cues.select("media_id").distinct().count() and out["speed_plan"].count() > 0
     assert [r[0] for r in text_pipeline(spark.createDataFrame([("a",), (None,)], "text string"), str.upper).collect()] == ["A", None]
+
+
+def test_longer_stems_without_pairs_of_a_folder(spark):
+    names = ["b.mp4", "b.s.mp4", "none.mkv", "é.mp4", "é.mkv", "b.srt.x", "b.szz.srt", "b_en-x.srt", "b_en.srt", "éa.vtt", "xb.srt", "same.mp4", "same.vtt", "same2.srt", "b.s.srtx"]
+    files = spark.createDataFrame([(f"/m{d}/{n}",) for d in (1, 2) for n in names if d == 1 or n != "b_en.srt"], "path string")
+    got = P.match_subtitle_prefix(files)
+    want = {"b.mp4": "b.szz.srt", "b.s.mp4": "b.szz.srt", "none.mkv": None, "é.mp4": "éa.vtt", "é.mkv": "éa.vtt", "same.mp4": "same.vtt"}
+    assert dict(got.collect()) == {f"/m{d}/{m}": s and f"/m{d}/{s}" for d in (1, 2) for m, s in want.items()}
+    assert "StartsWith" not in got._jdf.queryExecution().optimizedPlan().toString()
