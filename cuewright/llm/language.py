@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import checkpointed, small
+from .tables import checkpointed, in_batches, small
 
 ORDER = 3
 DIMENSIONS = 1 << 13
@@ -133,7 +133,7 @@ def sample(labelled: DataFrame) -> DataFrame:
 
 def train(chosen: DataFrame) -> Model:
     """A model of the rows of sample()."""
-    found = sorted((r["lang"], bytes(r["bits"])) for r in chosen.mapInArrow(_features, "lang string, bits binary").collect())
+    found = sorted((r["lang"], bytes(r["bits"])) for r in chosen.transform(in_batches, _features, "lang string, bits binary").collect())
     bits = np.frombuffer(b"".join(b for _, b in found), np.uint8).reshape(len(found), DIMENSIONS // 8)
     return fit(unit(np.unpackbits(bits, axis=1)), [c for c, _ in found])
 
@@ -209,13 +209,13 @@ def _learned_rows(sums, number: dict[str, int]):
 def gather_evidence(chosen: DataFrame, languages: list[str]) -> Evidence:
     """From the rows of sample(). A language's least mean lies below the median of its own rows by REACH times the distance of their LOW quantile."""
     number = {c: i for i, c in enumerate(languages)}
-    counts = chosen.mapInArrow(_gram_counts, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
+    counts = chosen.transform(in_batches, _gram_counts, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros((len(languages), DIMENSIONS), np.int64)
     sums[[number[c] for c in counts["lang"].to_pylist()], counts["place"].to_numpy()] = counts["n"].to_numpy()
     least, deviation = np.full(len(languages), -np.inf), np.zeros(len(languages))
     shared = chosen.sparkSession.sparkContext.broadcast(sums)
     own: dict[str, list] = {}
-    for r in chosen.mapInArrow(_learned_rows(shared, number), "lang string, mean double, variance double").collect():
+    for r in chosen.transform(in_batches, _learned_rows(shared, number), "lang string, mean double, variance double").collect():
         own.setdefault(r["lang"], []).append((r["mean"], r["variance"]))
     for c, found in own.items():
         mean, variance = np.array(found).T
@@ -261,7 +261,7 @@ def identify(docs: DataFrame) -> DataFrame:
     model = train(sample(rows.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))))
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = rows.select("doc_id", "text", letters.alias("__has_letter"), held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.transform(in_batches, _predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -286,4 +286,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             fits = [evidence.value.fits(data, offsets, language[good][first:last]) for first, last, data, offsets in W.chunked(named, limit=BATCH_BYTES, most=BATCH_ROWS)]
             yield named.filter(pa.array(np.concatenate([*fits, np.zeros(0, bool)]))).select([n for n in batch.schema.names if n != "__has_letter"])
 
-    return marked.mapInArrow(keep, docs.schema)
+    return marked.transform(in_batches, keep, docs.schema)

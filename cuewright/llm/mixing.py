@@ -11,12 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import checkpointed, small
+from .tables import checkpointed, in_batches, small
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
@@ -81,8 +80,8 @@ def _source_key(source: Column) -> list[Column]:
 
 def _sized(docs: DataFrame, seed: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(_sizes, "doc_id long, source string, size long")
-    return rows.select("doc_id", "source", "size", *_source_key(F.col("source")), *_digits(F.col("doc_id"), seed)).persist(StorageLevel.DISK_ONLY)
+    rows = rows.transform(in_batches, _sizes, "doc_id long, source string, size long")
+    return checkpointed(rows.select("doc_id", "source", "size", *_source_key(F.col("source")), *_digits(F.col("doc_id"), seed)))
 
 
 def thresholds(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:

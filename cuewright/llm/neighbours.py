@@ -14,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import checkpointed
+from .tables import checkpointed, in_batches
 
 NEAREST, EVERY = 10, 100
 PROJECTED = 8
@@ -182,7 +181,7 @@ def _met(asked: DataFrame, blocks: DataFrame) -> DataFrame:
     packs = asked.join(sizes, ["dimension", "cell"]).groupBy("dimension", "cell", part.alias("query_part"))
     packs = packs.agg(F.collect_list(F.struct("vec_id", "embedding", "bound")).alias("asked"))
     pairs = packs.join(blocks, ["dimension", "cell"]).select("dimension", "asked", "held")
-    return pairs.mapInArrow(_search, "query_id long, vec_id long, score double")
+    return pairs.transform(in_batches, _search, "query_id long, vec_id long, score double")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -206,12 +205,12 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFra
     for d, n in counts.items():
         share = min(1.0, 0.8 * SAMPLE / n)
         chosen = rows.filter((F.size("embedding") == d) & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)).limit(SAMPLE)
-        sample = [r["point"] for r in chosen.mapInArrow(_project, "dimension long, point array<double>").collect()]
+        sample = [r["point"] for r in chosen.transform(in_batches, _project, "dimension long, point array<double>").collect()]
         depth = max(0, int(np.ceil(np.log2(max(1, min(n / CELL_ROWS, CELLS, len(sample) / 4))))))
         trees[d] = Tree(np.array(sample).reshape(-1, PROJECTED), depth)
 
     schema = "vec_id long, embedding array<double>, dimension long, cell long, point array<double>"
-    placed = rows.mapInArrow(_assign(trees), schema).persist(StorageLevel.DISK_ONLY)
+    placed = checkpointed(rows.transform(in_batches, _assign(trees), schema))
     ends = [f(F.col("point")[j]).alias(f"{f.__name__}{j}") for f in (F.min, F.max) for j in range(PROJECTED)]
     boxes = {}
     cells = placed.groupBy("dimension", "cell").agg(F.count("*").alias("n"), *ends).collect()
@@ -222,11 +221,11 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFra
     parts = placed.groupBy("dimension", "cell").agg((F.floor(F.count("*") / BLOCK_ROWS) + 1).alias("parts"))
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts"))
     blocks = placed.join(parts, ["dimension", "cell"]).groupBy("dimension", "cell", block.alias("part"))
-    blocks = blocks.agg(F.collect_list(F.struct("vec_id", "embedding")).alias("held")).persist(StorageLevel.DISK_ONLY)
+    blocks = checkpointed(blocks.agg(F.collect_list(F.struct("vec_id", "embedding")).alias("held")))
 
     asked = placed.filter(F.col("vec_id") % every == 0)
     home = checkpointed(_ranked(_met(asked.select("vec_id", "embedding", "dimension", "cell", F.lit(float("inf")).alias("bound")), blocks), k))
     bound = home.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
     known = asked.join(bound, "vec_id", "left").fillna(float("inf"), ["bound"])
-    visits = known.select("vec_id", "embedding", "dimension", "bound", "point").mapInArrow(_visits(boxes), "vec_id long, embedding array<double>, dimension long, bound double, cell long")
+    visits = known.select("vec_id", "embedding", "dimension", "bound", "point").transform(in_batches, _visits(boxes), "vec_id long, embedding array<double>, dimension long, bound double, cell long")
     return _ranked(_met(visits, blocks).unionByName(home.drop("rank")), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -18,15 +18,17 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from math import exp, expm1, inf, log
+from math import exp, expm1, inf, log, log1p
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .tables import in_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: From the third sample on, the search chooses among open nodes that several walks have left.
@@ -36,7 +38,7 @@ SPACE = "▁"
 SHARPNESS = 1.0
 CHUNK = 1 << 18
 #: Edges of kept lattices; the store starts anew beyond that.
-MOST_EDGES = 5_000_000
+MOST_EDGES = 3_000_000
 
 
 class Vocabulary:
@@ -125,7 +127,7 @@ class _Column:
 
 class Lattices:
     """Lattices of units, as growing arrays of nodes and edges. An edge's chance is that of all segmentations behind it;
-    `below` is the chance of its node's edges before it."""
+    `upto` is the chance of its node's edges up to it, and infinite for the last."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
@@ -134,7 +136,7 @@ class Lattices:
     def clear(self) -> None:
         self.root: dict[str, int] = {}
         self.first, self.count, self.target, self.piece = (_Column(np.int32) for _ in range(4))
-        self.logq, self.below = _Column(np.float64), _Column(np.float32)
+        self.logq, self.upto = _Column(np.float64), _Column(np.float32)
 
     def roots(self, units: list[str]) -> np.ndarray:
         if self.piece.size > MOST_EDGES:
@@ -150,7 +152,7 @@ class Lattices:
         return np.array([root[u] for u in units], np.int64)
 
     def arrays(self):
-        return [c.values for c in (self.first, self.count, self.target, self.piece, self.logq, self.below)]
+        return [c.values for c in (self.first, self.count, self.target, self.piece, self.logq, self.upto)]
 
     def _build(self, units: list[str]) -> None:
         """Lattices of units in which every character is a piece of one token."""
@@ -171,7 +173,7 @@ class Lattices:
             found.append((start[is_piece], np.full(int(is_piece.sum()), n), piece[is_piece], level.weight[at][is_piece]))
             if not len(start):
                 break
-        start, size, piece, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        start, size, piece, weight = (np.concatenate(x) for x in zip(*reversed(found), strict=True))
         order = np.argsort(start, kind="stable")
         start, size, piece, weight = start[order], size[order], piece[order], weight[order]
         count = np.bincount(start, minlength=len(text))
@@ -191,7 +193,10 @@ class Lattices:
             top = np.maximum.reduceat(w, last - n)
             total[own] = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, n)), last - n))
         logq = weight + np.where(over, 0.0, total[start + size]) - total[start]
-        run = np.append(0.0, np.cumsum(np.exp(logq)))[:-1]
+        chance = np.exp(logq)
+        run = np.cumsum(chance)
+        upto = run - (run - chance)[first[start]]
+        upto[first + count - 1] = inf
         base, base_edge = self.first.size, self.piece.size
         self.root.update(zip(units, (base + ends - lengths).tolist(), strict=True))
         self.first.extend(base_edge + first)
@@ -199,7 +204,7 @@ class Lattices:
         self.target.extend(np.where(over, -1, base + start + size))
         self.piece.extend(piece)
         self.logq.extend(logq)
-        self.below.extend(run - run[first[start]])
+        self.upto.extend(upto)
 
     def _node(self, edges: list[tuple[int, int, float]]) -> int:
         """Adds a node with edges (target, piece, log-chance)."""
@@ -208,7 +213,7 @@ class Lattices:
         self.target.extend([e[0] for e in edges])
         self.piece.extend([e[1] for e in edges])
         self.logq.extend([e[2] for e in edges])
-        self.below.extend(np.append(0.0, np.cumsum(np.exp([e[2] for e in edges])))[:-1])
+        self.upto.extend(np.append(np.cumsum(np.exp([e[2] for e in edges]))[:-1], inf))
         return self.first.size - 1
 
     def _build_bytes(self, unit: str) -> None:
@@ -239,38 +244,80 @@ class Lattices:
 _lattices: dict[str, Lattices] = {}
 
 
-def _noise(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two uniform numbers in (0, 1) from each seed."""
-    h = W.mix(seed)
-    return ((h >> np.uint64(32)).astype(np.float64) + 0.5) / 2**32, ((h & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2**32
+_GOLDEN = 0x9E3779B97F4A7C15
+
+
+def _uniform(h: np.ndarray) -> np.ndarray:
+    """A number in (0, 1) from the upper half of each hash."""
+    return ((h >> np.uint64(32)).astype(np.float64) + 0.5) / 2**32
+
+
+def _step_hash(seed: np.ndarray, step) -> np.ndarray:
+    """What chance has in store at a step (from 0) of the walks with these seeds: the upper half chooses the edge, the lower half is the wait."""
+    return W.mix(seed + (step.astype(np.uint64) + np.uint64(1)) * np.array([_GOLDEN], np.uint64))
 
 
 def _walk(store, start: np.ndarray, seeds: np.ndarray):
-    """Walks down from each start node: (steps of each walk; nodes, edges and waiting times of all steps, walk by walk)."""
-    first, count, _, _, _, below = store
-    target = store[2]
+    """Walks down from each start node: (steps of each walk; edges of all steps, walk by walk)."""
+    first, _, target, _, _, upto = store
     live, node, steps = np.flatnonzero(start >= 0), start[start >= 0], []
     taken = np.zeros(len(start), np.int64)
     while len(live):
-        u, v = _noise(seeds[live] + np.uint64(0x9E3779B97F4A7C15 * (len(steps) + 1) & (2**64 - 1)))
-        edge = first[node]
-        many = np.flatnonzero(count[node] > 1)
-        if len(many):
-            sizes = count[node[many]]
-            ends = np.cumsum(sizes)
-            edges = np.repeat(edge[many] - (ends - sizes), sizes) + np.arange(int(ends[-1]))
-            edge[many] += np.add.reduceat((below[edges] < np.repeat(u[many], sizes)).astype(np.int64), ends - sizes) - 1
-        steps.append((live, node, edge, -np.log(v)))
+        u = _uniform(_step_hash(seeds[live], np.array([len(steps)])))
+        edge = first[node].astype(np.int64)
+        # The first edges of a node are its longest pieces, which are chosen most often.
+        on = np.flatnonzero(u >= upto[edge])
+        while len(on):
+            edge[on] += 1
+            on = on[u[on] >= upto[edge[on]]]
+        steps.append((live, edge))
         taken[live] += 1
         node = target[edge]
-        on = node >= 0
+        on = np.flatnonzero(node >= 0)
         live, node = live[on], node[on]
     at = np.append(0, np.cumsum(taken))
-    nodes, edges, waits = np.zeros(at[-1], np.int64), np.zeros(at[-1], np.int64), np.zeros(at[-1])
-    for k, (which, n, e, w) in enumerate(steps):
-        place = at[which] + k
-        nodes[place], edges[place], waits[place] = n, e, w
-    return taken, nodes, edges, waits
+    edges = np.zeros(at[-1], np.int32)
+    for k, (which, e) in enumerate(steps):
+        edges[at[which] + k] = e
+    return taken, edges
+
+
+#: Steps of a walk whose leavings are looked at first; the logarithm of no wait lies further below 0 than LEAST_WAIT.
+EARLY, LEAST_WAIT = 512, 23.0
+
+
+def _leavings(store, walked, a: np.ndarray, b: np.ndarray, phi: np.ndarray, most: int):
+    """The nodes that walks leave, for walks over the steps a to b of `walked` (_walk()'s start, seeds, ends, edges, their log-chances and running
+    sums) after log-probabilities phi: a row for each walk of (order, unit, node, log-probability before it, minus logarithm of its Gumbel).
+
+    The log-probability only falls along a walk, so what lies behind its first EARLY steps can't be among the `most` best once it fell enough;
+    where it did not, the whole walk is looked at.
+    """
+    start, seeds, ends, edges, logs, total = walked
+    count, target = store[1:3]
+
+    def look(a, b, phi, size):
+        at = a[:, None] + np.arange(size)
+        inside = at < b[:, None]
+        at = np.minimum(at, b[:, None] - 1)
+        unit = np.searchsorted(ends, at, "right") - 1
+        step = at - ends[unit]
+        node = np.where(step == 0, start[unit], target[edges[at - (step > 0)]])
+        before = phi[:, None] + total[at] - total[a][:, None]
+        wait = -np.log(((_step_hash(seeds[unit], step) & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2**32)
+        rest = np.log(wait / -np.expm1(np.minimum(logs[at], -1e-15))) - before
+        rest = np.where(inside & (count[node] > 1), rest, inf)
+        order = np.argpartition(rest, most - 1, axis=1)[:, :most] if size > most else np.broadcast_to(np.arange(size), rest.shape)
+        own = np.arange(len(a))[:, None]
+        return order, unit[own, order], node[own, order], before[own, order], rest[own, order]
+
+    found = look(a, b, phi, min(EARLY, int((b - a).max())))
+    last = np.minimum(a + EARLY, b)
+    sure = (last == b) | (-(phi + total[last] - total[a]) - LEAST_WAIT > found[4].max(axis=1))
+    rows = [tuple(c[i] for c in found) for i in range(len(a))]
+    for i in np.flatnonzero(~sure):
+        rows[i] = tuple(c[0] for c in look(a[i : i + 1], b[i : i + 1], phi[i : i + 1], int(b[i] - a[i])))
+    return rows
 
 
 def sample_texts(texts: list[str], keys: np.ndarray, path: str = MODEL, k: int = SAMPLES):
@@ -284,7 +331,7 @@ def sample_texts(texts: list[str], keys: np.ndarray, path: str = MODEL, k: int =
         sizes.append(len(own))
     roots = lattices.roots(units)
     store = lattices.arrays()
-    piece, logq = store[3], store[4]
+    piece, logq = store[3:5]
     edge_of = np.append(0, np.cumsum(sizes))
     row = np.repeat(np.arange(len(texts)), sizes)
     number = np.arange(len(units)) - edge_of[row]
@@ -293,45 +340,36 @@ def sample_texts(texts: list[str], keys: np.ndarray, path: str = MODEL, k: int =
     found: list[list] = [[] for _ in texts]
     open_: list[list] = [[] for _ in texts]
     # A walk: text, its score, log-probability and edges so far, first unit, the node that it starts at.
-    walks = [(i, _root_score(keys[i]), 0.0, np.zeros(0, np.int64), 0, -2) for i in range(len(texts)) if sizes[i]]
+    walks = [(i, _root_score(int(keys[i])), 0.0, np.zeros(0, np.int32), 0, -2) for i in range(len(texts)) if sizes[i]]
     for i in range(len(texts)):
         if not sizes[i]:
-            found[i].append((np.zeros(0, np.int64), 0.0, inf))
+            found[i].append((np.zeros(0, np.int32), 0.0, inf))
     for turn in range(k):
         if not walks:
             break
         which = [np.arange(edge_of[i] + unit, edge_of[i + 1]) for i, _, _, _, unit, _ in walks]
-        lengths = np.array([len(w) for w in which])
+        heads = np.append(0, np.cumsum([len(w) for w in which]))
         which = np.concatenate(which)
-        start = roots[which].copy()
-        heads = np.append(0, np.cumsum(lengths))
+        start = roots[which]
         for (_, _, _, _, _, node), head in zip(walks, heads[:-1], strict=True):
             if node != -2:
                 start[head] = node
         seeds = W.mix(key[which] + np.uint64(0x165667B19E3779F9 * (turn + 1) & (2**64 - 1)))
-        taken, nodes, edges, waits = _walk(store, start, seeds)
-        at = np.append(0, np.cumsum(taken))
-        spans = at[heads]
-        steps = logq[edges]
-        unit_of = np.repeat(which, taken)
-        total = np.append(0.0, np.cumsum(steps))
-        with np.errstate(divide="ignore"):
-            left = np.log(-np.expm1(np.minimum(steps, -1e-300)))
-        left = np.where(store[1][nodes] > 1, left, -inf)
+        taken, edges = _walk(store, start, seeds)
+        ends = np.append(0, np.cumsum(taken))
+        logs = logq[edges]
+        total = np.append(0.0, np.cumsum(logs))
+        cuts = ends[heads]
+        leavings = _leavings(store, (start, seeds, ends, edges, logs, total), cuts[:-1], cuts[1:], np.array([w[2] for w in walks]), k + 1 - turn)
         again = []
         for w, (i, score, phi, prefix, _, _) in enumerate(walks):
-            a, b = spans[w], spans[w + 1]
-            before = phi + total[a:b] - total[a]
+            a, b = int(cuts[w]), int(cuts[w + 1])
             path_edges = np.concatenate([prefix, edges[a:b]])
             # What is left at a node has the score of a Gumbel of its mass, cut off at the score of the node.
-            rest = -np.logaddexp(-score, np.log(waits[a:b]) - before - left[a:b])
-            most = k + 1 - turn
-            best = np.argpartition(-rest, most - 1)[:most] if len(rest) > most else np.arange(len(rest))
-            for s in best.tolist():
-                if rest[s] > -inf:
-                    unit = int(unit_of[a + s])
-                    item = (-rest[s], len(open_[i]) + 1000 * turn, float(before[s]), len(prefix) + s, unit, int(nodes[a + s]), (int(edges[a + s]),), path_edges)
-                    heapq.heappush(open_[i], item)
+            for s, unit, node, before, rest in zip(*(c.tolist() for c in leavings[w]), strict=True):
+                if rest < inf:
+                    minus = _log_add(-score, rest)
+                    heapq.heappush(open_[i], (minus, len(open_[i]) + 1000 * turn, before, len(prefix) + s, int(which[unit]), node, (int(edges[a + s]),), path_edges))
             found[i].append((path_edges, phi + float(total[b] - total[a]), 0.0))
             if turn + 1 < k and open_[i]:
                 again.append(_branch(open_[i], i, int(edge_of[i]), store, int(keys[i]), turn))
@@ -351,32 +389,51 @@ def _marked_units(vocab: Vocabulary, text: str) -> list[str]:
     return own
 
 
-def _root_score(key) -> float:
-    u, _ = _noise(np.array([int(key) & (2**64 - 1)], np.uint64))
-    return -log(-log(float(u[0])))
+def _chances(seed: int) -> tuple[float, float]:
+    """Two numbers in (0, 1) from one seed: W.mix() of a single number, in halves."""
+    h = seed & (2**64 - 1)
+    h ^= h >> 31
+    h = h * 0x9E3779B97F4A7C15 & (2**64 - 1)
+    h ^= h >> 29
+    h = h * 0xD6E8FEB86659FD93 & (2**64 - 1)
+    h ^= h >> 32
+    return ((h >> 32) + 0.5) / 2**32, ((h & 0xFFFFFFFF) + 0.5) / 2**32
+
+
+def _log_add(a: float, b: float) -> float:
+    return max(a, b) + log1p(exp(-abs(a - b)))
+
+
+def _root_score(key: int) -> float:
+    return -log(-log(_chances(key)[0]))
 
 
 def _branch(heap: list, i: int, first_unit: int, store, key: int, turn: int):
     """Takes the best open node: one of its children that are left, by their chances, and what then is left is open again."""
     minus, _, before, place, unit, node, gone, path_edges = heapq.heappop(heap)
     first, count, target, _, logq, _ = store
-    own = [e for e in range(first[node], first[node] + count[node]) if e not in gone]
-    chances = np.exp(logq[own])
-    seed = np.array([(key + (turn + 1) * 0x27D4EB2F165667C5 + place * 0x9E3779B97F4A7C15) & (2**64 - 1)], np.uint64)
-    u, v = (float(x[0]) for x in _noise(seed))
-    child = own[min(int(np.searchsorted(np.cumsum(chances), u * chances.sum())), len(own) - 1)]
-    rest = chances.sum() - float(np.exp(logq[child]))
+    low = int(first[node])
+    logs = logq[low : low + int(count[node])].tolist()
+    own = [(low + n, exp(x)) for n, x in enumerate(logs) if low + n not in gone]
+    u, v = _chances(key + (turn + 1) * 0x27D4EB2F165667C5 + place * 0x9E3779B97F4A7C15)
+    rest = sum(x for _, x in own)
+    aim, child, chance = u * rest, *own[-1]
+    for e, x in own:
+        aim -= x
+        if aim < 0:
+            child, chance = e, x
+            break
+    rest -= chance
     if len(own) > 1 and rest > 0:
-        score = -np.logaddexp(minus, log(-log(v)) - before - log(rest))
-        heapq.heappush(heap, (-score, len(heap) + 1000 * (turn + 1), before, place, unit, node, (*gone, child), path_edges))
-    prefix = np.append(path_edges[:place], child)
-    return i, -minus, before + float(logq[child]), prefix, unit - first_unit, int(target[child])
+        heapq.heappush(heap, (_log_add(minus, log(-log(v)) - before - log(rest)), len(heap) + 1000 * (turn + 1), before, place, unit, node, (*gone, child), path_edges))
+    prefix = np.append(path_edges[:place], np.int32(child))
+    return i, -minus, before + logs[child - low], prefix, unit - first_unit, int(target[child])
 
 
 def decode_pieces(ids: np.ndarray, vocab: Vocabulary) -> str:
-    """The text that pieces stand for; the first sign for a space is not part of it."""
+    """The text that piece numbers stand for; the first sign for a space is not part of it."""
     table = vocab.bytes
-    raw = b"".join([table[i] for i in ids])
+    raw = b"".join(map(table.__getitem__, ids))
     return raw[1:].decode("utf-8", "surrogatepass") if raw[:1] == b" " else raw.decode("utf-8", "surrogatepass")
 
 
@@ -385,25 +442,29 @@ SAMPLED = "doc_id long, sample int, n_pieces int, log_prob double, inclusion dou
 
 def _encode(path: str, k: int, with_ids: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        table = pa.array(vocabulary(path).bytes, pa.large_binary())
         for batch in batches:
             for first, last, _, _ in W.chunked(batch, limit=CHUNK):
                 part = batch.slice(first, last - first)
                 texts = [t or "" for t in part.column("text").to_pylist()]
+                marked = pa.array([b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts], pa.large_binary())
                 found = sample_texts(texts, part.column("row_key").to_numpy().view(np.uint64), path, k)
                 rows = [(i, n + 1, *s) for i, own in enumerate(found) for n, s in enumerate(own)]
                 ids = [s[2].astype(np.int32) for s in rows]
+                row, ends = pa.array([s[0] for s in rows], pa.int64()), np.append(0, np.cumsum([len(x) for x in ids]))
+                flat = np.concatenate([*ids, np.zeros(0, np.int32)])
+                decoded = pc.binary_join(pa.LargeListArray.from_arrays(ends, table.take(pa.array(flat))), pa.scalar(b"", pa.large_binary()))
                 columns = [
-                    part.column("doc_id").take(pa.array([s[0] for s in rows], pa.int64())), pa.array([s[1] for s in rows], pa.int32()), pa.array([len(x) for x in ids], pa.int32()),
+                    part.column("doc_id").take(row), pa.array([s[1] for s in rows], pa.int32()), pa.array([len(x) for x in ids], pa.int32()),
                     pa.array([s[3] for s in rows], pa.float64()), pa.array([s[4] for s in rows], pa.float64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
-                    pa.array([decode_pieces(x.tolist(), vocab) == texts[s[0]] for s, x in zip(rows, ids, strict=True)], pa.bool_()),
+                    pc.equal(decoded, marked.take(row)),
                 ]
                 names = [x.split()[0] for x in SAMPLED.split(", ")]
                 if with_ids:
-                    ends = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.zeros(0, np.int32)])))
+                    columns.append(pa.ListArray.from_arrays(ends.astype(np.int32), flat))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        _lattices.clear()
 
     return encode
 
@@ -418,7 +479,7 @@ def sample_encodings(docs: DataFrame, path: str = MODEL, k: int = SAMPLES, with_
     """
     key = F.xxhash64(F.col("doc_id").cast("long")).alias("row_key")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key)
-    return rows.mapInArrow(_encode(path, k, with_ids), SAMPLED + ", ids array<int>" * with_ids)
+    return rows.transform(in_batches, _encode(path, k, with_ids), SAMPLED + ", ids array<int>" * with_ids)
 
 
 def _decode(path: str):
@@ -435,4 +496,4 @@ def _decode(path: str):
 def decode_encodings(rows: DataFrame, path: str = MODEL) -> DataFrame:
     """The rows with the text that their ids stand for, as `decoded`."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_decode(path), f"{schema}, decoded string")
+    return rows.transform(in_batches, _decode(path), f"{schema}, decoded string")

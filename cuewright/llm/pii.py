@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .tables import in_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
@@ -366,7 +367,7 @@ def personal_data(docs: DataFrame, lines: list[str] | None = None) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     field = fit(LABELLED if lines is None else lines)
-    return rows.mapInArrow(_find(field), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.transform(in_batches, _find(field), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -393,7 +394,7 @@ def mask_personal_data(docs: DataFrame, lines: list[str] | None = None) -> DataF
             columns["text"] = pa.array(done, pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    out = docs.mapInArrow(masked, docs.schema)
+    out = docs.transform(in_batches, masked, docs.schema)
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         same = F.col("text").isNull()

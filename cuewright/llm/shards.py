@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import checkpointed, in_batches
+
 SHARDS = 40
 ROW_BYTES = 16
 #: A bucket that holds less than this part of a shard's bytes is cut at its nearer edge.
@@ -80,7 +81,7 @@ def _sums(rows: DataFrame, root: Node, keyed) -> dict[int, dict[int, int]]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], ["leaf", "key", "bytes"])
 
     out: dict[int, dict[int, int]] = defaultdict(dict)
-    found = rows.mapInArrow(local, "leaf long, key long, bytes long").groupBy("leaf", "key").agg(F.sum("bytes"))
+    found = rows.transform(in_batches, local, "leaf long, key long, bytes long").groupBy("leaf", "key").agg(F.sum("bytes"))
     for leaf, key, total in found.collect():
         out[leaf][key] = total
     return out
@@ -130,7 +131,7 @@ def _ends(rows: DataFrame, root: Node) -> dict[int, dict]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)
 
     names = ["leaf", "bytes", *[f"{d}_{end}" for d in DIMENSIONS for end in ("min", "max")]]
-    found = rows.mapInArrow(local, ", ".join(f"{n} long" for n in names)).groupBy("leaf")
+    found = rows.transform(in_batches, local, ", ".join(f"{n} long" for n in names)).groupBy("leaf")
     ends = [(F.min if n.endswith("min") else F.max)(n).alias(n) for n in names[2:]]
     return {r["leaf"]: r.asDict() for r in found.agg(F.sum("bytes").alias("bytes"), *ends).collect()}
 
@@ -158,12 +159,12 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = rows.select(
+    rows = checkpointed(rows.select(
         "*",
         F.shiftleft("size", 32).bitwiseOR(F.col("text_crc32")).alias("by_size"),
         F.shiftleft("text_crc32", 31).bitwiseOR(F.col("size")).alias("by_print"),
         F.pmod(F.xxhash64("doc_id"), F.lit(TIES)).alias("tie"),
-    ).persist(StorageLevel.DISK_ONLY)
+    ))
     root, total, count = Node(0, shards), *rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     width: dict[str, int] = {}
     level = [root] if shards > 1 and count else []
@@ -195,7 +196,7 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             node.left, node.right = Node(node.first, half), Node(node.first + half, node.n - half)
             level += [x for x in (node.left, node.right) if x.n > 1]
     parts = max(PARTS, count // (shards * PART_ROWS) + 1)
-    placed = rows.mapInArrow(_place(root), "doc_id long, size long, text_crc32 long, tie long, shard int")
+    placed = rows.transform(in_batches, _place(root), "doc_id long, size long, text_crc32 long, tie long, shard int")
     placed = placed.withColumn("part", F.pmod("tie", F.lit(parts)))
     starts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     starts = starts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("start"))

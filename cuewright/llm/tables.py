@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words
+
 #: A side is broadcast only after it was counted and found to hold at most this many (narrow) rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -46,5 +49,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+def in_batches(df: DataFrame, work: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """mapInArrow() for df.transform(), after which a worker keeps nothing: workers serve many tasks, one after another."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            words.release()
+
+    return df.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ time, and are mixed at the end.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -72,42 +73,54 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@lru_cache(maxsize=8)
-def _base(seed: int) -> tuple[np.ndarray, int, int]:
-    rng = np.random.default_rng(1000 + seed)
-    odd = int(rng.integers(1 << 62)) * 2 + 1
-    return rng.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), odd, pow(odd, -1, 1 << 64)
+_RNG = np.random.default_rng(1000)
+_BYTE_VALUES = _RNG.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = int(_RNG.integers(1 << 62)) * 2 + 1
 
+#: Powers of _ODD and of its inverse, for all seeds.
+_powers: list[np.ndarray] = []
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+def _power_table(n: int) -> list[np.ndarray]:
+    if _powers and len(_powers[0]) >= n:
+        return _powers
+    size, grown = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 3)), []
+    for factor in (_ODD, pow(_ODD, -1, 1 << 64)):
+        row = np.full(size, factor, np.uint64)
+        row[0] = 1
+        grown.append(np.multiply.accumulate(row))
+    if size <= 4 * CHUNK_BYTES:
+        _powers[:] = grown
+    return grown
 
-def _power_table(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if seed not in _powers or len(_powers[seed][0]) < n:
-        _, odd, inverse = _base(seed)
-        size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 3))
-        grown = []
-        for factor in (odd, inverse):
-            row = np.full(size, factor, np.uint64)
-            row[0] = 1
-            grown.append(np.multiply.accumulate(row))
-        if size > 4 * CHUNK_BYTES:
-            return grown[0], grown[1]
-        _powers[seed] = (grown[0], grown[1])
-    return _powers[seed]
+
+def release() -> None:
+    """Gives what this module keeps, and memory that was freed before, back to the system."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that returns freed memory, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of values[start:end], equal for equal spans wherever they lie."""
     n = len(values)
-    up, down = _power_table(seed, n + 1)
+    up, down = _power_table(n + 1)
+    if seed:
+        values = mix(values + np.uint64(seed * 0x9FB21C651E98DF25 & (2**64 - 1)))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(values * up[:n], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    return span_hashes(_base(seed)[0][data], start, end, seed)
+    return span_hashes(_BYTE_VALUES[data], start, end, seed)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
