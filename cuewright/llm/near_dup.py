@@ -16,12 +16,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import checkpointed, small
+from .tables import checkpointed, in_batches, small
 
 SHINGLE_WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -39,7 +38,7 @@ _RNG = np.random.default_rng(8)
 _XOR = _RNG.integers(1 << 32, size=BAND_ROWS * BANDS, dtype=np.uint32)
 _ODD = _RNG.integers(1 << 32, size=BAND_ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
 
-MEMBERS = "doc_id long, seq_a long, seq_b long, n_shingles long"
+MEMBERS = "doc_id long, text_hash long, seq_a long, seq_b long, n_shingles long"
 SIGNED = f"{MEMBERS}, signature array<int>, bands array<long>"
 
 
@@ -79,11 +78,12 @@ def _sign(with_signature: bool):
                 rows = list(_sets(data, offsets))
                 columns = [
                     batch.column("doc_id").slice(first, last - first),
+                    batch.column("text_hash").slice(first, last - first),
                     W.as_long(np.array([a for a, _, _ in rows], np.uint64)),
                     W.as_long(np.array([b for _, b, _ in rows], np.uint64)),
                     pa.array(np.array([len(g) for _, _, g in rows], np.int64)),
                 ]
-                names = ["doc_id", "seq_a", "seq_b", "n_shingles"]
+                names = ["doc_id", "text_hash", "seq_a", "seq_b", "n_shingles"]
                 if with_signature:
                     signs = np.stack([signature(g) for _, _, g in rows])
                     places = np.tile(np.arange(BANDS) * BAND_ROWS, len(rows)) + np.repeat(np.arange(len(rows)) * len(_XOR), BANDS)
@@ -192,7 +192,7 @@ def block_links(one, two) -> list[tuple[int, int]]:
 def _unpack(rows: pa.Array):
     values = rows.values
     signs = values.field("signature").flatten().to_numpy().reshape(len(values), -1)
-    return values.field("doc_id").to_numpy(), values.field("root").to_numpy(), signs, _grams(values.field("text"))
+    return values.field("class").to_numpy(), values.field("root").to_numpy(), signs, _grams(values.field("text"))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,34 +203,36 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(rows: DataFrame, name: str) -> DataFrame:
-    """The rows (head, doc_id, root, signature, text) of each head in blocks of PACK_ROWS and PACK_BYTES or so."""
+    """The rows (head, class, root, signature, text) of each head in blocks of PACK_ROWS and PACK_BYTES or so."""
     sizes = rows.groupBy("head").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    parts = sizes.select("head", F.ceil(F.greatest(F.col("n") / PACK_ROWS, F.col("bytes") / PACK_BYTES)).alias("parts"))
-    part = F.pmod(F.xxhash64("doc_id"), F.greatest("parts", F.lit(1)))
+    parts = small(sizes.select("head", F.ceil(F.greatest(F.col("n") / PACK_ROWS, F.col("bytes") / PACK_BYTES)).alias("parts")))
+    part = F.pmod(F.xxhash64("class"), F.greatest("parts", F.lit(1)))
     packs = rows.join(parts, "head").groupBy("head", part.alias("part"))
-    return packs.agg(F.collect_list(F.struct("doc_id", "root", "signature", "text")).alias(name)).drop("part")
+    return packs.agg(F.collect_list(F.struct("class", "root", "signature", "text")).alias(name)).drop("part")
 
 
 def _side(df: DataFrame, one: str, value: str, name: str) -> DataFrame:
-    return df.select(F.col("doc_id").alias(one), F.col(value).alias(name))
+    return df.select(F.col("class").alias(one), F.col(value).alias(name))
 
 
-def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of those ids, each once."""
-    return texts.join(small(ids.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def _texts_of(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class and text of the wanted classes, each once: the text of the class's first document, which a hash tells from others of its doc_id."""
+    ids = small(classes.select("class", "doc_id", "text_hash").join(wanted.select("class").distinct(), "class", "left_semi"))
+    return texts.join(ids, ["doc_id", "text_hash"]).select("class", "text").dropDuplicates(["class"])
 
 
-def _links(pairs: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that the sequential test keeps and the full sets confirm."""
+def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of classes that the sequential test keeps and the full sets confirm."""
+    signs = classes.select("class", "signature")
     kept = pairs.join(_side(signs, "a", "signature", "sig_a"), "a").join(_side(signs, "b", "signature", "sig_b"), "b")
-    kept = checkpointed(kept.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune, "a long, b long"))
-    wanted = _texts_of(texts, kept.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    kept = checkpointed(kept.select("a", "b", "sig_a", "sig_b").transform(in_batches, _prune, "a long, b long"))
+    wanted = _texts_of(texts, classes, kept.select(F.explode(F.array("a", "b")).alias("class")))
     found = kept.join(_side(wanted, "b", "text", "text_b"), "b").join(_side(wanted, "a", "text", "text_a"), "a")
-    return checkpointed(found.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"))
+    return checkpointed(found.select("a", "b", "text_a", "text_b").transform(in_batches, _confirm, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) with the least reachable node for every node of the links (a, b), by large-star and small-star rounds."""
+    """(node, root) with the least reachable node, for every node of the links (a, b) that isn't the least itself, by large-star and small-star rounds."""
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
@@ -248,60 +250,66 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
-
-    Text is lower-cased for A-Z; a set holds the distinct runs of five words, or the whole sequence where there are
-    fewer. No text or no words: an empty set, linked with nothing. Equal sets by equal word sequences are one class.
-    Repeated rows each get their row; a null doc_id stays null, is linked with nothing and kept. Other columns are ignored.
-    """
+def _placed(docs: DataFrame) -> DataFrame:
+    """near_duplicates(), with a hash of each row's text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = texts.mapInArrow(_sign(False), MEMBERS)
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    members = texts.transform(in_batches, _sign(False), MEMBERS)
     classes = (
-        texts.mapInArrow(_sign(True), SIGNED)
+        texts.transform(in_batches, _sign(True), SIGNED)
         .filter("n_shingles > 0 and doc_id is not null")
         .groupBy("seq_a", "seq_b")
-        .agg(F.min(F.struct("doc_id", "signature", "bands")).alias("least"), F.count("*").alias("copies"))
-        .select("seq_a", "seq_b", "copies", "least.doc_id", "least.signature", "least.bands")
-        .persist(StorageLevel.DISK_ONLY)
+        .agg(F.min(F.struct("doc_id", "text_hash", "signature", "bands")).alias("least"), F.count("*").alias("copies"))
+        .select(F.monotonically_increasing_id().alias("class"), "seq_a", "seq_b", "copies", "least.*")
     )
-    bands = classes.select("doc_id", F.explode("bands").alias("band"))
-    heads = bands.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("size")).filter("size > 1")
-    met = checkpointed(bands.join(heads, "band").filter("doc_id > head").select("head", "doc_id").distinct())
-    signs = classes.select("doc_id", "signature")
-
-    links = _links(met.select(F.col("head").alias("a"), F.col("doc_id").alias("b")), signs, texts)
+    # Numbers of classes are fixed once they are stored. A doc_id would not do: rows may repeat it with other texts.
+    classes = checkpointed(classes)
+    bands = classes.select("class", F.explode("bands").alias("band"))
+    # Heads are stored before the join, so that its side with many rows of a band can be split at run time.
+    heads = checkpointed(bands.groupBy("band").agg(F.min("class").alias("head"), F.count("*").alias("size")).filter("size > 1").drop("size"))
+    met = checkpointed(bands.join(heads, "band").filter("class > head").select("head", "class").distinct())
+
+    links = _links(met.select(F.col("head").alias("a"), F.col("class").alias("b")), classes, texts)
     roots = checkpointed(components(links))
 
     # Heads that have met more than one component, each with what it met.
-    placed = met.join(roots, met.doc_id == roots.node, "left").select("head", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    placed = met.join(roots, met["class"] == roots.node, "left").select("head", "class", F.coalesce("root", "class").alias("root"))
     shares = placed.groupBy("head", "root").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("head").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = checkpointed(placed.join(mixed.select("head", "main"), "head"))
+    mixed = checkpointed(placed.join(small(mixed.select("head", "main")), "head"))
     if not mixed.isEmpty():
-        full = mixed.join(signs, "doc_id").join(_texts_of(texts, mixed), "doc_id")
+        full = mixed.join(classes.select("class", "signature"), "class").join(_texts_of(texts, classes, mixed), "class")
         packs = _packed(full.filter("root <> main"), "one").join(_packed(full, "two"), "head").select("one", "two")
-        roots = checkpointed(components(links.union(packs.mapInArrow(_meet, "a long, b long"))))
-
-    heads = classes.filter("copies > 1").select("seq_a", "seq_b", F.col("doc_id").alias("class_id"))
-    rows = members.join(heads, ["seq_a", "seq_b"], "left")
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
-    rows = rows.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")))
-    out = rows.join(roots, rows.class_id == roots.node, "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("root", "class_id").alias("component_id"))
-    alone = F.col("doc_id").isNull()
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.when(~alone, F.col("component_id")).alias("component_id"),
-        (alone | (F.col("doc_id") == F.col("component_id"))).alias("kept"),
-    )
+        roots = checkpointed(components(links.union(packs.transform(in_batches, _meet, "a long, b long"))))
+
+    # Each class that has copies or links, with the smallest doc_id of its component.
+    nodes = roots.union(roots.select("root", "root").distinct()).withColumnRenamed("node", "class")
+    found = checkpointed(classes.select("class", "seq_a", "seq_b", "copies", "doc_id").join(nodes, "class", "left"))
+    least = checkpointed(found.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least_id")))
+    found = found.join(least, "root", "left").filter("root is not null or copies > 1")
+    found = checkpointed(found.select("seq_a", "seq_b", F.coalesce("least_id", "doc_id").alias("least_id")))
+    rows = members.join(found, ["seq_a", "seq_b"], "left")
+    own = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    component = F.when(own, F.coalesce("least_id", "doc_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
+
+    Text is lower-cased for A-Z; a set holds the distinct runs of five words, or the whole sequence where there are
+    fewer. No text or no words: an empty set, linked with nothing, its component_id its own doc_id. Equal sets by equal word sequences are
+    one class. Repeated rows each get their row, with one result; rows that repeat a doc_id with another text are documents of their own,
+    each with its own component. A null doc_id stays null, is linked with nothing and kept. Other columns are ignored.
+    """
+    return _placed(docs).drop("text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, whose document stands for its component; rows that repeat its doc_id stay too.
+    """The rows of docs, with all columns, whose document stands for its component; repeated rows of it stay too.
 
     Rows with a null doc_id stay.
     """
-    gone = small(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
+    gone = small(_placed(docs).filter("not kept").select(F.struct("doc_id", "text_hash").alias("gone")).distinct())
+    own = F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("text_hash"))
+    return docs.join(gone, own == gone.gone, "left_anti")
