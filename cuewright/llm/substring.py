@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import BROADCAST_ROWS, checkpointed, small
+from .tables import BROADCAST_ROWS, checkpointed, in_batches, small
 
 WINDOW = 50
 ROUNDS = 4
@@ -234,7 +234,7 @@ RANGES = "doc_id long, text_key long, ranges array<struct<first:int,last:int>>"
 def _by_document(rows: DataFrame, first: Column, last: Column) -> DataFrame:
     """The ranges of each document. One document's ranges are as many as its words at most."""
     found = rows.groupBy(*KEY).agg(F.collect_list(F.struct(first.alias("first"), last.alias("last"))).alias("ranges"))
-    return checkpointed(found.mapInArrow(_merge, RANGES))
+    return checkpointed(found.transform(in_batches, _merge, RANGES))
 
 
 def _held(ranges: DataFrame) -> DataFrame:
@@ -260,24 +260,25 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     texts = texts.select("doc_id", "text", F.when(F.col("again_id").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("text_key"))
     known = texts.filter("doc_id is not null")
 
-    sequences = known.mapInArrow(_sequences, "doc_id long, text_key long, seq_a long, seq_b long, n int")
+    sequences = known.transform(in_batches, _sequences, "doc_id long, text_key long, seq_a long, seq_b long, n int")
     first = sequences.groupBy("seq_a", "seq_b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     copies = sequences.join(first, ["seq_a", "seq_b"]).filter("doc_id > least").select(*KEY, "n").distinct()
     copies = small(copies)
     single = known.join(copies.select(*KEY), KEY, "left_anti")
 
-    anchors = single.mapInArrow(_anchors, ANCHORS)
+    anchors = single.transform(in_batches, _anchors, ANCHORS)
     shared = anchors.filter("symbol is not null").groupBy("symbol").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    shared = shared.filter("a < b").select("symbol")
+    # What many rows are joined with is stored first, so that the rows of one symbol or window can be split at run time.
+    shared = checkpointed(shared.filter("a < b").select("symbol"))
     flagged = anchors.join(shared, "symbol", "left_semi").union(anchors.filter("symbol is null"))
     ranges = _by_document(flagged, F.col("first"), F.col("last"))
 
-    windows = single.join(_held(ranges), KEY).mapInArrow(_windows, "window long, doc_id long, text_key long, at int")
+    windows = single.join(_held(ranges), KEY).transform(in_batches, _windows, "window long, doc_id long, text_key long, at int")
     least = windows.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    repeats = windows.join(least.select("window", "a"), "window").filter("doc_id > a")
+    repeats = windows.join(checkpointed(least.select("window", "a")), "window").filter("doc_id > a")
     removed = _by_document(repeats, F.col("at"), F.col("at"))
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") - WINDOW).alias("last")))
     removed = removed.union(copies.select(*KEY, whole.alias("ranges")))
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return texts.join(_held(removed), KEY, "left").mapInArrow(lambda batches: _apply(batches, with_text), schema)
+    return texts.join(_held(removed), KEY, "left").transform(in_batches, lambda batches: _apply(batches, with_text), schema)

@@ -21,13 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import new_folder, small
+from .tables import in_batches, new_folder, small
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 1 << 30
 #: Ranges with a gap of at most GAP are read together, up to READ_BYTES at once.
 GAP, READ_BYTES = 1 << 16, 4 << 20
+#: Stored bytes that a task reads, on the average.
+TASK_BYTES = 8 << 20
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -114,7 +116,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     html = F.coalesce("html", F.lit("")).cast("binary")
     prints = rows.filter(F.col("page_id").isNotNull() & (F.octet_length(html) >= REVISIT_BYTES)).select("page_id", F.sha2(html, 256).alias("digest"))
-    least = prints.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
+    # Stored before the join, so that a payload with many pages can be split at run time.
+    least = small(prints.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     # A repeated page_id may carry several payloads, so the digest is part of the key.
     revisits = small(prints.join(least, "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct())
     ids = revisits.select(F.col("page_id").alias("again"), "digest", "refers_to")
@@ -122,7 +125,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     marked = rows.join(ids, match, "left").select("page_id", "url", F.col("html").cast("binary").alias("html"), "refers_to")
     store, root = file_system(f"{folder}/archives")
     store.create_dir(root, recursive=True)
-    marked.mapInArrow(_archive(f"{folder}/archives"), INDEX).write.parquet(f"{folder}/index")
+    marked.transform(in_batches, _archive(f"{folder}/archives"), INDEX).write.parquet(f"{folder}/index")
     return read_index(spark, folder)
 
 
@@ -172,8 +175,10 @@ def _unpacked(packed: list[bytes]) -> pa.RecordBatch:
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records of the given index rows, in whichever order, with payload and url as stored (url percent-encoded)."""
     where = index.select("archive", "offset", "length")
-    where = where.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
-    return where.mapInArrow(_fetch(f"{folder}/archives"), RECORDS)
+    # An index row says little about the bytes behind it, so the number of ranges goes by those, not by the size of the index.
+    stored = where.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    where = where.repartitionByRange(max(1, -(-stored // TASK_BYTES)), "archive", "offset").sortWithinPartitions("archive", "offset")
+    return where.transform(in_batches, _fetch(f"{folder}/archives"), RECORDS)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
