@@ -1,136 +1,207 @@
-"""Quality rules: plain counts of a text, and bands of perplexity under a modified Kneser-Ney n-gram model.
+"""Quality rules: plain counts of a text, and bands of perplexity under a modified Kneser-Ney n-gram model for each language.
 
-The model is over characters, folded to an alphabet of SYMBOLS, so that it has SYMBOLS ** ORDER n-grams at most whatever
-the corpus, and knows every n-gram of it. Spark counts the n-grams of all documents (each task sums its own first), and gets
-continuation counts, discounts and interpolated probabilities from them by grouping and joining. The result goes to the
-tasks as two arrays, sorted codes and log-probabilities. A language's band of log-perplexity is its quartiles, over all its
-documents that pass the plain rules, widened by BAND times their distance.
+The n-grams are runs of ORDER characters of lower-cased text (UTF-16 units, so that any script and sign is itself and a run is one 64-bit
+number). Spark counts those of all documents by language (each task sums its own first), and gets continuation counts, discounts and
+interpolated probabilities from them by grouping and joining. The model is stored as arrays of log-probabilities in the order of the n-grams'
+hashes, which scoring searches. Arrays up to MODEL_BYTES go to all tasks; a larger model stays a table that the documents' n-grams are joined
+with. A language's band of log-perplexity is its quartiles, over all its documents that pass the plain rules, widened by BAND times their distance.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import checkpointed
+from .tables import checkpointed, in_batches, small
 
-ORDER, SYMBOLS = 4, 48
-#: Bound on the model that tasks hold: 12 bytes for each n-gram, 64 MB.
-MOST_NGRAMS = SYMBOLS**ORDER
+ORDER, UNIT_BITS = 4, 16
+#: Bound on the model that each task holds, at 12 bytes for an n-gram.
+MODEL_BYTES, NGRAM_BYTES = 96 << 20, 12
+#: n-grams that a task sums up before it merges them.
+PENDING = 2_000_000
 BAND, LEAST_SPREAD = 5.0, 0.02
 LEAST_WORDS, MOST_REPEATED = 50, 50
 MARKS = b"#*$%&|<>"
 
 _IS_MARK = np.isin(np.arange(256), list(MARKS))
 _NO_TAIL = (np.arange(256) & 0xC0) != 0x80
+_IS_SPACE = np.array([chr(i).isspace() for i in range(1 << UNIT_BITS)])
 
 
-def _alphabet() -> np.ndarray:
-    """Symbols of the code points below 2**16: 0 for white space, then letters, digits, marks and the rest."""
-    points = [chr(i) for i in range(1 << 16)]
-    out = np.full(1 << 16, SYMBOLS - 1, np.uint8)
-    for i, c in enumerate(points):
-        low = c.lower()[0]
-        if c.isspace():
-            out[i] = 0
-        elif "a" <= low <= "z":
-            out[i] = 1 + ord(low) - ord("a")
-        elif c.isdigit():
-            out[i] = 27
-        elif c.isalpha():
-            out[i] = 31 + ord(low) % 16
-        elif i < 128:
-            out[i] = {".": 28, ",": 29}.get(c, 30)
-    return out
+def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at each unit of each row, and the rows' offsets in them.
 
-
-_ALPHABET = _alphabet()
-
-
-def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams that end at each symbol of each row, and the rows' offsets in them.
-
-    Runs of white space count as one symbol; each row has ORDER - 1 more before it.
+    Runs of white space count as one space; each row has ORDER - 1 more before it.
     """
-    starts = np.flatnonzero(_NO_TAIL[data])
-    text = np.frombuffer(data.tobytes().decode().encode("utf-32-le", "surrogatepass"), np.uint32)
-    cut = np.searchsorted(starts, offsets)
-    s = _ALPHABET[np.minimum(text, 0xFFFF)]
+    text = [data[a:b].tobytes().decode().lower().encode("utf-16-le", "surrogatepass") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    cut = np.append(0, np.cumsum([len(t) // 2 for t in text]))
+    s = np.frombuffer(b"".join(text), np.uint16)
+    blank = _IS_SPACE[s]
+    s = np.where(blank, np.uint16(32), s)
     keep = np.ones(len(s), bool)
-    keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
+    keep[1:] = ~blank[1:] | ~blank[:-1]
     keep[cut[:-1][cut[:-1] < len(s)]] = True
     cut = np.append(0, np.cumsum(keep))[cut]
     s = s[keep]
     pad = ORDER - 1
     rows = len(offsets) - 1
-    padded = np.zeros(len(s) + pad * rows, np.int32)
-    row = np.repeat(np.arange(rows), np.diff(cut))
-    at = np.arange(len(s)) + pad * (row + 1)
+    padded = np.full(len(s) + pad * rows, 32, np.uint64)
+    at = np.arange(len(s)) + pad * (np.repeat(np.arange(rows), np.diff(cut)) + 1)
     padded[at] = s
     code = padded[at]
     for k in range(1, ORDER):
-        code = code + padded[at - k] * np.int32(SYMBOLS**k)
+        code = code | padded[at - k] << np.uint64(UNIT_BITS * k)
     return code, cut
 
 
+def _by_language(languages: list, cut: np.ndarray):
+    """(language, numbers of its rows' n-grams) for each language of some rows."""
+    names = {c: i for i, c in enumerate(dict.fromkeys(languages))}
+    of = np.repeat(np.array([names[c] for c in languages], np.int64), np.diff(cut))
+    for c, i in names.items():
+        yield c, np.flatnonzero(of == i) if len(names) > 1 else np.arange(len(of))
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(code)
+    code, n = code[order], n[order]
+    at = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    return code[at], np.add.reduceat(n, at) if len(at) else n
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = np.zeros(MOST_NGRAMS, np.int64)
-    for batch in batches:
-        for _, _, data, offsets in W.chunked(batch):
-            found = np.bincount(symbols(data, offsets)[0])
-            sums[: len(found)] += found
-    at = np.flatnonzero(sums)
-    if len(at):
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["code", "n"])
+    sums: dict = defaultdict(list)
+    held = 0
 
+    def out(language):
+        code, n = _merged(sums[language])
+        return pa.RecordBatch.from_arrays([pa.array([language] * len(code), pa.string()), W.as_long(code), pa.array(n)], ["lang", "code", "n"])
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """Discounts of n-grams that occur once, twice, and more often, from the numbers of those that occur 1 to 4 times."""
-    n = counts.agg(*[F.count_if(F.col("n") == k) for k in range(1, 5)]).first()
-    if not n[0]:
-        return [0.5, 0.5, 0.5]
-    y = n[0] / (n[0] + 2 * n[1])
-    raw = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5 for k in (1, 2, 3)]
-    return [min(max(d, 0.0), k - 0.01) for k, d in zip((1, 2, 3), raw, strict=True)]
+    for batch in batches:
+        languages = batch.column("lang").to_pylist()
+        for first, last, data, offsets in W.chunked(batch):
+            codes, cut = ngrams(data, offsets)
+            for c, at in _by_language(languages[first:last], cut):
+                sums[c].append(np.unique(codes[at], return_counts=True))
+                held += len(sums[c][-1][0])
+            if held > PENDING:
+                sums = defaultdict(list, {c: [_merged(parts)] for c, parts in sums.items()})
+                held = sum(len(parts[0][0]) for parts in sums.values())
+                if held > PENDING // 2:
+                    yield from map(out, sums)
+                    sums, held = defaultdict(list), 0
+    yield from map(out, sums)
+
+
+def _tail(code, units: int):
+    return F.col(code).bitwiseAND(F.lit((1 << UNIT_BITS * units) - 1))
+
+
+def _discounts(level: DataFrame) -> DataFrame:
+    """For each language the discounts d1, d2, d3 of n-grams that occur once, twice, and more often, from the numbers of those that occur 1 to 4 times."""
+    n = level.groupBy("lang").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in range(1, 5)])
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    out = [F.col("lang").alias("of")]
+    for k in (1, 2, 3):
+        raw = F.when((F.col("n1") > 0) & (F.col(f"n{k}") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0))).otherwise(0.5)
+        out.append(F.least(F.greatest(raw, F.lit(0.0)), F.lit(k - 0.01)).alias(f"d{k}"))
+    return small(n.select(*out))
 
 
 def estimate(counts: DataFrame) -> DataFrame:
-    """code, logp: modified Kneser-Ney log-probability of the last symbol of each n-gram (code, n) after the others."""
+    """lang, code, logp: modified Kneser-Ney log-probability of the last unit of each n-gram (lang, code, n) after the others. No lang may be null."""
     orders = [counts]
     for k in range(ORDER - 1, 0, -1):
-        rest = F.col("code") % F.lit(SYMBOLS**k)
-        orders.append(checkpointed(orders[-1].groupBy(rest.alias("code")).agg(F.count("*").alias("n"))))
+        orders.append(checkpointed(orders[-1].groupBy("lang", _tail("code", k).alias("code")).agg(F.count("*").alias("n"))))
     lower = None
     for k, level in enumerate(reversed(orders)):
-        once, twice, more = _discounts(level)
-        own = F.when(F.col("n") == 1, once).when(F.col("n") == 2, twice).otherwise(more)
-        rows = level.withColumns({"context": F.expr(f"code div {SYMBOLS}"), "rest": own})
-        whole = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("rest").alias("left"))
-        rows = rows.join(whole, "context")
+        found = _discounts(level)
+        rows = level.join(found, level.lang == found.of).drop("of")
+        own = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = rows.select("lang", "code", "n", F.shiftrightunsigned("code", UNIT_BITS).alias("context"), own.alias("rest"))
+        whole = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("rest").alias("left"), F.count("*").alias("seen"))
+        rows = rows.join(whole, ["lang", "context"])
         if lower is None:
-            back = F.lit(1.0 / SYMBOLS)
+            # Below single units, all that the language has, and one more for what it has not, weigh the same.
+            back = 1 / (F.col("seen") + 1)
         else:
-            tail = lower.select(F.col("code").alias("tail"), F.col("p").alias("back"))
-            rows = rows.withColumn("tail", F.col("code") % F.lit(SYMBOLS**k)).join(tail, "tail")
+            tail = lower.select("lang", F.col("code").alias("tail"), F.col("p").alias("back"))
+            rows = rows.withColumn("tail", _tail("code", k)).join(tail, ["lang", "tail"])
             back = F.col("back")
         p = (F.col("n") - F.col("rest")) / F.col("total") + F.col("left") / F.col("total") * back
-        lower = checkpointed(rows.select("code", p.alias("p")))
-    return lower.select("code", F.log("p").alias("logp"))
+        lower = checkpointed(rows.select("lang", "code", p.alias("p")))
+    return lower.select("lang", "code", F.log("p").alias("logp"))
 
 
-def train(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted codes, log-probabilities) of all n-grams of the texts; MOST_NGRAMS of them at most."""
-    counts = checkpointed(texts.select("text").mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    found = estimate(counts).toArrow()
-    code, logp = found["code"].to_numpy().astype(np.int32), found["logp"].to_numpy().astype(np.float32)
-    order = np.argsort(code)
-    return code[order], logp[order]
+def train(rows: DataFrame) -> DataFrame:
+    """lang, code, logp: the model of the rows (lang, text), which knows every n-gram of them. No lang may be null."""
+    return estimate(checkpointed(rows.transform(in_batches, _count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))))
+
+
+@dataclass
+class Store:
+    """Log-probabilities of n-grams in the order of their hashes, with the place where each beginning of hashes starts."""
+
+    hashes: np.ndarray
+    logs: np.ndarray
+    bits: int
+    starts: np.ndarray
+
+    @staticmethod
+    def of(code: np.ndarray, logs: np.ndarray) -> Store:
+        hashes = W.mix(code)
+        order = np.argsort(hashes)
+        hashes, bits = hashes[order], max(1, len(code).bit_length())
+        starts = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        return Store(hashes, logs[order].astype(np.float32), bits, starts.astype(np.int32))
+
+    def find(self, code: np.ndarray) -> np.ndarray:
+        """Log-probabilities of n-grams that the store has."""
+        h = W.mix(code)
+        at = self.starts[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
+        on = np.flatnonzero(self.hashes[at] < h)
+        while len(on):
+            at[on] += 1
+            on = on[self.hashes[at[on]] < h[on]]
+        return self.logs[at]
+
+
+def _scores(model):
+    """Sum of log-probabilities, and number of n-grams, of each row of a chunk, from a broadcast store for each language."""
+
+    def score(languages: list, codes: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        logs = np.zeros(len(codes))
+        for c, at in _by_language(languages, cut):
+            if len(at):
+                logs[at] = model.value[c].find(codes[at])
+        return np.diff(np.append(0.0, np.cumsum(logs))[cut])
+
+    return score
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct n-gram of each row, with how often it comes."""
+    for batch in batches:
+        for first, last, data, offsets in W.chunked(batch):
+            codes, cut = ngrams(data, offsets)
+            found = [np.unique(codes[a:b], return_counts=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            rows = pa.array(np.repeat(np.arange(first, last), [len(c) for c, _ in found]))
+            flat = [np.concatenate([f[i] for f in found]) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in ("row_key", "lang")], W.as_long(flat[0]), pa.array(flat[1].astype(np.int64))], ["row_key", "lang", "code", "m"])
+
+
+def _joined_scores(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """row_key, joined: mean log-probability of each row's n-grams, by a join with a model too large for the tasks."""
+    found = rows.transform(in_batches, _distinct, "row_key long, lang string, code long, m long").join(model, ["lang", "code"])
+    return found.groupBy(F.col("row_key").alias("key")).agg((F.sum(F.col("m") * F.col("logp")) / F.sum("m")).alias("joined"))
 
 
 def line_repeats(text: bytes) -> int:
@@ -156,20 +227,19 @@ def repeated_words(hashes: np.ndarray, first_word: np.ndarray) -> np.ndarray:
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def _measure(model):
+def _measure(score):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, logs = model.value
-        table = np.zeros(MOST_NGRAMS, np.float32)
-        table[codes] = logs
         for batch in batches:
+            languages = batch.column("lang").to_pylist()
             for first, last, data, offsets in W.chunked(batch):
                 start, end, first_word = W.word_spans(data, offsets)
                 points = np.append(0, np.cumsum(_NO_TAIL[data]))
                 chars = np.append(0, np.cumsum(points[end] - points[start]))
                 marks = np.append(0, np.cumsum(_IS_MARK[data]))
-                code, cut = symbols(data, offsets)
-                total = np.append(0.0, np.cumsum(table[code], dtype=np.float64))
-                loss = -np.diff(total[cut]) / np.maximum(np.diff(cut), 1)
+                loss = np.zeros(last - first)
+                if score is not None:
+                    codes, cut = ngrams(data, offsets)
+                    loss = -score(languages[first:last], codes, cut) / np.maximum(np.diff(cut), 1)
                 lines = [line_repeats(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 columns = [
                     np.diff(first_word), np.diff(chars[first_word]), np.diff(marks[offsets]), np.array(lines),
@@ -177,14 +247,14 @@ def _measure(model):
                 ]
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("lang"), *[pa.array(c.astype(np.int64)) for c in columns], pa.array(loss)],
-                    ["doc_id", "lang", *[x.split()[0] for x in COUNTS.split(", ")], "log_perplexity"],
+                    [*[part.column(c) for c in ("doc_id", "lang", "row_key")], *[pa.array(c.astype(np.int64)) for c in columns], pa.array(loss)],
+                    ["doc_id", "lang", "row_key", *[x.split()[0] for x in COUNTS.split(", ")], "log_perplexity"],
                 )
 
     return measure
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, model_bytes: int = MODEL_BYTES) -> DataFrame:
     """doc_id, the counts, base_failed, kept and log_perplexity for every row of docs (doc_id, text, lang).
 
     base_failed: fewer than 50 words, or over half of them in repeated runs of three. kept: not base_failed, and the
@@ -192,15 +262,29 @@ def quality(docs: DataFrame) -> DataFrame:
     all counts 0, base_failed. Repeated rows each count and get their row. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = spark.sparkContext.broadcast(train(rows))
-    measured = rows.mapInArrow(_measure(model), f"doc_id long, lang string, {COUNTS}, log_perplexity double")
+    text = F.col("text").cast("string")
+    # A language's name with a sign before it, so that no language at all is a name too.
+    lang = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), lang.alias("lang"), F.xxhash64(text, lang).alias("row_key"))
+    model = train(rows.select("lang", "text"))
+    fits = model.count() * NGRAM_BYTES <= model_bytes
+    score = None
+    if fits:
+        found = model.toArrow()
+        names = found["lang"].combine_chunks().dictionary_encode()
+        of, code, logs = names.indices.to_numpy(), found["code"].to_numpy().view(np.uint64), found["logp"].to_numpy()
+        stores = {c: Store.of(code[at], logs[at]) for i, c in enumerate(names.dictionary.to_pylist()) for at in [np.flatnonzero(of == i)]}
+        score = _scores(spark.sparkContext.broadcast(stores))
+    measured = rows.transform(in_batches, _measure(score), f"doc_id long, lang string, row_key long, {COUNTS}, log_perplexity double")
+    if not fits:
+        joined = _joined_scores(rows, model)
+        measured = measured.join(joined, measured.row_key == joined.key, "left").withColumn("log_perplexity", F.coalesce(-F.col("joined"), F.lit(0.0)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    measured = measured.withColumn("base_failed", failed).persist(StorageLevel.DISK_ONLY)
+    measured = checkpointed(measured.withColumn("base_failed", failed))
     quarters = measured.filter("not base_failed").groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"))
     spread = F.greatest(F.expr("q[1] - q[0]"), F.lit(LEAST_SPREAD)) * BAND
-    bands = checkpointed(quarters.select(F.col("lang").alias("of"), (F.expr("q[0]") - spread).alias("low"), (F.expr("q[1]") + spread).alias("high")))
+    bands = small(quarters.select("lang", (F.expr("q[0]") - spread).alias("low"), (F.expr("q[1]") + spread).alias("high")))
     inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
-    found = measured.join(bands, measured.lang.eqNullSafe(bands.of), "left").withColumn("kept", kept)
+    found = measured.join(bands, "lang", "left").withColumn("kept", kept)
     return found.select("doc_id", *[x.split()[0] for x in COUNTS.split(", ")], "base_failed", "kept", "log_perplexity")
