@@ -2,8 +2,9 @@
 
 A node that is to fill n shards is cut where the bytes below reach n // 2 of n parts. The cut is found by a histogram of
 bytes over the node's range that is refined in the bucket holding the cut, for all nodes of a level at once; the driver
-holds a few hundred sums a node. Every dimension is a function of the text, so equal texts stay together, but for a group
-of them that is itself too heavy for the cut: that one is cut by a hash of doc_id.
+holds a few hundred sums a node. The dimensions are measures of the text (its bytes, the lengths of its words and lines, the share of characters
+beyond ASCII), and the text's crc32 parts what is equal in a measure, so equal texts stay together: a group of them goes to the nearer side of a
+cut as a whole, but for one that outweighs a shard, which is cut by a hash of doc_id.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ ROW_BYTES = 16
 #: A bucket that holds less than this part of a shard's bytes is cut at its nearer edge.
 TOLERANCE = 0.002
 BUCKETS = 512
-#: Values of the hash of doc_id.
-TIES = 1 << 40
-DIMENSIONS = ["by_size", "by_print"]
+#: Values of the hash of doc_id, and of the one that tells rows of a doc_id apart.
+TIES, AGAIN = 1 << 40, 1 << 12
+DIMENSIONS = ["by_size", "by_word", "by_line", "by_script"]
+#: Parts of a doubling that a measure is told apart by; within them rows go by their text's crc32.
+PARTS_OF_DOUBLING = 1 << 14
 #: Rows of one shard are numbered in so many parts, and in more where a part would hold over PART_ROWS.
 PARTS, PART_ROWS = 64, 100_000
 
@@ -154,17 +157,19 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs (doc_id, text).
 
     Size: UTF-8 bytes of the text and ROW_BYTES; a null text counts as empty, and its text_crc32 is 0. Law: `bytes`, the
-    shards' sums of size come near one another; grown_shard is null. Rows of equal doc_id and text (and rows without a
-    doc_id) lie next to one another. An empty table has no rows. Other columns are ignored.
+    shards' sums of size come near one another; grown_shard is null. Repeated rows each get a slot. Equal texts share a shard, unless they outweigh one together. An empty table has no rows. Other columns are
+    ignored.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = checkpointed(rows.select(
-        "*",
-        F.shiftleft("size", 32).bitwiseOR(F.col("text_crc32")).alias("by_size"),
-        F.shiftleft("text_crc32", 31).bitwiseOR(F.col("size")).alias("by_print"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(TIES)).alias("tie"),
-    ))
+    text_of = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of.alias("text"))
+    text_of = F.col("text")
+    rows = rows.withColumns({"size": (F.octet_length(text_of) + ROW_BYTES).cast("long"), "text_crc32": F.crc32(text_of.cast("binary"))})
+    words, lines = F.length(text_of) - F.length(F.translate(text_of, " ", "")) + 1, F.length(text_of) - F.length(F.translate(text_of, "\n", "")) + 1
+    beyond = F.octet_length(text_of) - F.char_length(text_of)
+    measures = [F.col("size"), F.col("size") / words, F.col("size") / lines, 1000 * beyond / F.col("size")]
+    dims = [(F.floor(F.log2(1 + m) * PARTS_OF_DOUBLING) * (1 << 32) + F.col("text_crc32")).cast("long").alias(d) for d, m in zip(DIMENSIONS, measures, strict=True)]
+    tie = F.pmod(F.xxhash64("doc_id"), F.lit(TIES // AGAIN)) * AGAIN + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(AGAIN))
+    rows = checkpointed(rows.select("doc_id", "size", "text_crc32", *dims, tie.alias("tie")))
     root, total, count = Node(0, shards), *rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     width: dict[str, int] = {}
     level = [root] if shards > 1 and count else []
@@ -179,7 +184,7 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             span[k], need[k] = of[dims[k]], seen[k]["bytes"] * (node.n // 2) / node.n
         slack = TOLERANCE * total / shards
         found = _cut(rows, root, dims, span, need, slack, {})
-        heavy = {k: (dims[k], f[0]) for k, f in found.items() if f[0] == f[1] and f[3] > slack}
+        heavy = {k: (dims[k], f[0]) for k, f in found.items() if f[0] == f[1] and f[3] > total / shards}
         rest = {k: need[k] - found[k][2] for k in heavy}
         ties = _cut(rows, root, dict.fromkeys(heavy, "tie"), dict.fromkeys(heavy, (0, TIES - 1)), rest, slack, heavy)
         level = []
@@ -197,7 +202,8 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             level += [x for x in (node.left, node.right) if x.n > 1]
     parts = max(PARTS, count // (shards * PART_ROWS) + 1)
     placed = rows.transform(in_batches, _place(root), "doc_id long, size long, text_crc32 long, tie long, shard int")
-    placed = placed.withColumn("part", F.pmod("tie", F.lit(parts)))
+    # Rows that are equal in all are told apart by where they are stored.
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("tie", "text_crc32", F.spark_partition_id()), F.lit(parts)))
     starts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     starts = starts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("start"))
     within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size"))
