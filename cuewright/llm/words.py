@@ -51,10 +51,10 @@ def chunked(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTE
         yield first, last, data[at[0] : at[-1]], at - at[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte and end of each word, and for each row the number of its first word (len+1 of them)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _IS_SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of each word, and for each row the number of its first word (len+1 of them). `apart` tells which bytes end words."""
     n = len(data)
-    inside = ~_IS_SEPARATOR[data]
+    inside = ~apart[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     opens, closes = inside.copy(), inside.copy()
