@@ -13,6 +13,8 @@ from . import words
 
 #: A side is broadcast only after it was counted and found to hold at most this many (narrow) rows.
 BROADCAST_ROWS = 1_000_000
+#: Bounds on what goes to a Python worker at once: batches are copied several times, outside of the heap, by each task.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +52,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def in_batches(df: DataFrame, work: Callable[[Iterator], Iterator], schema) -> DataFrame:
-    """mapInArrow() for df.transform(), after which a worker keeps nothing: workers serve many tasks, one after another."""
+    """mapInArrow() for df.transform(), in batches within BATCH (which the session keeps), after which a worker keeps nothing: workers serve many
+    tasks, one after another."""
+    for key, value in BATCH.items():
+        df.sparkSession.conf.set(key, value)
 
     def run(batches: Iterator) -> Iterator:
         try:
