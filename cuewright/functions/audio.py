@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timecode import drop_invalid_times
+
 QUIET = 0.01
 SILENT_RMS, SILENT_SHARE = 0.005, 0.8
 
@@ -107,6 +109,20 @@ def replace_silent(clips: DataFrame) -> DataFrame:
     }).drop("best")
 
 
+def reference_segments(chunks: DataFrame, cues: DataFrame, chunk_us: int, normalize: bool = True) -> DataFrame:
+    """The reference clip of each cue: cut from the media's chunks, measured, of even volume, and where it is silent that of the best one.
+
+    Cues that don't end after they start, or start before 0, have none. A cue beyond the end of the audio has no samples and is silent.
+    """
+    good = drop_invalid_times(cues, audio=True)
+    found = cut_by_cue(chunks, good, chunk_us).select("media_id", "cue_no", "sample_rate", "samples")
+    clips = good.join(found, ["media_id", "cue_no"], "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<double>")))
+    clips = measured(clips.select("media_id", F.col("cue_no").alias("index"), "text", "start_us", "end_us", "sample_rate", "samples"))
+    if normalize:
+        clips = clips.withColumn("samples", F.when(F.col("is_silence"), F.col("samples")).otherwise(normalize_volume(F.col("samples"))))
+    return replace_silent(clips.withColumn("duration", F.round((F.col("end_us") - F.col("start_us")) / 1e6, 3)))
+
+
 def reference_summary(cues: DataFrame, clips: DataFrame) -> DataFrame:
     asked = cues.groupBy("media_id").agg(F.count("*").alias("requested"))
     got = clips.groupBy("media_id").agg(F.count("*").alias("produced"), F.count_if(F.col("is_silence")).alias("silent"), F.count("replaced_with").alias("replaced"))

@@ -303,16 +303,9 @@ def split_punctuation(text: Column) -> Column:
 
 def split_length(text: Column, longest: int = 200) -> Column:
     """Words packed greedily into pieces of at most `longest` characters; a longer word is a piece of its own."""
-    words = F.filter(F.split(strip(_none(text)), _SPACE), lambda w: w != "")
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(s: Column, w: Column) -> Column:
-        fits = F.char_length(s["open"]) + 1 + F.char_length(w) <= longest
-        first = s["open"] == ""
-        done = F.when(first | fits, s["done"]).otherwise(F.array_append(s["done"], s["open"]))
-        return F.struct(done.alias("done"), F.when(~first & fits, F.concat(s["open"], F.lit(" "), w)).otherwise(w).alias("open"))
-
-    return F.aggregate(words, empty, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])))
+    # As many characters as fit, up to a last one with a space or nothing behind it; or else a word that is longer.
+    more = f"(?:.{{0,{longest - 2}}}[^ ])?" if longest > 1 else ""
+    return F.regexp_extract_all(collapse(_none(text)), F.lit(f"(?s)([^ ]{more}(?![^ ])|[^ ]+)"), F.lit(1))
 
 
 def split_adaptive(text: Column, longest: int = 200) -> Column:

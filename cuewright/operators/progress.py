@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,6 +220,23 @@ def task_tracking(states: DataFrame) -> DataFrame:
     return states.withColumn("bucket", bucket)
 
 
+def task_summary(states: DataFrame) -> DataFrame:
+    """States with progress and seconds since their first event, rounded to two places, and their bucket."""
+    seconds = (F.unix_micros(F.col("updated_at").cast("timestamp")) - F.unix_micros(F.col("first_at").cast("timestamp"))) / 1e6
+    rows = task_tracking(states)
+    return rows.withColumns({"progress": F.round("progress", 2), "processing_seconds": F.round(seconds, 2)})
+
+
+def status_lookup(states: DataFrame, steps: DataFrame, task_id, step_id: int) -> DataFrame:
+    """What the folded tables tell of one task, one of its steps, all its steps, and all tasks that have completed that step: scope, task_id,
+    step_id, status."""
+    own, step = F.col("task_id") == task_id, F.col("step_id") == step_id
+    of_step = lambda scope, rows: rows.select(F.lit(scope).alias("scope"), "task_id", "step_id", "status")
+    task = states.filter(own).select(F.lit("task").alias("scope"), "task_id", F.lit(None).cast("int").alias("step_id"), "status")
+    found = [of_step("step", steps.filter(own & step)), of_step("steps", steps.filter(own)), of_step("completed", steps.filter(step & (F.col("status") == "completed")))]
+    return reduce(DataFrame.unionByName, found, task)
+
+
 def scheduler_stats(states: DataFrame) -> DataFrame:
     """One row: tasks by bucket, and the per cent of successes among those that ended, N/A without any."""
     rows = task_tracking(states)
@@ -237,7 +256,7 @@ def system_stats(events: DataFrame) -> DataFrame:
 
 def status_health(events: DataFrame, every: str = "5 seconds", backlog: int = 500) -> DataFrame:
     """Per window: tasks that are active in it, events, and an alert where more than the backlog came."""
-    rows = events.groupBy(F.window("event_time", every).alias("w")).agg(F.approx_count_distinct("task_id", 0.01).alias("tasks"), F.count("*").alias("events"))
+    rows = events.groupBy(F.window("event_time", every).alias("w")).agg(F.count_distinct("task_id").alias("tasks"), F.count("*").alias("events"))
     return rows.select(F.col("w.start").alias("from_time"), "tasks", "events", (F.col("events") > backlog).alias("alert"))
 
 

@@ -15,6 +15,16 @@ def by_segment() -> WindowSpec:
     return Window.partitionBy("media_id").orderBy("seg_no")
 
 
+def sort_cues(cues: DataFrame) -> DataFrame:
+    """Cues with `place`, their order by start; cues that start together keep the order that they had."""
+    return cues.withColumn("place", F.row_number().over(Window.partitionBy("media_id").orderBy("start_us", "cue_no")))
+
+
+def sort_segments(segments: DataFrame) -> DataFrame:
+    """Segments numbered from 0 in the order of their start, and end."""
+    return segments.withColumn("seg_no", F.row_number().over(Window.partitionBy("media_id").orderBy("start_us", "end_us", "kind")) - 1)
+
+
 _SEGMENT = "struct<start_us:bigint,end_us:bigint,is_silence:boolean,kind:string,cue_no:int,text:string>"
 
 

@@ -91,3 +91,15 @@ def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     quiet = F.when(F.col("vec_id") % 5 == 0, F.lit(0.001)).otherwise(F.lit(1.0))
     samples = F.transform(F.col("embedding"), lambda x: x.cast("double") * quiet)
     return table(spark, sf_dir, "embeddings").select(F.col("label").alias("media_id"), (F.col("vec_id") + 1).alias("index"), samples.alias("samples"), F.lit(32).alias("sample_rate"))
+
+
+#: Length of a chunk of chunks().
+CHUNK_US = 2_000_000
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clips of audio() of one label as the chunks of one track, two seconds each."""
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy("media_id").orderBy("index")) - 1
+    return audio(spark, sf_dir).select("media_id", number.cast("bigint").alias("chunk_no"), "sample_rate", "samples")

@@ -279,7 +279,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT *, CASE WHEN completed + failed > 0 THEN printf('%.1f%%', completed * 100.0::DOUBLE / (completed + failed)) ELSE 'N/A' END AS success_rate FROM n""",
     "batch_summary": f"{STATE} SELECT count(*) AS total, count(*) FILTER (status = 'completed') AS succeeded, count(*) FILTER (status <> 'completed') AS failed, bool_and(status = 'completed') AS all_succeeded FROM tasks",
     "system_stats": f"{LOG} SELECT count(*) AS events, count(DISTINCT task_id) AS tasks, (SELECT count(*) FROM (SELECT DISTINCT task_id, step_id FROM ev WHERE step_id IS NOT NULL)) AS steps, count(*) FILTER (kind IN ('completed', 'failed')) AS critical FROM ev",
-    "status_health": f"{LOG} SELECT date_trunc('day', event_time) AS from_time, count(*) AS events, count(*) > 20 AS alert FROM ev GROUP BY 1",
+    "status_health": f"{LOG} SELECT date_trunc('day', event_time) AS from_time, count(DISTINCT task_id) AS tasks, count(*) AS events, count(*) > 20 AS alert FROM ev GROUP BY 1",
     "dependency_check": f"{STATE} SELECT w.task_id, w.step_id, bool_and(n.step IS NULL OR s.task_id IS NOT NULL) AS may_run FROM steps w LEFT JOIN (SELECT unnest(range({STEP_COUNT})) AS step) n ON n.step < w.step_id LEFT JOIN steps s ON s.task_id = w.task_id AND s.step_id = n.step AND s.status = 'completed' GROUP BY 1, 2",
     "skip_completed": f"{STATE} SELECT task_id, step_id FROM steps WHERE status <> 'completed'",
     "resume_plan": f"{STATE} SELECT task_id, step_id, CASE status WHEN 'completed' THEN 'skip' WHEN 'processing' THEN 'resume' WHEN 'failed' THEN 'clear_and_run' ELSE 'run' END AS action FROM steps",
@@ -290,3 +290,7 @@ ORACLE_SQL["retime_adaptive"] = f"{BASE}, {_retimed('strategy')} SELECT media_id
 for _fmt in _KEPT:
     ORACLE_SQL[f"{_fmt}_roundtrip"] = _roundtrip(_fmt)
 ORACLE_SQL["srt_lines"] = _roundtrip("srt")
+
+from .record_oracles import RECORD_SQL  # noqa: E402
+
+ORACLE_SQL |= RECORD_SQL

@@ -235,10 +235,15 @@ _text("map_punctuation", digest=_digest(T.map_punctuation))
 _text("expand_contractions", digest=_digest(T.expand_contractions))
 _text("split_sentences", pieces=lambda t: F.size(T.split_sentences(t)), longest=lambda t: F.coalesce(F.array_max(F.transform(T.split_sentences(t), F.char_length)), F.lit(0)))
 _text("split_punctuation", pieces=lambda t: F.size(T.split_punctuation(t)))
-_text("split_length", pieces=lambda t: F.size(T.split_length(t)), digest=lambda t: F.md5(F.array_join(T.split_length(t), "|").cast("binary")))
 _text("validate_text", is_valid=lambda t: T.validate_text(t)["is_valid"], error_message=lambda t: T.validate_text(t)["error_message"])
 
 
+@query
+def split_length(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "documents").select("doc_id", T.split_length(F.col("text")).alias("p"))
+    return rows.select("doc_id", F.size("p").alias("pieces"), F.md5(F.array_join("p", "|").cast("binary")).alias("digest"))
+
+
 @query
 def process_text(spark, sf_dir):
     done = D.table(spark, sf_dir, "documents").select("doc_id", T.process_text(F.col("text"), longest=300).alias("r"))
@@ -456,7 +461,7 @@ def system_stats(spark, sf_dir):
 
 @query
 def status_health(spark, sf_dir):
-    return S.status_health(D.status_events(spark, sf_dir), "1 day", 20).select("from_time", "events", "alert")
+    return S.status_health(D.status_events(spark, sf_dir), "1 day", 20).select("from_time", "tasks", "events", "alert")
 
 
 @query
@@ -475,3 +480,6 @@ def skip_completed(spark, sf_dir):
 def resume_plan(spark, sf_dir):
     steps = _steps(spark, sf_dir)
     return P.resume_plan(steps.select("task_id", "step_id"), steps).select("task_id", "step_id", "action")
+
+
+from . import record_queries  # noqa: E402, F401

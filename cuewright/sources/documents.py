@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.timecode import format_time
 from ..model import ALIGNMENT_DOCUMENT, REFERENCE_DOCUMENT, STEP_STATUS, STEPS, SYNTHESIS_DOCUMENT, TASK_STATE
 
 
@@ -92,6 +93,35 @@ def cache_inventory(tasks: DataFrame, steps: DataFrame) -> DataFrame:
     return rows.withColumn("is_valid", F.col("steps_done") > 0)
 
 
+def cue_documents(cues: DataFrame) -> DataFrame:
+    """media_id, cue_no and the JSON record of each cue; times as a clock's, with six places where they have a fraction."""
+    record = F.struct(format_time(F.col("start_us"), "iso").alias("start_time"), format_time(F.col("end_us"), "iso").alias("end_time"), "text", "style", "actor")
+    return cues.select("media_id", "cue_no", F.to_json(record).alias("document"))
+
+
+def _clock(text: Column) -> Column:
+    """Microseconds of HH:MM:SS with a fraction or without."""
+    parts = F.split(text, ":")
+    return (parts[0].cast("bigint") * 3600 + parts[1].cast("bigint") * 60) * 1_000_000 + (parts[2].cast("decimal(8,6)") * 1_000_000).cast("bigint")
+
+
+def parse_cue_documents(documents: DataFrame) -> DataFrame:
+    """Cues from their JSON records; a record without a style is of style Default, without an actor of none."""
+    r = F.from_json("document", "start_time string, end_time string, text string, style string, actor string")
+    rows = documents.withColumn("r", r)
+    return rows.select("media_id", "cue_no", _clock(F.col("r.start_time")).alias("start_us"), _clock(F.col("r.end_time")).alias("end_us"), F.col("r.text").alias("text"), F.coalesce("r.style", F.lit("Default")).alias("style"), F.coalesce("r.actor", F.lit("")).alias("actor"))
+
+
+_DOCUMENTS = {"reference": (REFERENCE_DOCUMENT, "reference_audio_segments"), "synthesis": (SYNTHESIS_DOCUMENT, "tts_audio_segments"), "alignment": (ALIGNMENT_DOCUMENT, "aligned_audio_segments")}
+
+
+def parse_result_documents(documents: DataFrame, kind: str) -> DataFrame:
+    """media_id and the segments of successful result documents (media_id, document) of a kind: reference, synthesis or alignment."""
+    schema, field = _DOCUMENTS[kind]
+    rows = documents.select("media_id", F.from_json("document", schema).alias("d")).filter("d.success")
+    return rows.select("media_id", F.explode(f"d.{field}").alias("s")).select("media_id", "s.*").filter("index is not null")
+
+
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """time, level, message of log lines, and the task that a line of success names."""
     line = r"^(.*?) - (\w+) - (.*)$"
