@@ -226,7 +226,8 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     signs = classes.select("class", "signature")
     kept = pairs.join(_side(signs, "a", "signature", "sig_a"), "a").join(_side(signs, "b", "signature", "sig_b"), "b")
     kept = checkpointed(kept.select("a", "b", "sig_a", "sig_b").transform(in_batches, _prune, "a long, b long"))
-    wanted = _texts_of(texts, classes, kept.select(F.explode(F.array("a", "b")).alias("class")))
+    # Texts are stored before they are joined, so that the pairs of one head can be split at run time.
+    wanted = checkpointed(_texts_of(texts, classes, kept.select(F.explode(F.array("a", "b")).alias("class"))))
     found = kept.join(_side(wanted, "b", "text", "text_b"), "b").join(_side(wanted, "a", "text", "text_a"), "a")
     return checkpointed(found.select("a", "b", "text_a", "text_b").transform(in_batches, _confirm, "a long, b long"))
 
