@@ -204,7 +204,9 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFra
     trees = {}
     for d, n in counts.items():
         share = min(1.0, 0.8 * SAMPLE / n)
-        chosen = rows.filter((F.size("embedding") == d) & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)).limit(SAMPLE)
+        place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+        chosen = rows.filter((F.size("embedding") == d) & (place < int(share * (1 << 30)) + 1)).orderBy(place, "vec_id").limit(SAMPLE)
+        # The tree is one of a set of points, so their order does not matter; which ones they are goes by the hash alone.
         sample = [r["point"] for r in chosen.transform(in_batches, _project, "dimension long, point array<double>").collect()]
         depth = max(0, int(np.ceil(np.log2(max(1, min(n / CELL_ROWS, CELLS, len(sample) / 4))))))
         trees[d] = Tree(np.array(sample).reshape(-1, PROJECTED), depth)
