@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .walks import most_at_once, walked, with_sessions
+
 STEP_COUNT = 8
 LAST, DEFAULT_SECONDS = 1000, 60.0
+HOUR_US = 3_600_000_000
 STATUSES = ["pending", "processing", "completed", "failed"]
 QUEUE_EVENTS = ["task_added", "task_removed", "task_completed", "task_failed", "queue_empty", "queue_full"]
 KEY_FIELDS = ["task_id", "event_type", "step_id"]
@@ -41,20 +45,26 @@ def dedup_window(short_ms: int, long_ms: int) -> Column:
 
 
 def dedup_events(events: DataFrame, short_ms: int = 25, long_ms: int = 100, keys: list[str] = KEY_FIELDS) -> DataFrame:
-    """Events without those that come within the window of their key's last accepted one.
+    """Events without those that come within the window of their key's last accepted one; events without a time stay.
 
-    Acceptance depends on what was accepted before, so a key's times are folded in order; they are as many as its events.
+    Acceptance depends on what was accepted before, so events are walked in order. Behind a pause as long as the longest window an event is always
+    accepted, so a key's events are dealt out by the sessions between such pauses.
     """
-    rows = events.withColumns({"window_us": dedup_window(short_ms, long_ms) * 1000, "at_us": F.unix_micros(F.col("event_time").cast("timestamp"))})
-    own = F.array_sort(F.collect_list(F.struct("at_us", "sequence", "window_us")))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+    at, window = F.unix_micros(F.col("event_time").cast("timestamp")), dedup_window(short_ms, long_ms) * 1000
+    rows = events.withColumns({"_at_us": at, "_window_us": window})
+    rows = with_sessions(rows, keys, F.col("_at_us"), max(short_ms, long_ms) * 1000, "_session")
+    names = events.columns
 
-    def step(s: Column, e: Column) -> Column:
-        take = s["last"].isNull() | (e["at_us"] - s["last"] >= e["window_us"])
-        return F.struct(F.when(take, e["at_us"]).otherwise(s["last"]).alias("last"), F.when(take, F.array_append(s["kept"], e["sequence"])).otherwise(s["kept"]).alias("kept"))
+    def step(batch: pa.RecordBatch, opens: list[bool], last: int | None) -> tuple[pa.RecordBatch, int | None]:
+        taken = []
+        for first, now, least in zip(opens, batch.column("_at_us").to_pylist(), batch.column("_window_us").to_pylist(), strict=True):
+            take = first or now is None or last is None or now - last >= least
+            taken.append(take)
+            if take:
+                last = now
+        return batch.select(names).filter(pa.array(taken, pa.bool_())), last
 
-    kept = rows.groupBy(*keys).agg(own.alias("own")).select(F.explode(F.aggregate("own", start, step, lambda s: s["kept"])).alias("sequence"))
-    return events.join(kept, "sequence", "left_semi")
+    return walked(rows, [*keys, "_session"], ["_at_us", "sequence"], step, events.schema)
 
 
 def throttle_progress(events: DataFrame, window_ms: int = 200) -> DataFrame:
@@ -178,11 +188,9 @@ def processor_stats(runs: DataFrame, n: int = LAST) -> DataFrame:
     return out.withColumns({"success_rate": F.col("succeeded") / F.col("processed"), "estimate_seconds": F.coalesce("avg_seconds", F.lit(DEFAULT_SECONDS))})
 
 
-def resource_hold_stats(log: DataFrame, n: int = LAST) -> DataFrame:
+def resource_hold_stats(log: DataFrame, n: int = LAST, bucket_us: int = HOUR_US) -> DataFrame:
     """Per resource: holds, the most at one time, and mean and longest seconds of the last n."""
-    ends = log.select("resource_type", F.explode(F.array(F.struct(F.col("acquired_us").alias("at"), F.lit(1).alias("d")), F.struct((F.col("acquired_us") + F.col("hold_us")).alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    run = F.sum("e.d").over(Window.partitionBy("resource_type").orderBy("e.at", "e.d"))
-    most = ends.withColumn("held", run).groupBy("resource_type").agg(F.max("held").alias("most_held"))
+    most = most_at_once(log, "resource_type", F.col("acquired_us"), F.col("acquired_us") + F.col("hold_us"), bucket_us)
     holds = log.groupBy("resource_type").agg(F.count("*").alias("acquired"))
     times = last_n(log, "resource_type", "no", n).groupBy("resource_type").agg(F.avg("hold_us").alias("avg_hold_us"), F.max("hold_us").alias("max_hold_us"))
     return holds.join(most, "resource_type").join(times, "resource_type")

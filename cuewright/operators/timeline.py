@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .retime import before, by_cue
+from .walks import walked
 
 #: Silence shorter than this is not inserted; a segment shorter than SHORT joins the one before.
 TOLERANCE_US, SHORT_US = 10_000, 300_000
@@ -25,9 +28,6 @@ def sort_segments(segments: DataFrame) -> DataFrame:
     return segments.withColumn("seg_no", F.row_number().over(Window.partitionBy("media_id").orderBy("start_us", "end_us", "kind")) - 1)
 
 
-_SEGMENT = "struct<start_us:bigint,end_us:bigint,is_silence:boolean,kind:string,cue_no:int,text:string>"
-
-
 def cue_audio_lookup(cues: DataFrame, clips: DataFrame) -> DataFrame:
     """Cues with the clip of their number; of several the shortest, for a fixed order."""
     own = clips.groupBy("media_id", F.col("index").alias("cue_no")).agg(F.min(F.struct("clip_us", "is_empty")).alias("clip"))
@@ -38,30 +38,41 @@ def playout_timeline(cues: DataFrame, clips: DataFrame, tolerance_us: int = TOLE
     """media_id, seg_no, start_us, end_us, is_silence, kind, cue_no, text: cues in order, each at its start or, where what went before
     lasts longer, right after it; silence up to a cue where more than the tolerance is missing.
 
-    kind: gap, clip, or missing (silence of a cue's length for a clip that isn't there). The clock is carried through an
-    ordered array of a media's cues, which are thousands at most.
+    kind: gap, clip, or missing (silence of a cue's length for a clip that isn't there). The clock is carried from cue to cue; texts stay out
+    of that walk's state.
     """
     rows = cue_audio_lookup(cues, clips)
-    own = F.array_sort(F.collect_list(F.struct("cue_no", "start_us", "end_us", "text", "clip")))
-    media = rows.groupBy("media_id").agg(own.alias("cues"))
-
-    def segment(start: Column, end: Column, silence: Column, kind: Column, cue: Column) -> Column:
-        return F.struct(start.alias("start_us"), end.alias("end_us"), silence.alias("is_silence"), kind.alias("kind"), cue["cue_no"].alias("cue_no"), cue["text"].alias("text"))
-
-    def step(state: Column, cue: Column) -> Column:
-        now = state["now"]
-        late = cue["start_us"] - now > tolerance_us
-        at = F.when(late, cue["start_us"]).otherwise(now)
-        until = at + F.coalesce(cue["clip"]["clip_us"], cue["end_us"] - cue["start_us"])
-        missing = cue["clip"].isNull()
-        played = segment(at, until, F.coalesce(cue["clip"]["is_empty"], F.lit(True)), F.when(missing, "missing").otherwise("clip"), cue)
-        gap = segment(now, at, F.lit(True), F.lit("gap"), cue)
-        added = F.when(late, F.array(gap, played)).otherwise(F.array(played))
-        return F.struct(until.alias("now"), F.concat(state["done"], added).alias("done"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("now"), F.array().cast(f"array<{_SEGMENT}>").alias("done"))
-    walked = media.select("media_id", F.aggregate("cues", start, step, lambda s: s["done"]).alias("done"))
-    return walked.select("media_id", F.posexplode("done").alias("seg_no", "of")).select("media_id", "seg_no", "of.*")
+    rows = rows.select("media_id", "cue_no", "start_us", F.coalesce("clip.clip_us", F.col("end_us") - F.col("start_us")).alias("own_us"), "text", "clip")
+
+    def step(batch: pa.RecordBatch, opens: list[bool], state: tuple[int, int] | None) -> tuple[pa.RecordBatch, tuple[int, int] | None]:
+        now, number = state or (0, 0)
+        columns = []
+        for first, start, own in zip(opens, batch.column("start_us").to_pylist(), batch.column("own_us").to_pylist(), strict=True):
+            if first:
+                now, number = 0, 0
+            at = start if start - now > tolerance_us else now
+            columns.append((number, now, at))
+            number, now = number + 1 + (at > now), at + own
+        numbers, clocks, starts = zip(*columns, strict=True) if columns else ((), (), ())
+        made = [pa.array(numbers, pa.int32()), pa.array(clocks, pa.int64()), pa.array(starts, pa.int64())]
+        kept = ["media_id", "cue_no", "own_us", "text"]
+        missing = batch.column("clip").is_null()
+        silent = pc.fill_null(pc.struct_field(batch.column("clip"), "is_empty"), True)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), missing, silent, *made], [*kept, "missing", "silent", "number", "now_us", "at_us"]), (now, number)
+
+    media, cue = cues.schema["media_id"].dataType.simpleString(), cues.schema["cue_no"].dataType.simpleString()
+    schema = f"media_id {media}, cue_no {cue}, own_us long, text string, missing boolean, silent boolean, number int, now_us long, at_us long"
+    played = walked(rows, ["media_id"], ["cue_no"], step, schema)
+
+    def segment(start: Column, end: Column, silence: Column, kind: Column) -> Column:
+        return F.struct(start.alias("start_us"), end.alias("end_us"), silence.alias("is_silence"), kind.alias("kind"))
+
+    until = F.col("at_us") + F.col("own_us")
+    clip = segment(F.col("at_us"), until, F.col("silent"), F.when(F.col("missing"), "missing").otherwise("clip"))
+    gap = segment(F.col("now_us"), F.col("at_us"), F.lit(True), F.lit("gap"))
+    parts = F.when(F.col("at_us") > F.col("now_us"), F.array(gap, clip)).otherwise(F.array(clip))
+    parts = played.select("media_id", "cue_no", "text", "number", F.posexplode(parts).alias("place", "of"))
+    return parts.select("media_id", (F.col("number") + F.col("place")).alias("seg_no"), "of.*", "cue_no", "text")
 
 
 def playout_starts(cues: DataFrame, clips: DataFrame) -> DataFrame:

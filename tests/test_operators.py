@@ -1,5 +1,7 @@
 """Properties and small cases of the operators that no query covers."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from cuewright.functions import audio as A
@@ -40,6 +42,69 @@ def test_dedup_is_idempotent(spark):
     assert S.dedup_events(once, day, 4 * day).count() == once.count()
 
 
+def _greedy(times, window):
+    last, kept = None, []
+    for at, number in sorted(times):
+        if last is None or at - last >= window:
+            last, kept = at, [*kept, number]
+    return kept
+
+
+def test_dedup_of_a_busy_key(spark):
+    """Against a plain walk: one key with most events, bursts and pauses, ties, a null step, and events without a time."""
+    draw = random.Random(5)
+    rows, at = [], 0
+    for n in range(3000):
+        at += draw.choice([0, 3, 10, 40, 99, 100]) if draw.random() < 0.98 else draw.choice([150, 200, 201, 5000])
+        rows.append((n, at * 1000, 1 if draw.random() < 0.8 else draw.randrange(4), draw.choice([None, 2]), "step_progress"))
+    rows += [(3000 + n, None, 1, 2, "step_progress") for n in range(3)]
+    events = spark.createDataFrame(rows, "sequence long, us long, task_id int, step_id int, event_type string").withColumn("event_time", F.timestamp_micros("us"))
+    want = {3000, 3001, 3002}
+    for key in {r[2:4] for r in rows}:
+        want.update(_greedy([(r[1], r[0]) for r in rows if r[2:4] == key and r[1] is not None], 100_000))
+    found = S.dedup_events(events.repartition(5), 25, 100)
+    assert found.columns == events.columns
+    assert sorted(r.sequence for r in found.collect()) == sorted(want)
+    assert S.dedup_events(events.limit(0)).count() == 0
+    assert S.throttle_progress(events, 100).count() == len(want)
+
+
+def test_most_holds_at_once(spark):
+    draw = random.Random(6)
+    rows = [(n, "gpu" if draw.random() < 0.9 else "cpu", draw.randrange(500), draw.randrange(60)) for n in range(800)]
+    log = spark.createDataFrame(rows, "no long, resource_type string, acquired_us long, hold_us long")
+    for bucket in (1, 7, 100, 10_000):
+        for r in S.resource_hold_stats(log, bucket_us=bucket).collect():
+            own = [(a, a + h) for _, kind, a, h in rows if kind == r.resource_type]
+            assert r.most_held == max(sum(a <= t < b for a, b in own) for t in range(600)) and r.acquired == len(own)
+
+
+def test_timeline_walk(spark):
+    """Late and early cues, a tolerance, clips that are missing or empty, in a media that reaches over many batches, and one of a single cue."""
+    draw = random.Random(7)
+    cues = [(1, n + 1, n * 1000 + draw.randrange(900), n * 1000 + 950, f"t{n}") for n in range(2500)] + [(2, 1, 5, 9, None)]
+    clips = [(1, n + 1, draw.randrange(300, 1600), draw.random() < 0.1) for n in range(2500) if n % 9]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = L.playout_timeline(
+            spark.createDataFrame(cues, "media_id long, cue_no int, start_us long, end_us long, text string").repartition(6),
+            spark.createDataFrame(clips, "media_id long, index int, clip_us long, is_empty boolean"), 50,
+        ).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    own, want, now, number = {c[1]: c for c in clips}, [], 0, 0
+    for media, n, start, end, text in cues:
+        clip = own.get(n) if media == 1 else None
+        now, number = (0, 0) if n == 1 else (now, number)
+        if start - now > 50:
+            want.append((media, number, now, start, True, "gap", n, text))
+            now, number = start, number + 1
+        until = now + (clip[2] if clip else end - start)
+        want.append((media, number, now, until, clip[3] if clip else True, "clip" if clip else "missing", n, text))
+        now, number = until, number + 1
+    assert sorted(map(tuple, found), key=lambda r: r[:2]) == want
+
+
 def test_chunked_audio(spark):
     chunks = spark.createDataFrame([(1, k, 10, [float(10 * k + i) for i in range(10)]) for k in range(3)], "media_id int, chunk_no bigint, sample_rate int, samples array<double>")
     cues = spark.createDataFrame([(1, 1, 500_000, 2_300_000), (1, 2, 2_900_000, 9_000_000)], "media_id int, cue_no int, start_us bigint, end_us bigint")
