@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import checkpointed, in_batches, small
+from .tables import checkpointed, in_batches, release, small
 
 SHINGLE_WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -248,6 +248,7 @@ def components(links: DataFrame) -> DataFrame:
         met = large.join(least, "u")
         tied = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(tied.union(least.select("u", F.col("m").alias("v"))).distinct())
+        release(edges.sparkSession)
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
@@ -265,12 +266,16 @@ def _placed(docs: DataFrame) -> DataFrame:
     )
     # Numbers of classes are fixed once they are stored. A doc_id would not do: rows may repeat it with other texts.
     classes = checkpointed(classes)
+    release(docs.sparkSession)
     bands = classes.select("class", F.explode("bands").alias("band"))
     # Heads are stored before the join, so that its side with many rows of a band can be split at run time.
     heads = checkpointed(bands.groupBy("band").agg(F.min("class").alias("head"), F.count("*").alias("size")).filter("size > 1").drop("size"))
     met = checkpointed(bands.join(heads, "band").filter("class > head").select("head", "class").distinct())
+    del bands, heads
+    release(docs.sparkSession)
 
     links = _links(met.select(F.col("head").alias("a"), F.col("class").alias("b")), classes, texts)
+    release(docs.sparkSession)
     roots = checkpointed(components(links))
 
     # Heads that have met more than one component, each with what it met.
