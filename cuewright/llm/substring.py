@@ -262,7 +262,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     sequences = known.transform(in_batches, _sequences, "doc_id long, text_key long, seq_a long, seq_b long, n int")
     first = sequences.groupBy("seq_a", "seq_b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    copies = sequences.join(first, ["seq_a", "seq_b"]).filter("doc_id > least").select(*KEY, "n").distinct()
+    # Stored, so that the many copies of one text can be split at run time.
+    copies = sequences.join(checkpointed(first), ["seq_a", "seq_b"]).filter("doc_id > least").select(*KEY, "n").distinct()
     copies = small(copies)
     single = known.join(copies.select(*KEY), KEY, "left_anti")
 
