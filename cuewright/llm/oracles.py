@@ -76,3 +76,57 @@ d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(lis
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank FROM d)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+NEGATIVES = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+      FROM v a JOIN v c ON c.vec_id <> a.vec_id AND len(c.e) = len(a.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+             s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score WHERE p.place <= 5)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+REPAIR = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+         lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+        FROM conversations),
+crc AS (SELECT src.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT)),
+                                      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM src, tab),
+dam AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE kind <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS ini,
+               rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS said FROM dam),
+flt AS (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate'
+                       WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+               lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM num),
+ins(h, g2, c, a) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (1, 2, 3, 'I'), (3, 2, 3, 'I'), (2, 3, 3, 'I'), (0, 3, 6, 'II'), (1, 3, 6, 'II')),
+edge(ini, g, h, c, a) AS (VALUES ('s', 0, 1, 0, 'K'), ('u', 0, 2, 0, 'K'), ('u', 1, 2, 0, 'K'), ('u', 3, 2, 0, 'K'), ('a', 2, 3, 0, 'K'),
+                                 ('*', 0, 2, 3, 'R'), ('*', 1, 2, 3, 'R'), ('*', 3, 2, 3, 'R'), ('*', 2, 3, 3, 'R'),
+                                 ('', 0, 0, 4, 'D'), ('', 1, 1, 4, 'D'), ('', 2, 2, 4, 'D'), ('', 3, 3, 4, 'D')),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+dp AS (SELECT conv_id, 0::BIGINT AS i, g2 AS g, {'c': c::BIGINT, 'a': a} AS best FROM ids, ins WHERE h = 0
+       UNION ALL
+       SELECT f.conv_id, f.i, ins.g2, min({'c': best.c + edge.c + ins.c + CASE WHEN fault = 'truncated' AND edge.a <> 'D' THEN 3 ELSE 0 END, 'a': best.a || edge.a || ins.a})
+       FROM dp JOIN flt f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1 JOIN edge ON edge.g = dp.g JOIN ins ON ins.h = edge.h
+       WHERE edge.ini = '' OR f.fault NOT IN ('blank', 'duplicate') AND (edge.ini = '*' OR edge.ini = f.ini)
+       GROUP BY f.conv_id, f.i, ins.g2),
+top AS (SELECT d.conv_id, min(best) AS best FROM dp d JOIN (SELECT conv_id, max(i) AS i FROM dp GROUP BY conv_id) m
+        ON d.conv_id IS NOT DISTINCT FROM m.conv_id AND d.i = m.i WHERE g IN (0, 3) GROUP BY d.conv_id),
+ops AS (SELECT conv_id, generate_subscripts(string_split(best.a, ''), 1) AS p, unnest(string_split(best.a, '')) AS op FROM top WHERE best.a <> ''),
+pos AS (SELECT *, sum(CASE WHEN op <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p) AS i FROM ops),
+line AS (SELECT a.conv_id, a.p, a.op, f.role, CASE WHEN op = 'I' THEN '' ELSE f.text END AS text, f.ini = 's' AND op = 'K' AS sys
+         FROM pos a LEFT JOIN flt f ON f.conv_id IS NOT DISTINCT FROM a.conv_id AND f.i = a.i WHERE op <> 'D'),
+seq AS (SELECT *, sum(CASE WHEN sys THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY p) AS q FROM line),
+txt AS (SELECT conv_id, string_agg(CASE WHEN op = 'K' THEN role WHEN q % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS t FROM seq GROUP BY conv_id),
+cnt AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+               count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM flt GROUP BY conv_id)
+SELECT top.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.c AS cost, best.a AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM top LEFT JOIN cnt ON cnt.conv_id IS NOT DISTINCT FROM top.conv_id LEFT JOIN txt ON txt.conv_id IS NOT DISTINCT FROM top.conv_id
+"""
