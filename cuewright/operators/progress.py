@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .walks import most_at_once, walked, with_sessions
+from .walks import clocked, most_at_once
 
 STEP_COUNT = 8
 LAST, DEFAULT_SECONDS = 1000, 60.0
@@ -47,24 +46,15 @@ def dedup_window(short_ms: int, long_ms: int) -> Column:
 def dedup_events(events: DataFrame, short_ms: int = 25, long_ms: int = 100, keys: list[str] = KEY_FIELDS) -> DataFrame:
     """Events without those that come within the window of their key's last accepted one; events without a time stay.
 
-    Acceptance depends on what was accepted before, so events are walked in order. Behind a pause as long as the longest window an event is always
-    accepted, so a key's events are dealt out by the sessions between such pauses.
+    Acceptance depends on what was accepted before, which is the clock of walks.clocked(): an event that is accepted sets it to its time. The window
+    has to be one for all events of a key.
     """
-    at, window = F.unix_micros(F.col("event_time").cast("timestamp")), dedup_window(short_ms, long_ms) * 1000
-    rows = events.withColumns({"_at_us": at, "_window_us": window})
-    rows = with_sessions(rows, keys, F.col("_at_us"), max(short_ms, long_ms) * 1000, "_session")
-    names = events.columns
-
-    def step(batch: pa.RecordBatch, opens: list[bool], last: int | None) -> tuple[pa.RecordBatch, int | None]:
-        taken = []
-        for first, now, least in zip(opens, batch.column("_at_us").to_pylist(), batch.column("_window_us").to_pylist(), strict=True):
-            take = first or now is None or last is None or now - last >= least
-            taken.append(take)
-            if take:
-                last = now
-        return batch.select(names).filter(pa.array(taken, pa.bool_())), last
-
-    return walked(rows, [*keys, "_session"], ["_at_us", "sequence"], step, events.schema)
+    if "event_type" not in keys and short_ms != long_ms:
+        raise ValueError("a key without event_type has events of two windows")
+    at = F.unix_micros(F.col("event_time").cast("timestamp"))
+    rows = events.withColumns({"_at_us": at, "_ahead_us": dedup_window(short_ms, long_ms) * 1000 - 1, "_own_us": F.lit(0).cast("long")})
+    walked = clocked(rows.filter("_at_us is not null"), keys, ["_at_us", "sequence"], "_at_us", "_own_us", "_ahead_us")
+    return walked.filter("is_set").select(events.columns).unionByName(events.filter("event_time is null"))
 
 
 def throttle_progress(events: DataFrame, window_ms: int = 200) -> DataFrame:
@@ -284,5 +274,7 @@ def load_cached_status(steps: DataFrame, legacy: DataFrame) -> DataFrame:
 
 
 def merge_metadata(old: Column, new: Column) -> Column:
-    """Maps as one, the right side wins; the session needs LAST_WIN."""
-    return F.map_concat(F.coalesce(old, F.create_map().cast("map<string,string>")), F.coalesce(new, F.create_map().cast("map<string,string>")))
+    """Maps as one, the right side wins; a null is an empty map."""
+    none = F.create_map().cast("map<string,string>")
+    old, new = F.coalesce(old, none), F.coalesce(new, none)
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)

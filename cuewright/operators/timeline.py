@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .retime import before, by_cue
-from .walks import walked
+from .walks import clocked
 
 #: Silence shorter than this is not inserted; a segment shorter than SHORT joins the one before.
 TOLERANCE_US, SHORT_US = 10_000, 300_000
@@ -38,31 +36,13 @@ def playout_timeline(cues: DataFrame, clips: DataFrame, tolerance_us: int = TOLE
     """media_id, seg_no, start_us, end_us, is_silence, kind, cue_no, text: cues in order, each at its start or, where what went before
     lasts longer, right after it; silence up to a cue where more than the tolerance is missing.
 
-    kind: gap, clip, or missing (silence of a cue's length for a clip that isn't there). The clock is carried from cue to cue; texts stay out
-    of that walk's state.
+    kind: gap, clip, or missing (silence of a cue's length for a clip that isn't there). The clock of walks.clocked() is carried from cue to cue, also
+    where a media's cues lie in several tasks.
     """
     rows = cue_audio_lookup(cues, clips)
-    rows = rows.select("media_id", "cue_no", "start_us", F.coalesce("clip.clip_us", F.col("end_us") - F.col("start_us")).alias("own_us"), "text", "clip")
-
-    def step(batch: pa.RecordBatch, opens: list[bool], state: tuple[int, int] | None) -> tuple[pa.RecordBatch, tuple[int, int] | None]:
-        now, number = state or (0, 0)
-        columns = []
-        for first, start, own in zip(opens, batch.column("start_us").to_pylist(), batch.column("own_us").to_pylist(), strict=True):
-            if first:
-                now, number = 0, 0
-            at = start if start - now > tolerance_us else now
-            columns.append((number, now, at))
-            number, now = number + 1 + (at > now), at + own
-        numbers, clocks, starts = zip(*columns, strict=True) if columns else ((), (), ())
-        made = [pa.array(numbers, pa.int32()), pa.array(clocks, pa.int64()), pa.array(starts, pa.int64())]
-        kept = ["media_id", "cue_no", "own_us", "text"]
-        missing = batch.column("clip").is_null()
-        silent = pc.fill_null(pc.struct_field(batch.column("clip"), "is_empty"), True)
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), missing, silent, *made], [*kept, "missing", "silent", "number", "now_us", "at_us"]), (now, number)
-
-    media, cue = cues.schema["media_id"].dataType.simpleString(), cues.schema["cue_no"].dataType.simpleString()
-    schema = f"media_id {media}, cue_no {cue}, own_us long, text string, missing boolean, silent boolean, number int, now_us long, at_us long"
-    played = walked(rows, ["media_id"], ["cue_no"], step, schema)
+    silent, own = F.coalesce("clip.is_empty", F.lit(True)), F.coalesce("clip.clip_us", F.col("end_us") - F.col("start_us"))
+    rows = rows.select("media_id", "cue_no", "start_us", own.alias("own_us"), "text", F.col("clip").isNull().alias("missing"), silent.alias("silent"), F.lit(tolerance_us).cast("long").alias("margin_us"))
+    played = clocked(rows, ["media_id"], ["cue_no"], "start_us", "own_us", "margin_us", 0, numbered=True).withColumnRenamed("before_us", "now_us")
 
     def segment(start: Column, end: Column, silence: Column, kind: Column) -> Column:
         return F.struct(start.alias("start_us"), end.alias("end_us"), silence.alias("is_silence"), kind.alias("kind"))
@@ -72,7 +52,7 @@ def playout_timeline(cues: DataFrame, clips: DataFrame, tolerance_us: int = TOLE
     gap = segment(F.col("now_us"), F.col("at_us"), F.lit(True), F.lit("gap"))
     parts = F.when(F.col("at_us") > F.col("now_us"), F.array(gap, clip)).otherwise(F.array(clip))
     parts = played.select("media_id", "cue_no", "text", "number", F.posexplode(parts).alias("place", "of"))
-    return parts.select("media_id", (F.col("number") + F.col("place")).alias("seg_no"), "of.*", "cue_no", "text")
+    return parts.select("media_id", (F.col("number") + F.col("place")).cast("int").alias("seg_no"), "of.*", "cue_no", "text")
 
 
 def playout_starts(cues: DataFrame, clips: DataFrame) -> DataFrame:
