@@ -62,9 +62,9 @@ def throttle_progress(events: DataFrame, window_ms: int = 200) -> DataFrame:
     return dedup_events(events.filter("event_type = 'step_progress'"), window_ms, window_ms, ["task_id", "step_id"])
 
 
-def fold_step_state(events: DataFrame) -> DataFrame:
+def fold_step_state(events: DataFrame, numbered: bool = False) -> DataFrame:
     """The state of each task and step: status of the latest event; a start sets the counters to 0 of total, progress to its own,
-    completion to all; the error of the latest failure; the time of the latest start."""
+    completion to all; the error of the latest failure; the time of the latest start; `numbered` adds the sequence of the latest event."""
     rows = events.filter("step_id is not null and event_type like 'step\\_%'")
     kind = F.substring("event_type", 6, 100)
     rows = rows.withColumn("kind", kind)
@@ -74,7 +74,7 @@ def fold_step_state(events: DataFrame) -> DataFrame:
     state = rows.groupBy("task_id", "step_id").agg(
         _latest(status).alias("status"), _latest(current, counted).alias("current_item"), _latest(F.col("total_items"), counted).alias("total_items"),
         _latest(F.col("error_message"), F.col("kind") == "failed").alias("error_message"), F.max(F.when(F.col("kind") == "started", F.col("event_time"))).alias("started_at"),
-        F.max("event_time").alias("updated_at"), F.count("*").alias("events"),
+        F.max("event_time").alias("updated_at"), F.count("*").alias("events"), *([F.max("sequence").alias("sequence")] if numbered else []),
     )
     progress = F.when(F.col("status") == "completed", 100.0).when(F.col("total_items") > 0, F.col("current_item") * 100.0 / F.col("total_items")).otherwise(0.0)
     return state.withColumn("progress", progress)
@@ -258,6 +258,21 @@ def status_health(events: DataFrame, every: str = "5 seconds", backlog: int = 50
     return rows.select(F.col("w.start").alias("from_time"), "tasks", "events", (F.col("events") > backlog).alias("alert"))
 
 
+def absences(events: DataFrame, keys: list[str], seconds: int = 30, until: Column | None = None) -> DataFrame:
+    """keys, last_seen, alert_at, seen_again: a row for each time that a key had no event for more than so many seconds; the last event of a key counts
+    where `until` (a time) is later than that, and is not seen again. Without keys all events count as one.
+
+    Events are reduced to the first and last of each stretch of that length, within which no such pause has room, before they are put in order.
+    """
+    own, micros = keys or ["_all"], lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = events.withColumn("_all", F.lit(0)).filter("event_time is not null")
+    stretches = rows.groupBy(*own, F.floor(micros("event_time") / F.lit(seconds * 1_000_000)).alias("_stretch")).agg(F.min("event_time").alias("first"), F.max("event_time").alias("last"))
+    again = F.lead("first").over(Window.partitionBy(*own).orderBy("_stretch"))
+    end = F.lit(None).cast("long") if until is None else F.unix_micros(until.cast("timestamp"))
+    pauses = stretches.withColumn("again", again).filter(F.coalesce(micros("again"), end) - micros("last") > seconds * 1_000_000)
+    return pauses.select(*keys, F.col("last").alias("last_seen"), (F.col("last") + F.expr(f"interval {seconds} seconds")).alias("alert_at"), F.col("again").alias("seen_again"))
+
+
 def group_batch_updates(events: DataFrame) -> DataFrame:
     """Events that are neither of a task nor progress, as one ordered list for each task."""
     rows = route_events(events).filter(~F.col("queue").isin("task", "progress"))

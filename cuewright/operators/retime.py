@@ -5,7 +5,6 @@ All windows of a chain share partitionBy(media_id).orderBy(cue_no), so Spark pla
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -105,49 +104,45 @@ def merge_repeated_style(cues: DataFrame) -> DataFrame:
     """A track where a style does not follow itself: of a run of one style every second row goes, its text joins the latest kept
     row of the other style, whose end (and that of the row before it) becomes its own.
 
-    With two styles this is a few windows; with more the other style is the first by name that isn't the row's own, and
-    one media's rows are walked in Python. A media of one style is left as it is. Where no row of the other style comes
-    before, the row before is kept once, with its end as it was.
+    The other style is the first by name of the media that isn't the row's own. A media of one style is left as it is. Where no row of the
+    other style comes before, the row before is kept once, with its end as it was.
     """
-    styles = cues.groupBy("media_id").agg(F.count_distinct("style").alias("styles"))
-    rows = cues.join(styles, "media_id")
-    single = rows.filter("styles < 2").drop("styles")
-    many = rows.filter("styles > 2").drop("styles")
     turns = F.coalesce((F.col("style") != F.lag("style").over(by_cue())).cast("int"), F.lit(1))
-    two = rows.filter("styles = 2").drop("styles").withColumn("run", F.sum(turns).over(by_cue()))
+    rows = cues.withColumns({"run": F.sum(turns).over(by_cue()), "first_style": F.min("style").over(whole())})
+    second = F.min(F.when(F.col("style") > F.col("first_style"), F.col("style"))).over(whole())
     place = F.row_number().over(Window.partitionBy("media_id", "run").orderBy("cue_no")) - 1
-    two = two.withColumn("place", place)
-    # The target of a folded row is the last kept row of the run before: the one at its last even place.
-    kept = two.withColumn("folded", F.col("place") % 2 == 1)
-    next_end = F.when(F.lead("folded").over(by_cue()) & (F.col("run") > 1), F.lead("end_us").over(by_cue()))
-    folds = kept.filter("folded").groupBy("media_id", (F.col("run") - 1).alias("run")).agg(
-        F.max_by("end_us", "cue_no").alias("far_us"), F.array_sort(F.collect_list(F.struct("cue_no", "text"))).alias("more")
+    rows = rows.withColumns({"second_style": second, "folded": place % 2 == 1})
+    # The latest kept row of each of the two styles that can be another row's other style.
+    latest = {f"last_{n}": F.last(F.when(~F.col("folded") & (F.col("style") == F.col(f"{n}_style")), F.col("cue_no")), True).over(before()) for n in ("first", "second")}
+    rows = rows.withColumns(latest).withColumn("target", F.when(F.col("style") == F.col("first_style"), F.col("last_second")).otherwise(F.col("last_first")))
+    next_end = F.when(F.lead(F.col("folded") & F.col("target").isNotNull()).over(by_cue()), F.lead("end_us").over(by_cue()))
+    single = F.col("second_style").isNull()
+    folds = rows.filter("folded and target is not null").groupBy("media_id", F.col("target").alias("cue_no")).agg(
+        F.max_by("end_us", "cue_no").alias("far_us"), F.array_sort(F.collect_list(F.struct(F.col("cue_no").alias("at"), "text"))).alias("more")
     )
-    kept = kept.withColumn("end_us", F.coalesce(next_end, "end_us")).filter("not folded")
-    last = F.max("place").over(Window.partitionBy("media_id", "run"))
-    joined = kept.withColumn("is_last", F.col("place") == last).join(folds, ["media_id", "run"], "left")
+    kept = rows.withColumn("next_end", next_end).filter(single | ~F.col("folded")).join(folds, ["media_id", "cue_no"], "left")
     texts = F.aggregate("more", F.col("text"), lambda t, x: _joined_texts(t, x["text"]))
-    hit = F.col("is_last") & F.col("more").isNotNull()
-    two = joined.withColumns({"text": F.when(hit, texts).otherwise(F.col("text")), "end_us": F.when(hit, F.col("far_us")).otherwise(F.col("end_us"))})
-    names = cues.columns
-    return two.select(names).unionByName(single.select(names)).unionByName(many.select(names).groupBy("media_id").applyInPandas(_walk_styles, cues.schema))
-
-
-def _walk_styles(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("cue_no")
-    names, out = sorted(rows["style"].unique()), []
-    todo = rows.to_dict("records")
-    i = 0
-    while i < len(todo):
-        now = todo[i]
-        again = todo[i + 1] if i + 1 < len(todo) and todo[i + 1]["style"] == now["style"] else None
-        if again is not None:
-            other = next(s for s in names if s != now["style"])
-            target = next((r for r in reversed(out) if r["style"] == other), None)
-            if target is not None:
-                target["text"] = ", ".join(t for t in (target["text"], again["text"]) if t)
-                target["end_us"] = now["end_us"] = again["end_us"]
-            i += 1
-        out.append(now)
-        i += 1
-    return pd.DataFrame(out, columns=rows.columns)
+    merged = {"text": F.when(F.col("more").isNotNull(), texts).otherwise(F.col("text")), "end_us": F.coalesce("far_us", "next_end", "end_us")}
+    return kept.withColumns(merged).select(cues.columns)
+
+
+def pair_tracks(track: DataFrame, other: DataFrame, tolerance_us: int = 2_000_000) -> DataFrame:
+    """media_id, cue_no, other_no, off_us: each cue of a track with the cue of another track of its media that starts nearest to it, less than the
+    tolerance away, and how much later that starts; nulls where there is none. Of two as near the earlier, of cues that start together the first by number.
+
+    A stretch of a media as long as the tolerance is put in order by itself, with the other track's starts of the stretches beside it, so that a
+    media may be many tasks and no pairs are made.
+    """
+    starts = other.groupBy("media_id", "start_us").agg(F.min("cue_no").alias("other_no"))
+    stretch = F.floor(F.col("start_us") / F.lit(tolerance_us))
+    near = starts.select("media_id", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch"), F.col("start_us").alias("at_us"), "other_no", F.lit(None).cast(track.schema["cue_no"].dataType).alias("cue_no"))
+    own = track.select("media_id", stretch.alias("stretch"), F.col("start_us").alias("at_us"), F.lit(None).cast(other.schema["cue_no"].dataType).alias("other_no"), "cue_no")
+    order = Window.partitionBy("media_id", "stretch").orderBy("at_us")
+    start = F.when(F.col("other_no").isNotNull(), F.struct("at_us", "other_no"))
+    behind, ahead = F.last(start, True).over(order.rangeBetween(Window.unboundedPreceding, 0)), F.first(start, True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    rows = near.unionByName(own).withColumns({"behind": behind, "ahead": ahead}).filter("cue_no is not null")
+    before_us, after_us = F.col("at_us") - F.col("behind.at_us"), F.col("ahead.at_us") - F.col("at_us")
+    found = F.when(F.coalesce(before_us <= after_us, after_us.isNull()), F.col("behind")).otherwise(F.col("ahead"))
+    rows = rows.withColumn("found", found).withColumn("off_us", F.col("found.at_us") - F.col("at_us"))
+    good = F.abs("off_us") < tolerance_us
+    return rows.select("media_id", "cue_no", F.when(good, F.col("found.other_no")).alias("other_no"), F.when(good, F.col("off_us")).alias("off_us"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import ATTEMPTS, AUDIO, BASE, CLIPS, CUES, ISLANDS, LINE, LISTING, LOG, PLAN, PLAYOUT, QUEUE, SIDES, STATE, TRACKS, _time
+from .oracles import ATTEMPTS, AUDIO, BASE, CLIPS, CUES, ISLANDS, LINE, LISTING, LOG, PLAN, PLAYOUT, QUEUE, SIDES, STATE, TRACKS, _retimed, _time
 
 DAY_US = 86_400_000_000
 #: The ordered steps of a run.
@@ -87,6 +87,32 @@ RECORD_SQL = {
     "reference_summary": f"WITH {REFERENCE}, a AS (SELECT media_id, count(*) AS requested FROM spoken GROUP BY 1), g AS (SELECT media_id, count(*) AS produced, count(*) FILTER (is_silence) AS silent, count(replaced_with) AS replaced FROM final GROUP BY 1) SELECT media_id, requested, coalesce(produced, 0) AS produced, coalesce(silent, 0) AS silent, coalesce(replaced, 0) AS replaced FROM a LEFT JOIN g USING (media_id)",
 }
 
+RECORD_SQL["step_status_table"] = RECORD_SQL["step_status_upsert"]
+RECORD_SQL["status_absence"] = f"""{LOG}, x AS (SELECT task_id, event_time AS last_seen, lead(event_time) OVER (PARTITION BY task_id ORDER BY event_time, sequence) AS seen_again FROM ev)
+        SELECT task_id, last_seen, last_seen + INTERVAL 8 HOUR AS alert_at, seen_again FROM x WHERE epoch_us(seen_again) - epoch_us(last_seen) > 28800000000"""
+RECORD_SQL["pair_tracks"] = f"""{BASE}, {_retimed("'cumulative'")}, x AS (
+          SELECT c.media_id, c.cue_no, r.cue_no AS other_no, r.new_start_us - c.start_us AS off_us,
+                 row_number() OVER (PARTITION BY c.media_id, c.cue_no ORDER BY abs(r.new_start_us - c.start_us), r.new_start_us, r.cue_no) AS n
+          FROM cues c LEFT JOIN retimed r ON r.media_id = c.media_id AND abs(r.new_start_us - c.start_us) < 2000000)
+        SELECT media_id, cue_no, other_no, off_us FROM x WHERE n = 1"""
+
+
+def _folded(style: str) -> str:
+    """merge_repeated_style of the cues with another style: a folded row looks for the last kept row of the first other style of its media."""
+    return f"""WITH {CUES}, c AS (SELECT media_id, cue_no, end_us, {style} AS style, 't' || cue_no AS text FROM cues),
+        p AS (SELECT *, cue_no - row_number() OVER (PARTITION BY media_id, style ORDER BY cue_no) AS island FROM c),
+        k AS (SELECT *, (row_number() OVER (PARTITION BY media_id, style, island ORDER BY cue_no) - 1) % 2 = 1 AS folded, count(DISTINCT style) OVER (PARTITION BY media_id) AS styles,
+                     (SELECT min(o.style) FROM c o WHERE o.media_id = p.media_id AND o.style <> p.style) AS other FROM p),
+        t AS (SELECT *, CASE WHEN folded THEN (SELECT max(o.cue_no) FROM k o WHERE o.media_id = k.media_id AND o.style = k.other AND NOT o.folded AND o.cue_no < k.cue_no) END AS target FROM k),
+        f AS (SELECT media_id, target, string_agg(text, ', ' ORDER BY cue_no) AS more, arg_max(end_us, cue_no) AS far FROM t WHERE target IS NOT NULL GROUP BY 1, 2)
+        SELECT t.media_id, t.cue_no, t.style, coalesce(f.far, n.end_us, t.end_us) AS end_us, t.text || coalesce(', ' || f.more, '') AS text
+        FROM t LEFT JOIN f ON f.media_id = t.media_id AND f.target = t.cue_no LEFT JOIN t n ON n.media_id = t.media_id AND n.cue_no = t.cue_no + 1 AND n.target IS NOT NULL
+        WHERE t.styles = 1 OR NOT t.folded"""
+
+
+RECORD_SQL["merge_repeated_style"] = _folded("CASE WHEN (cue_no * 7 + media_id) % 5 < 3 THEN 'top' ELSE 'bottom' END")
+RECORD_SQL["merge_three_styles"] = _folded("CASE WHEN (cue_no * 7 + media_id) % 11 < 4 THEN 'top' WHEN (cue_no * 7 + media_id) % 11 < 8 THEN 'bottom' ELSE 'middle' END")
+
 # Texts. A text is taken apart into the forms that count and single characters, and put together again.
 
 #: Forms of numbers whose marks stay, marks and what stands for them, contractions, and marks that end what belongs to a dash.

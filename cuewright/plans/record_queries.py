@@ -13,8 +13,10 @@ from ..operators import progress as S
 from ..operators import retime as R
 from ..operators import timeline as L
 from ..sources import documents as O
+from ..session import new_folder
 from ..sources import sinks as W
 from ..sources import subtitles as Q
+from ..sources.keyed import KeyedTable
 from . import adapters as D
 from .queries import _files, _steps, query
 
@@ -248,6 +250,44 @@ def step_status_upsert(spark, sf_dir):
     return W.upsert_step_status(old, new)
 
 
+@query
+def step_status_table(spark, sf_dir):
+    """The same two halves as updates of a stored table, which keeps the first from being applied again."""
+    events = D.status_events(spark, sf_dir)
+    half = F.col("sequence") % 2 == 0
+    time = events.schema["event_time"].dataType.simpleString()
+    table = KeyedTable(spark, new_folder(spark, "steps"), f"task_id long, step_id int, status string, error_message string, started_at {time}", ["task_id", "step_id"], 8)
+    old = S.fold_step_state(events.filter(half), True).select("task_id", "step_id", "status", "error_message", "started_at", "sequence")
+    new = S.fold_step_state(events.filter(~half), True).select("task_id", "step_id", "status", "error_message", F.col("updated_at").alias("event_time"), "sequence")
+    table.apply(old, 0, lambda stored, rows: rows.drop("sequence"))
+    for _ in range(2):
+        W.write_step_status(table, new, 1)
+    return table.read()
+
+
+@query
+def status_absence(spark, sf_dir):
+    """Tasks without an event for more than eight hours."""
+    return S.absences(D.status_events(spark, sf_dir), ["task_id"], 8 * 3600)
+
+
+@query
+def merge_three_styles(spark, sf_dir):
+    """Every media as a track of three styles, in runs."""
+    rows = D.cues(spark, sf_dir)
+    kind = (F.col("cue_no") * 7 + F.col("media_id")) % 11
+    style = F.when(kind < 4, "top").when(kind < 8, "bottom").otherwise("middle")
+    return R.merge_repeated_style(rows.withColumns({"style": style, "text": F.concat(F.lit("t"), "cue_no")})).select("media_id", "cue_no", "style", "end_us", "text")
+
+
+@query
+def pair_tracks(spark, sf_dir):
+    """Each cue with the nearest within two seconds of the track that its clips make."""
+    cues = D.cues(spark, sf_dir)
+    other = R.retime(cues, D.clips(cues), "cumulative").select("media_id", "cue_no", F.col("new_start_us").alias("start_us"))
+    return R.pair_tracks(cues, other)
+
+
 @query
 def merge_metadata(spark, sf_dir):
     """Two maps of a nation's fields, which share a key."""

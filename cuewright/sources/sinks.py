@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.timecode import format_time
 from . import subtitles as R
+from .keyed import KeyedTable, Merge
 
+# The beginning of an ASS file.
 ASS_HEADER = """[Script Info]
 ScriptType: v4.00+
 
@@ -103,7 +105,8 @@ def write_results_json(rows: DataFrame, folder: str, name: str, order: str, save
 
 
 def upsert_step_status(current: DataFrame, updates: DataFrame) -> DataFrame:
-    """The step table after partial updates: a null in an update leaves the old value, the first `processing` sets started_at."""
+    """The step table after partial updates: a null in an update leaves the old value, the first `processing` sets started_at (to that of the update, if
+    it has one, or else to its event_time)."""
     keys = ["task_id", "step_id"]
     fresh = updates.select(*keys, *[F.col(c).alias(f"new_{c}") for c in updates.columns if c not in keys])
     joined = current.join(fresh, keys, "full_outer")
@@ -112,8 +115,38 @@ def upsert_step_status(current: DataFrame, updates: DataFrame) -> DataFrame:
         if c in keys:
             out.append(F.col(c))
         elif c == "started_at":
-            begins = F.when(F.col("new_status") == "processing", F.col("new_event_time"))
+            begins = F.col("new_started_at") if "started_at" in updates.columns else F.when(F.col("new_status") == "processing", F.col("new_event_time"))
             out.append(F.coalesce(c, begins).alias(c))
         else:
             out.append((F.coalesce(f"new_{c}", c) if f"new_{c}" in fresh.columns else F.col(c)).alias(c))
     return joined.select(*out)
+
+
+def fold_updates(updates: DataFrame, keys: list[str], order: str = "sequence") -> DataFrame:
+    """One update for each key: of each column the latest value that is not null, and as started_at the time of the first `processing`."""
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in updates.columns if c not in keys and c != "started_at"]
+    first = F.min_by("event_time", F.when(F.col("status") == "processing", F.col(order)))
+    return updates.groupBy(*keys).agg(*latest, first.alias("started_at"))
+
+
+def write_step_status(table: KeyedTable, updates: DataFrame, batch: int, writer: str = "main") -> bool:
+    """Applies partial updates (task_id, step_id, status, event_time, sequence and others) to a stored step table, each batch once; false if it was there."""
+    return table.apply(fold_updates(updates, table.keys), batch, upsert_step_status, writer)
+
+
+def _newer(strictly: bool, kept: list[str]) -> Merge:
+    """States of a later sequence in place of the stored ones; of `kept` columns a null leaves the stored value."""
+
+    def merge(current: DataFrame, states: DataFrame) -> DataFrame:
+        keys = ["task_id", "step_id"]
+        fresh = states.select(*keys, *[F.col(c).alias(f"new_{c}") for c in current.columns if c not in keys], F.lit(True).alias("is_new"))
+        joined = current.withColumn("is_old", F.lit(True)).join(fresh, keys, "full_outer")
+        ahead = F.col("new_sequence") > F.col("sequence") if strictly else F.col("new_sequence") >= F.col("sequence")
+        wins = F.col("is_new").isNotNull() & (F.col("is_old").isNull() | ahead)
+        return joined.select(*keys, *[F.when(wins, F.coalesce(f"new_{c}", c) if c in kept else F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in current.columns if c not in keys])
+
+    return merge
+
+
+#: A snapshot is the whole state of a step; a critical event tells its status at once, and a snapshot of the same sequence tells more.
+merge_snapshots, merge_critical = _newer(False, []), _newer(True, ["current_item", "total_items", "error_message", "started_at"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cuewright.functions import audio as A
 from cuewright.operators import pairing as P
 from cuewright.operators import progress as S
+from cuewright.operators import retime as R
 from cuewright.operators import timeline as L
 from cuewright.plans import adapters as D
 from cuewright.plans.stages import run_stages, text_pipeline
@@ -156,3 +157,42 @@ def test_longer_stems_without_pairs_of_a_folder(spark):
     want = {"b.mp4": "b.szz.srt", "b.s.mp4": "b.szz.srt", "none.mkv": None, "é.mp4": "éa.vtt", "é.mkv": "éa.vtt", "same.mp4": "same.vtt"}
     assert dict(got.collect()) == {f"/m{d}/{m}": s and f"/m{d}/{s}" for d in (1, 2) for m, s in want.items()}
     assert "StartsWith" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _walked_styles(rows):
+    """merge_repeated_style of one media, row after row."""
+    names, out, i = sorted({r[1] for r in rows}), [], 0
+    while i < len(rows):
+        now = list(rows[i])
+        if len(names) > 1 and i + 1 < len(rows) and rows[i + 1][1] == now[1]:
+            again, other = rows[i + 1], next(s for s in names if s != now[1])
+            target = next((r for r in reversed(out) if r[1] == other), None)
+            if target is not None:
+                target[3] = ", ".join(t for t in (target[3], again[3]) if t)
+                target[2] = now[2] = again[2]
+            i += 1
+        out.append(now)
+        i += 1
+    return [tuple(r) for r in out]
+
+
+def test_styles_do_not_follow_themselves(spark):
+    draw = random.Random(8)
+    media = {m: [(n, draw.choice("abcd"[: m % 5] or "a"), n * 10, draw.choice(["", f"t{n}", f"u{n}"])) for n in range(draw.randrange(1, 40))] for m in range(40)}
+    cues = spark.createDataFrame([(m, *r) for m, rows in media.items() for r in rows], "media_id int, cue_no int, style string, end_us long, text string")
+    got = R.merge_repeated_style(cues.repartition(5)).collect()
+    assert sorted(map(tuple, got)) == sorted((m, *r) for m, rows in media.items() for r in _walked_styles(rows))
+    assert "FlatMapGroupsInPandas" not in R.merge_repeated_style(cues)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tracks_meet_at_the_nearest_start(spark):
+    draw = random.Random(9)
+    track = [(m, n, draw.randrange(200)) for m in range(3) for n in range(80)] + [(9, 1, 5)]
+    other = [(m, n, draw.randrange(0, 200, 3)) for m in range(3) for n in range(60)] + [(8, 1, 5)]
+    frames = [spark.createDataFrame(rows, "media_id int, cue_no int, start_us long") for rows in (track, other)]
+    for tolerance in (1, 2, 7):
+        want = []
+        for m, n, at in track:
+            near = min(((abs(s - at), s, k) for k_m, k, s in other if k_m == m and abs(s - at) < tolerance), default=None)
+            want.append((m, n, *((near[2], near[1] - at) if near else (None, None))))
+        assert sorted(map(tuple, R.pair_tracks(*frames, tolerance).collect())) == sorted(want)

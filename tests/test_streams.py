@@ -1,5 +1,9 @@
 """Streams give what the batch operators give on the same log."""
 
+import time
+
+from pyspark.sql import functions as F
+
 from cuewright.operators import progress as S
 from cuewright.plans.adapters import status_events
 from cuewright.streaming import events as E
@@ -51,3 +55,43 @@ def test_callback_errors_do_not_end_a_query(spark, tmp_path):
     E.flush_events(query)
     assert query.isActive and len(seen) >= 2
     query.stop()
+
+
+def test_absences_as_timers_tell_them(spark, tmp_path):
+    batch, stream = log(spark, tmp_path)
+    for keys in (["task_id"], []):
+        name = f"absent_{len(keys)}"
+        run(E.absence_stream(stream, keys, 6 * 3600), name)
+        told = sorted(map(tuple, spark.table(name).collect()))
+        want = S.absences(batch, keys, 6 * 3600, F.lit("2099-12-31 00:00:00").cast("timestamp")).drop("seen_again").collect()
+        assert told == sorted(map(tuple, want)) and len(told) == len(set(told)) > 0
+
+
+def test_absence_of_all_is_a_pause_between_neighbours(spark):
+    times = [0, 10, 40, 71, 71, 200, 230, 261]
+    events = spark.createDataFrame([(t,) for t in times], "s long").select(F.timestamp_seconds("s").alias("event_time"))
+    got = S.absences(events, [], 30, F.timestamp_seconds(F.lit(300))).select(F.unix_seconds("last_seen"), F.unix_seconds("alert_at"), F.unix_seconds("seen_again"))
+    assert sorted(map(tuple, got.collect())) == [(40, 70, 71), (71, 101, 200), (230, 260, 261), (261, 291, None)]
+
+
+def test_reports_and_callbacks_beside_a_failing_one(spark, tmp_path):
+    _, stream = log(spark, tmp_path)
+    told, seen = [], []
+
+    def fails(*_):
+        raise ValueError("told of")
+
+    reports = E.QueryReports(fails, told.append)
+    spark.streams.addListener(reports)
+    try:
+        query = E.on_event(stream, "step_failed", [fails, lambda batch, number: seen.append((number, batch.count()))], str(tmp_path / "cp"))
+        E.flush_events(query)
+        query.stop()
+        deadline = time.time() + 20
+        while not any(r["what"] == "ended" for r in told) and time.time() < deadline:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(reports)
+    own = [r["what"] for r in told if r["id"] == str(query.id)]
+    assert own[0] == "started" and own[-1] == "ended" and own.count("progress") >= 2 and len(seen) >= 2
+    assert sum(r["rows"] for r in told if r["what"] == "progress") > 0
