@@ -47,10 +47,9 @@ def _sets(data: np.ndarray, offsets: np.ndarray):
     data = W.lower_ascii(data)
     start, end, first = W.word_spans(data, offsets)
     hashes = W.word_hashes(data, start, end)
-    row_a = W.span_hashes(hashes, first[:-1], first[1:], 1)
-    row_b = W.span_hashes(hashes, first[:-1], first[1:], 2)
+    row_a, row_b = (W.run_hashes(h, first[:-1], first[1:], seed) for seed, h in enumerate((hashes, W.word_hashes(data, start, end, 1))))
     at = W.gram_starts(first, SHINGLE_WORDS)
-    grams = W.span_hashes(hashes, at, at + SHINGLE_WORDS, 3)
+    grams = W.gram_hashes(hashes, at, SHINGLE_WORDS)
     cut = np.searchsorted(at, first)
     for i in range(len(first) - 1):
         count = first[i + 1] - first[i]

@@ -141,7 +141,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     shapes = []
     for keep in (~(repeated & letter), ~(repeated & (letter | digit))):
         at = np.append(0, np.cumsum(keep))
-        shapes.append(W.word_hashes(kind[keep], at[start], np.maximum(at[end], at[start])))
+        shapes.append(W.feature_hashes(kind[keep], at[start], np.maximum(at[end], at[start])))
     digits = np.append(0, np.cumsum(digit))
     turns = np.append(0, np.cumsum((digit[1:] & letter[:-1]) | (letter[1:] & digit[:-1])))
     n_digits, n_turns = digits[end] - digits[start], turns[np.maximum(end - 1, start)] - turns[start]
@@ -151,7 +151,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     row_start = np.repeat(offsets[:-1], np.diff(first))
     gap = marks[start] - marks[np.maximum(before, row_start)]
     flags = sum(((gap >> 16 * i & 0xFFFF) > 0).astype(np.int64) << i for i in range(4))
-    word = W.word_hashes(W.lower_ascii(data), start, end)
+    word = W.feature_hashes(W.lower_ascii(data), start, end)
     own = [word, shapes[0], shapes[1], np.where(n_digits > 12, 12 + np.minimum(n_digits - 12, 36) // 6, n_digits), np.where(n_turns > 4, 5 + (np.minimum(n_turns, 16) - 4) // 6, n_turns) * 16 + np.minimum(size, 9), flags]
     return Tokens(start, end, first, np.stack([c.astype(np.uint64) for c in own], axis=1).reshape(-1, _SELF))
 

@@ -214,7 +214,7 @@ def repeated_words(hashes: np.ndarray, first_word: np.ndarray) -> np.ndarray:
     """Words of each row that lie in a run of three words that the row has twice or more."""
     at = W.gram_starts(first_word, 3)
     row = np.searchsorted(first_word, at, "right") - 1
-    grams = W.mix(W.span_hashes(hashes, at, at + 3, 1) + row.astype(np.uint64))
+    grams = W.mix(W.gram_hashes(hashes, at, 3) + row.astype(np.uint64))
     _, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
     again = at[counts[inverse] > 1]
     cover = np.zeros(len(hashes) + 3, np.int64)

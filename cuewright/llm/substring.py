@@ -8,7 +8,7 @@ depends on. A window of words that holds such a range whole holds that symbol wh
 
 Of the symbols whose ranges a window holds, the one of the least hash, over the words of its range, is its anchor. Spark gathers the anchors and
 finds those that several documents share; a window whose anchor one document has alone can't repeat elsewhere. Only
-windows with shared anchors (and windows that hold no whole range) are verified, by a hash of all their words. Of documents
+windows with shared anchors (and windows that hold no whole range) are verified, by 128 bits of hashes of all their words. Of documents
 with one word sequence only the first takes part: all windows of the others repeat.
 """
 
@@ -149,17 +149,17 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, end_row, data, offsets in W.chunked(batch):
             start, end, first_word = W.word_spans(data, offsets)
             at = spread(*_ragged(batch.column("ranges"), first_word[:-1], row, end_row))
-            hashes = W.word_hashes(data, start, end)
+            pair = [W.as_long(W.gram_hashes(W.word_hashes(data, start, end, seed), at, WINDOW, seed)) for seed in (0, 1)]
             doc = np.searchsorted(first_word, at, "right") - 1
             rows = pa.array(doc + row)
             yield pa.RecordBatch.from_arrays(
                 [
-                    W.as_long(W.span_hashes(hashes, at, at + WINDOW, 4)),
+                    *pair,
                     batch.column("doc_id").take(rows),
                     batch.column("text_key").take(rows),
                     pa.array((at - first_word[doc]).astype(np.int32)),
                 ],
-                ["window", *KEY, "at"],
+                ["window", "window_b", *KEY, "at"],
             )
 
 
@@ -203,9 +203,9 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, _, data, offsets in W.chunked(batch):
             start, end, first_word = W.word_spans(data, offsets)
-            hashes, words = W.word_hashes(data, start, end), np.diff(first_word)
+            words = np.diff(first_word)
             rows = np.flatnonzero(words >= WINDOW)
-            pair = [W.as_long(W.span_hashes(hashes, first_word[:-1][rows], first_word[1:][rows], seed)) for seed in (1, 2)]
+            pair = [W.as_long(W.run_hashes(W.word_hashes(data, start, end, seed), first_word[:-1], first_word[1:], seed)[rows]) for seed in (0, 1)]
             keys = [batch.column(k).take(pa.array(rows + row)) for k in KEY]
             yield pa.RecordBatch.from_arrays([*keys, *pair, pa.array(words[rows].astype(np.int32))], [*KEY, "seq_a", "seq_b", "n"])
 
@@ -274,9 +274,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     flagged = anchors.join(shared, "symbol", "left_semi").union(anchors.filter("symbol is null"))
     ranges = _by_document(flagged, F.col("first"), F.col("last"))
 
-    windows = single.join(_held(ranges), KEY).transform(in_batches, _windows, "window long, doc_id long, text_key long, at int")
-    least = windows.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    repeats = windows.join(checkpointed(least.select("window", "a")), "window").filter("doc_id > a")
+    windows = single.join(_held(ranges), KEY).transform(in_batches, _windows, "window long, window_b long, doc_id long, text_key long, at int")
+    least = windows.groupBy("window", "window_b").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
+    repeats = windows.join(checkpointed(least.select("window", "window_b", "a")), ["window", "window_b"]).filter("doc_id > a")
     removed = _by_document(repeats, F.col("at"), F.col("at"))
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") - WINDOW).alias("last")))
     removed = removed.union(copies.select(*KEY, whole.alias("ranges")))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, new_folder, shared_dir  # noqa: F401
 from . import words
 
 #: A side is broadcast only after it was counted and found to hold at most this many (narrow) rows.
@@ -22,30 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
-        found = tempfile.mkdtemp(prefix="cuewright-")
-        spark.sparkContext.setCheckpointDir(found)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder; Spark removes the files with the last reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark remove shuffles and checkpoints that nothing refers to any more; else they wait for the driver to collect its garbage by itself."""
     gc.collect()

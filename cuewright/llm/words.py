@@ -1,9 +1,12 @@
 """Words of Arrow text columns as numpy arrays.
 
 A word is a maximal run of characters other than space, tab, line feed, vertical tab, form feed and carriage
-return. All six are single UTF-8 bytes, so words can be cut out of the raw bytes of a whole batch at once. Hashes
-come from prefix sums of a polynomial modulo 2**64, which gives any span of bytes or words its hash in constant
-time, and are mixed at the end.
+return. All six are single UTF-8 bytes, so words can be cut out of the raw bytes of a whole batch at once.
+
+A word's hash is a sum of random numbers, one for each place and byte, and a run of words goes by its words mixed with
+their places, or pairwise: no two texts are known to collide. Seeds 0 and 1 draw on tables of their own, so that two of them are 128
+bits. feature_hashes() and span_hashes() are cheaper, a polynomial modulo 2**64, which texts of a certain form
+collide under; they only serve features and candidates, never to tell that texts are equal.
 """
 
 from __future__ import annotations
@@ -119,8 +122,55 @@ def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: in
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def feature_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return span_hashes(_BYTE_VALUES[data], start, end)
+
+
+#: Random numbers for each of PLACES places and each byte; later places mix them with their number.
+PLACES = 16
+_TABLES = np.random.default_rng(1001).integers(1 << 63, size=(2, PLACES * 256), dtype=np.uint64) * np.uint64(2) + np.random.default_rng(1002).integers(2, size=(2, PLACES * 256), dtype=np.uint64)
+_STEP = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
+
+
+def _places(n: int, start: np.ndarray) -> np.ndarray:
+    """How far each item is from the last start before it."""
+    begins = np.zeros(n, np.int64)
+    begins[start[start < n]] = start[start < n]
+    return np.arange(n) - np.maximum.accumulate(begins)
+
+
+def _summed(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return mix(total[end] - total[start] + (end - start).astype(np.uint64) * _STEP[seed])
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    return span_hashes(_BYTE_VALUES[data], start, end, seed)
+    """64-bit hashes of words, which don't overlap, from the seed's table."""
+    place = _places(len(data), start)
+    values = _TABLES[seed][(place % PLACES << 8) | data]
+    far = np.flatnonzero(place >= PLACES)
+    values[far] = mix(values[far] + (place[far] // PLACES).astype(np.uint64) * _STEP[seed])
+    return _summed(values, start, end, seed)
+
+
+def run_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of runs of words, which don't overlap, from the words' hashes."""
+    return _summed(mix(hashes + _places(len(hashes), start).astype(np.uint64) * _STEP[seed]), start, end, seed)
+
+
+def gram_hashes(hashes: np.ndarray, at: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the runs of `width` words that begin at the places `at`: words meet in pairs, pairs of pairs and so on."""
+    joined = lambda a, b: mix(a * _STEP[seed] + b)
+    n, size, done, out = len(hashes) - width + 1, 1, 0, None
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    while size <= width:
+        if width & size:
+            part = hashes[done : done + n]
+            out, done = part if out is None else joined(out, part), done + size
+        hashes, size = joined(hashes[:-size], hashes[size:]) if 2 * size <= width else hashes, 2 * size
+    return mix(out[at] + np.uint64(width) * _STEP[seed])
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -113,6 +113,46 @@ def test_spans_and_hashes():
     assert h[1] == h[5] and len(set(h.tolist())) == 5
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_hashes_tell_complements_apart():
+    """Sequences and their complements, which collide under every polynomial modulo a power of two."""
+    one = thue_morse(2048)
+    two = one.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"{one} {two} {one}".encode(), np.uint8)
+    start, end, _ = W.word_spans(data, np.array([0, len(data)]))
+    for seed in (0, 1):
+        h = W.word_hashes(data, start, end, seed)
+        assert h[0] == h[2] != h[1]
+        words = np.array([h[0], h[1]])[np.array([[c == "b" for c in s] for s in (one, two, one)], int).reshape(-1)]
+        ends = np.array([0, 2048, 4096, 6144])
+        runs, grams = W.run_hashes(words, ends[:-1], ends[1:], seed), W.gram_hashes(words, ends[:-1], 2048, seed)
+        assert runs[0] == runs[2] != runs[1] and grams[0] == grams[2] != grams[1]
+
+
+@pytest.mark.parametrize("width", [1, 3, 5, 50, 64])
+def test_grams_go_by_their_words_alone(width):
+    words = np.random.default_rng(width).integers(0, 3, 400).astype(np.uint64)
+    at = np.arange(400 - width + 1)
+    for seed in (0, 1):
+        by: dict = {}
+        for i, h in zip(at, W.gram_hashes(words, at, width, seed).tolist(), strict=True):
+            by.setdefault(tuple(words[i : i + width].tolist()), set()).add(h)
+        assert all(len(v) == 1 for v in by.values()) and len(set.union(*by.values())) == len(by)
+    assert len(W.gram_hashes(words[:2], np.zeros(0, int), 5)) == 0
+
+
+def test_documents_of_colliding_words_are_not_alike(spark):
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    first, second = (" ".join(w if c == "a" else f"{w}x" for c in thue_morse(16)) for w in (one, two))
+    table = docs(spark, first, second, " ".join([one] * 60), " ".join([two] * 60))
+    assert all(r["kept"] for r in near_dup.near_duplicates(table).collect())
+    assert sum(r["n_removed"] for r in substring.remove_repeats(table).collect()) == 0
+
+
 # Near duplicates.
 
 
