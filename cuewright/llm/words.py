@@ -170,7 +170,7 @@ def gram_hashes(hashes: np.ndarray, at: np.ndarray, width: int, seed: int = 0) -
             part = hashes[done : done + n]
             out, done = part if out is None else joined(out, part), done + size
         hashes, size = joined(hashes[:-size], hashes[size:]) if 2 * size <= width else hashes, 2 * size
-    return mix(out[at] + np.uint64(width) * _STEP[seed])
+    return mix(out[at] + np.array([width], np.uint64) * _STEP[seed])
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -192,14 +192,18 @@ def test_rows_that_repeat_an_id_lose_no_link(spark):
     assert left == [(0, "b"), (1, "b"), (5, "c"), (9, "-")]
 
 
-def test_block_links_are_exact():
+def test_linked_sets_share_a_shingle_of_their_prefixes():
     rng = np.random.default_rng(7)
-    grams = [np.unique(rng.choice(400, size=200, replace=False).astype(np.uint64)) for _ in range(20)]
-    grams += [np.unique(np.append(g[5:], np.uint64(1000 + i))) for i, g in enumerate(grams)]
-    ids, signs = np.arange(40), np.stack([near_dup.signature(W.mix(g))[: near_dup.COMPARED].view(np.int32) for g in grams])
-    found = near_dup.block_links((ids, ids, signs, grams), (ids, ids, signs, grams))
-    true = {(i, j) for i in range(40) for j in range(40) if i != j and near_dup.is_link(len(np.intersect1d(grams[i], grams[j])), len(grams[i]), len(grams[j]))}
-    assert set(found) == true
+    grams = [np.unique(rng.choice(400, size=int(n), replace=False).astype(np.uint64)) for n in rng.integers(1, 200, 60)]
+    grams += [np.unique(np.append(g[int(k) :], W.mix(np.arange(int(m), dtype=np.uint64) + np.uint64(1000 * i)))) for i, g in enumerate(grams) for k, m in [(rng.integers(0, len(g) // 4 + 1), rng.integers(0, len(g) // 4 + 1))]]
+    tally = np.bincount((np.concatenate(grams) % np.uint64(near_dup.COUNTED)).astype(int), minlength=near_dup.COUNTED)
+    heads, linked = [set(near_dup.prefix(g, tally).tolist()) for g in grams], 0
+    for i in range(len(grams)):
+        for j in range(i):
+            if near_dup.is_link(len(np.intersect1d(grams[i], grams[j])), len(grams[i]), len(grams[j])):
+                linked += 1
+                assert heads[i] & heads[j]
+    assert linked > 20
 
 
 def test_least_matches():
