@@ -3,8 +3,8 @@
 Documents with one word sequence become a class first, so copies of any number cost one row each. Classes get
 min-hash signatures; classes that share a band are candidates. In a band's bucket every class is compared with the
 bucket's smallest one, its head, not with every other: where that settles that all that a head has met are one component, no further pair of
-them can change anything. Classes of which it doesn't meet again by their rarest shingles, as many of each as a link has to share one of, and only
-with classes of other components.
+them can change anything. Elsewhere, for the heads of each component at once, the classes outside of the largest component are compared with all
+others that these heads have met, packed in blocks, and a block tells of one link at most between a class and a component.
 A candidate pair's signatures are compared batch by batch; the pair is dropped as soon as the posterior probability
 that its similarity reaches the threshold falls under `miss`. Survivors are compared on their full shingle sets.
 """
@@ -31,8 +31,8 @@ COMPARED = 144
 #: Chance that a pair at the threshold shares no band, and chance at which the sequential test gives a pair up.
 MISS = 1e-6
 BATCH = 16
-#: Places of the table of counts by which shingles are rare: 2 MB, however many shingles there are.
-COUNTED = 1 << 18
+#: Documents, and bytes of text, that are packed into one row.
+PACK_ROWS, PACK_BYTES = 256, 1 << 20
 
 _RNG = np.random.default_rng(8)
 _XOR = _RNG.integers(1 << 32, size=BAND_ROWS * BANDS, dtype=np.uint32)
@@ -163,48 +163,51 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often shingles of each place of a table of COUNTED come up in a batch."""
-    for batch in batches:
-        found = _grams(batch.column("text"))
-        place, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]) % np.uint64(COUNTED), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(n)], ["place", "n"])
+def block_links(one, two) -> list[tuple[int, int]]:
+    """Links between the classes of two blocks (ids, roots, signatures, shingle sets): one for each class of the first and
+    component of the second that has any."""
+    ids, roots, signs, grams = two
+    sizes = np.array([len(g) for g in grams])
+    member = np.repeat(np.arange(len(grams)), sizes)
+    flat = np.concatenate(grams)
+    order = np.argsort(flat, kind="stable")
+    flat, member = flat[order], member[order]
+    out = []
+    for x, root, sign, own in zip(*one, strict=True):
+        other = np.flatnonzero(roots != root)
+        other = other[_open(np.broadcast_to(sign, (len(other), len(sign))), signs[other])]
+        if not len(other):
+            continue
+        low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+        n = high - low
+        at = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
+        both = np.bincount(member[at], minlength=len(ids))
+        good = other[is_link(both[other], len(own), sizes[other])]
+        for k in np.unique(roots[good], return_index=True)[1]:
+            out.append((int(x), int(ids[good[k]])))
+    return out
 
 
-def prefix(grams: np.ndarray, tally: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a set, as many as any set that it is linked with has to share one of: a link needs PERCENT of the set."""
-    order = np.lexsort((grams, tally[(grams % np.uint64(COUNTED)).astype(np.int64)]))
-    return grams[order[: len(grams) + (-PERCENT * len(grams)) // 100 + 1]]
+def _unpack(rows: pa.Array):
+    values = rows.values
+    signs = values.field("signature").flatten().to_numpy().reshape(len(values), -1)
+    return values.field("class").to_numpy(), values.field("root").to_numpy(), signs, _grams(values.field("text"))
 
 
-def _prefixes(tally):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, _, _ in W.chunked(batch):
-                sets = _grams(batch.column("text").slice(first, last - first))
-                own = [prefix(g, tally.value) for g in sets]
-                rows = pa.array(np.repeat(np.arange(first, last), [len(o) for o in own]))
-                sizes = np.repeat([len(g) for g in sets], [len(o) for o in own])
-                yield pa.RecordBatch.from_arrays([batch.column("class").take(rows), pa.array(sizes.astype(np.int64)), W.as_long(np.concatenate(own))], ["class", "n", "shingle"])
-
-    return run
-
-
-def _alike(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes (rows: class, root; texts: class, text) of unlike roots that share a shingle of their prefixes and whose sizes allow a link."""
-    counted = texts.transform(in_batches, _tally, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
-    tally = np.zeros(COUNTED, np.int64)
-    for place, n in counted.collect():
-        tally[place] = n
-    tally = texts.sparkSession.sparkContext.broadcast(tally)
-    rows = checkpointed(texts.transform(in_batches, _prefixes(tally), "class long, n long, shingle long").join(rows, "class"))
-    shares = rows.groupBy("shingle", "root").agg(F.count("*").alias("c"))
-    main = shares.groupBy("shingle").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    rows = checkpointed(rows.join(checkpointed(main.select("shingle", "main")), "shingle"))
-    # Of a shingle's classes those outside of its largest component meet the others.
-    one = rows.filter("root <> main").select("shingle", F.col("class").alias("one"), F.col("root").alias("root_one"), F.col("n").alias("n_one"))
-    both = checkpointed(one).join(rows, "shingle").filter("root <> root_one").filter(100 * F.least("n", "n_one") >= PERCENT * F.greatest("n", "n_one"))
-    return both.select(F.least("one", "class").alias("a"), F.greatest("one", "class").alias("b")).distinct()
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            found = block_links(_unpack(batch.column("one")[i]), _unpack(batch.column("two")[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """The rows (head, class, root, signature, text) of each head in blocks of PACK_ROWS and PACK_BYTES or so."""
+    sizes = rows.groupBy("head").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    parts = small(sizes.select("head", F.ceil(F.greatest(F.col("n") / PACK_ROWS, F.col("bytes") / PACK_BYTES)).alias("parts")))
+    part = F.pmod(F.xxhash64("class"), F.greatest("parts", F.lit(1)))
+    packs = rows.join(parts, "head").groupBy("head", part.alias("part"))
+    return packs.agg(F.collect_list(F.struct("class", "root", "signature", "text")).alias(name)).drop("part")
 
 
 def _side(df: DataFrame, one: str, value: str, name: str) -> DataFrame:
@@ -274,14 +277,17 @@ def _placed(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     roots = checkpointed(components(links))
 
-    # Heads that have met more than one component, each with what it met.
-    placed = met.join(roots, met["class"] == roots.node, "left").select("head", "class", F.coalesce("root", "class").alias("root"))
+    # Heads of one component, with what any of them has met, which often is much the same, so that a class comes up once for all of them.
+    own = roots.select(F.col("node").alias("head"), F.col("root").alias("of_head"))
+    placed = met.join(own, "head", "left").select(F.coalesce("of_head", "head").alias("head"), "class").distinct()
+    placed = checkpointed(placed.join(roots, placed["class"] == roots.node, "left").select("head", "class", F.coalesce("root", "class").alias("root")))
     shares = placed.groupBy("head", "root").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("head").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = checkpointed(placed.join(small(mixed.select("head", "main")), "head"))
     if not mixed.isEmpty():
-        pairs = _alike(mixed.select("class", "root").distinct(), checkpointed(_texts_of(texts, classes, mixed)))
-        roots = checkpointed(components(links.union(_links(pairs, classes, texts))))
+        full = mixed.join(classes.select("class", "signature"), "class").join(_texts_of(texts, classes, mixed), "class")
+        packs = _packed(full.filter("root <> main"), "one").join(_packed(full, "two"), "head").select("one", "two")
+        roots = checkpointed(components(links.union(packs.transform(in_batches, _meet, "a long, b long"))))
 
     # Each class that has copies or links, with the smallest doc_id of its component.
     nodes = roots.union(roots.select("root", "root").distinct()).withColumnRenamed("node", "class")
