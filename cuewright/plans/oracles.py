@@ -294,3 +294,7 @@ ORACLE_SQL["srt_lines"] = _roundtrip("srt")
 from .record_oracles import RECORD_SQL  # noqa: E402
 
 ORACLE_SQL |= RECORD_SQL
+
+from .file_oracles import FILE_SQL  # noqa: E402
+
+ORACLE_SQL |= FILE_SQL

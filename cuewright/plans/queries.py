@@ -482,4 +482,4 @@ def resume_plan(spark, sf_dir):
     return P.resume_plan(steps.select("task_id", "step_id"), steps).select("task_id", "step_id", "action")
 
 
-from . import record_queries  # noqa: E402, F401
+from . import file_queries, record_queries  # noqa: E402, F401

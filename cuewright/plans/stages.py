@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,14 +67,34 @@ def mux(t: Tables) -> DataFrame:
 STAGES = [clean_cues, requests, timeline, aligned_cues, speed, mux]
 
 
-def text_pipeline(rows: DataFrame, fn: Callable[[str], str], column: str = "text") -> DataFrame:
-    """Rows with a text column passed through a user's own function, in Arrow batches; nulls stay."""
-
-    @F.pandas_udf("string")
-    def own(texts: pd.Series) -> pd.Series:
-        return texts.map(fn, na_action="ignore")
-
-    return rows.withColumn(column, own(column))
+def text_pipeline(rows: DataFrame, fn: Callable[[str], str | list[str] | None], column: str = "text") -> DataFrame:
+    """The other columns with piece_no, piece and error: a row for each piece that a user's own function makes of a text, in Arrow batches.
+
+    The function gives a text, a list of any number of them, or None for none. Where it fails, one row tells of the error; a null text is not
+    passed on and gives one row without a piece.
+    """
+    names = [c for c in rows.columns if c != column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[tuple[int, int | None, str | None, str | None]] = []
+            for i, text in enumerate(batch.column(column).to_pylist()):
+                if text is None:
+                    made.append((i, None, None, None))
+                    continue
+                try:
+                    found = fn(text)
+                    pieces = [] if found is None else [found] if isinstance(found, str) else list(found)
+                except Exception as error:  # noqa: BLE001
+                    made.append((i, None, None, f"{type(error).__name__}: {error}"))
+                else:
+                    made += [(i, n, piece, None) for n, piece in enumerate(pieces)]
+            at, numbers, pieces, errors = (list(c) for c in zip(*made, strict=True)) if made else ([], [], [], [])
+            columns = [*(batch.column(c).take(pa.array(at, pa.int64())) for c in names), pa.array(numbers, pa.int32()), pa.array(pieces, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "piece_no", "piece", "error"])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name != column)
+    return rows.mapInArrow(run, f"{fields}piece_no int, piece string, error string")
 
 
 def run_stages(tables: Tables, stages: list[Stage] = STAGES) -> Tables:

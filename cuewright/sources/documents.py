@@ -41,6 +41,13 @@ def read_task_states(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TASK_STATE).option("multiLine", True).option("recursiveFileLookup", True).json(path)
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """document, field, value: a row for each field of the metadata documents below a path; what is nested is JSON."""
+    docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    return docs.select(F.col("_metadata.file_path").alias("document"), F.explode(F.from_json("value", "map<string,string>")).alias("field", "value"))
+
+
+_STEP_RESULTS = "map<string,struct<success:boolean,message:string,error:string,processing_time:double,is_partial:boolean>>"
 _V2 = (
     "metadata struct<version:string,updated_at:string>, task struct<task_id:string,video_path:string,subtitle_path:string,paths:map<string,string>,"
     "current_step:int,status:string,progress:double,step_results:map<string,struct<success:boolean,message:string,error:string,processing_time:double,is_partial:boolean>>>"
@@ -72,6 +79,13 @@ def read_task_docs(spark: SparkSession, path: str) -> DataFrame:
     return kept.unionByName(convert_legacy_tasks(old))
 
 
+def read_task_dicts(spark: SparkSession, path: str) -> DataFrame:
+    """document, task_id, status, current_step, progress, step_results of the task documents that task_documents() makes, below a path."""
+    docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    task = F.from_json("value", f"task_id string, status string, current_step int, progress double, step_results {_STEP_RESULTS}")
+    return docs.select(F.col("_metadata.file_path").alias("document"), task.alias("t")).select("document", "t.*")
+
+
 def task_steps(tasks: DataFrame) -> DataFrame:
     """Task rows (task_id, step_results map) as one row for each step."""
     return tasks.select("task_id", F.explode("step_results").alias("step", "r")).select("task_id", F.col("step").cast("int").alias("step_id"), "r.*")

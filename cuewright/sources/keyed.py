@@ -84,10 +84,8 @@ class KeyedTable:
     def apply(self, updates: DataFrame, batch: int, merge: Merge, writer: str = "main") -> bool:
         """The table after merge(rows of the touched buckets, updates); false if the table has this batch of the writer already.
 
-        A batch that the table has is not run at all. merge returns rows of the schema, and none that lie in other buckets than the updates do."""
-        if self.version()["batches"].get(writer, -1) >= batch:
-            return False
-        # Written first, as what makes the updates may be costly, or a stream's state.
+        merge returns rows of the schema, and none that lie in other buckets than the updates do."""
+        # Written first, as what makes the updates may be costly; and a stream's state is only kept for batches that have run.
         came = f"incoming/{uuid.uuid4().hex}"
         updates.write.parquet(f"{self.folder}/{came}")
         updates = self.spark.read.schema(updates.schema).parquet(f"{self.folder}/{came}")

@@ -159,11 +159,12 @@ def step_state_stream(events: DataFrame, numbered: bool = False) -> DataFrame:
 
 
 #: Columns of the table that sync_snapshots() keeps.
-STEP_TABLE = "task_id long, step_id int, status string, current_item int, total_items int, error_message string, started_at timestamp, updated_at timestamp, events long, sequence long, progress double"
+STEP_TABLE = "task_id long, step_id int, status string, current_item int, total_items int, error_message string, started_at {time}, updated_at {time}, events long, sequence long, progress double"
 
 
-def step_table(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> KeyedTable:
-    return KeyedTable(spark, folder, STEP_TABLE, ["task_id", "step_id"], buckets)
+def step_table(spark: SparkSession, folder: str, buckets: int = BUCKETS, time: str = "timestamp") -> KeyedTable:
+    """The table of sync_snapshots(); time is the type of the log's event_time."""
+    return KeyedTable(spark, folder, STEP_TABLE.format(time=time), ["task_id", "step_id"], buckets)
 
 
 def sync_snapshots(events: DataFrame, table: KeyedTable, checkpoint: str, every: str = "500 milliseconds") -> list[StreamingQuery]:

@@ -147,7 +147,12 @@ def test_stages(spark):
     refs = spark.createDataFrame([], "media_id bigint, index int, file_path string")
     out = run_stages({"cues": cues, "clips": D.clips(cues), "media": D.media(cues), "references": refs})
     assert out["mux"].count() == cues.select("media_id").distinct().count() and out["speed_plan"].count() > 0
-    assert [r[0] for r in text_pipeline(spark.createDataFrame([("a",), (None,)], "text string"), str.upper).collect()] == ["A", None]
+    texts = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "c")], "n int, text string")
+    assert [r["piece"] for r in text_pipeline(texts.filter("n < 3"), str.upper).collect()] == ["A B", None]
+    got = text_pipeline(texts, lambda t: [1 / len(t) and w for w in t.split()] if t != "c" else None).collect()
+    assert [tuple(r) for r in got] == [(1, 0, "a", None), (1, 1, "b", None), (2, None, None, None)]
+    failed = text_pipeline(texts, lambda t: t[0]).collect()
+    assert [(r["n"], r["piece"], (r["error"] or "").split(":")[0]) for r in failed] == [(1, "a", ""), (2, None, ""), (3, None, "IndexError"), (4, "c", "")]
 
 
 def test_longer_stems_without_pairs_of_a_folder(spark):
