@@ -265,7 +265,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, whose text has letters and is like the learned texts of the language that is identified.
+    """The rows of docs, with all columns, whose text has letters and is like the learned texts of the language that is identified, which is their lang
+    from then on.
 
     The score cannot tell: the scores of a text add up to 1 over the languages, so one of them is always at least 1 / languages.
     """
@@ -284,6 +285,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             good = language >= 0
             named = batch.filter(pa.array(good))
             fits = [evidence.value.fits(data, offsets, language[good][first:last]) for first, last, data, offsets in W.chunked(named, limit=BATCH_BYTES, most=BATCH_ROWS)]
+            named = named.set_column(named.schema.get_field_index("lang"), "lang", done["lang_pred"].combine_chunks().filter(pa.array(good)))
             yield named.filter(pa.array(np.concatenate([*fits, np.zeros(0, bool)]))).select([n for n in batch.schema.names if n != "__has_letter"])
 
     return marked.transform(in_batches, keep, docs.schema)

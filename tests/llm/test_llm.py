@@ -316,6 +316,14 @@ def test_texts_of_no_learned_language_are_rejected(spark):
         assert len(kept & set(range(n + len(bad), len(rows_)))) >= 0.95 * len(clean) and len(kept & set(range(n))) >= 0.95 * n
 
 
+def test_kept_documents_have_the_language_that_was_found(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    unnamed = docs.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(unnamed).collect()}
+    kept = language.keep_identified(unnamed).collect()
+    assert len(kept) > 100 and all(r["lang"] == found[r["doc_id"]] for r in kept)
+
+
 def test_sample_has_all_languages_and_distinct_texts(spark):
     """Copies do not displace the distinct texts of a language, and more than 64 languages are all learned."""
     copies = spark.range(40_000).select(F.concat(F.lit("text number "), F.col("id") % 20).alias("text"), F.lit("xx").alias("lang"))
