@@ -298,3 +298,7 @@ ORACLE_SQL |= RECORD_SQL
 from .file_oracles import FILE_SQL  # noqa: E402
 
 ORACLE_SQL |= FILE_SQL
+
+from .text_oracles import TEXT_SQL  # noqa: E402
+
+ORACLE_SQL |= TEXT_SQL
