@@ -71,12 +71,13 @@ def test_merge_repeated_style(spark):
 
 
 def test_merge_repeated_style_same_as_walk(spark):
-    """The windows for two styles against the walk that more styles take."""
+    """The windows for two styles against a walk over a media's rows."""
     import random
 
+    from .test_operators import _walked_styles
+
     rng = random.Random(5)
     rows = [(m, i, i * SECOND, (i + 1) * SECOND, f"t{i}", rng.choice("AB"), "") for m in range(30) for i in range(1, 15)]
     cues = spark.createDataFrame(rows, "media_id bigint, cue_no int, start_us bigint, end_us bigint, text string, style string, actor string")
-    walked = cues.groupBy("media_id").applyInPandas(R._walk_styles, cues.schema)
-    key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(R.merge_repeated_style(cues)) == key(walked)
+    walked = sorted((m, *r) for m in range(30) for r in _walked_styles([(i, s, e, t) for k, i, _, e, t, s, _ in rows if k == m]))
+    assert sorted((r["media_id"], r["cue_no"], r["style"], r["end_us"], r["text"]) for r in R.merge_repeated_style(cues).collect()) == walked

@@ -32,3 +32,10 @@ def test_entry_without_corpus_operators():
 
     assert set(QUERIES) <= set(entry.queries())
     assert set(ORACLE_SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["merge_metadata", "decode_text", "write_subtitles", "step_status_table", "playout_timeline"])
+def test_on_a_session_without_settings(spark, con, name):
+    plain = spark.newSession()
+    assert plain.conf.get("spark.sql.mapKeyDedupPolicy") == "EXCEPTION"
+    assert rows(QUERIES[name](plain, SF).toPandas()) == rows(con.sql(ORACLE_SQL[name]).df())
