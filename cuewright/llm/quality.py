@@ -1,10 +1,13 @@
 """Quality rules: plain counts of a text, and bands of perplexity under a modified Kneser-Ney n-gram model for each language.
 
 The n-grams are runs of ORDER characters of lower-cased text (UTF-16 units, so that any script and sign is itself and a run is one 64-bit
-number). Spark counts those of all documents by language (each task sums its own first), and gets continuation counts, discounts and
-interpolated probabilities from them by grouping and joining. The model is stored as arrays of log-probabilities in the order of the n-grams'
-hashes, which scoring searches. Arrays up to MODEL_BYTES go to all tasks; a larger model stays a table that the documents' n-grams are joined
-with. A language's band of log-perplexity is its quartiles, over all its documents that pass the plain rules, widened by BAND times their distance.
+number). A text is never judged by what it taught: texts are dealt to two halves by a hash of the text, and each half is scored by the model of
+the other. A half learns from its texts that pass the plain rules, each distinct one once. Spark counts n-grams by language and half (each task sums
+its own first), and gets continuation counts, discounts and interpolated probabilities from them by grouping and joining, also for the n-grams
+that only the scored half has. These are stored as arrays of log-probabilities in the order of the n-grams' hashes, which scoring searches. Arrays up to
+MODEL_BYTES go to all tasks; a larger model stays a table that the documents' n-grams are joined with; both hold the same numbers.
+A language's band of log-perplexity is the shortest interval with half of its distinct documents that pass the plain rules, so that junk moves it only
+where it is over half of them, widened by BAND times its length.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ ORDER, UNIT_BITS = 4, 16
 MODEL_BYTES, NGRAM_BYTES = 96 << 20, 12
 #: n-grams that a task sums up before it merges them.
 PENDING = 2_000_000
-BAND, LEAST_SPREAD = 5.0, 0.02
+#: A band's least spread, and what a language of one document has more; n documents have that by the root of n.
+BAND, LEAST_SPREAD, FEW_SPREAD = 8.0, 0.02, 0.3
 LEAST_WORDS, MOST_REPEATED = 50, 50
 MARKS = b"#*$%&|<>"
 
@@ -77,7 +81,18 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return code[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fails(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
+    return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
+
+
+def _teaches(data: np.ndarray, offsets: np.ndarray) -> list[bool]:
+    """Whether each row passes the plain rules."""
+    start, end, first_word = W.word_spans(data, offsets)
+    return (~_fails(np.diff(first_word), repeated_words(W.word_hashes(data, start, end), first_word))).tolist()
+
+
+def _count(batches: Iterator[pa.RecordBatch], plain: bool = False) -> Iterator[pa.RecordBatch]:
+    """How often n-grams come by language; with `plain`, how often in texts that pass the plain rules, which may be 0."""
     sums: dict = defaultdict(list)
     held = 0
 
@@ -89,9 +104,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = batch.column("lang").to_pylist()
         for first, last, data, offsets in W.chunked(batch):
             codes, cut = ngrams(data, offsets)
-            for c, at in _by_language(languages[first:last], cut):
-                sums[c].append(np.unique(codes[at], return_counts=True))
-                held += len(sums[c][-1][0])
+            teaches = _teaches(data, offsets) if plain else [True] * (last - first)
+            for (c, counts), at in _by_language(list(zip(languages[first:last], teaches, strict=True)), cut):
+                code, n = np.unique(codes[at], return_counts=True)
+                sums[c].append((code, n * counts))
+                held += len(code)
             if held > PENDING:
                 sums = defaultdict(list, {c: [_merged(parts)] for c, parts in sums.items()})
                 held = sum(len(parts[0][0]) for parts in sums.values())
@@ -116,34 +133,65 @@ def _discounts(level: DataFrame) -> DataFrame:
     return small(n.select(*out))
 
 
-def estimate(counts: DataFrame) -> DataFrame:
-    """lang, code, logp: modified Kneser-Ney log-probability of the last unit of each n-gram (lang, code, n) after the others. No lang may be null."""
-    orders = [counts]
+def estimate(counts: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """lang, code, logp: modified Kneser-Ney log-probability of the last unit of each n-gram after the others, learned from counts (lang, code, n), for
+    the n-grams of asked (lang, code), by default those of counts. No lang may be null. Where nothing was learned, all units weigh the same."""
+    orders, wanted = [counts], [counts if asked is None else asked]
     for k in range(ORDER - 1, 0, -1):
-        orders.append(checkpointed(orders[-1].groupBy("lang", _tail("code", k).alias("code")).agg(F.count("*").alias("n"))))
+        tail = ["lang", _tail("code", k).alias("code")]
+        orders.append(checkpointed(orders[-1].groupBy(*tail).agg(F.count("*").alias("n"))))
+        wanted.append(orders[-1] if asked is None else checkpointed(wanted[-1].select(*tail).distinct()))
     lower = None
-    for k, level in enumerate(reversed(orders)):
+    for k, (level, want) in enumerate(zip(reversed(orders), reversed(wanted), strict=True)):
         found = _discounts(level)
-        rows = level.join(found, level.lang == found.of).drop("of")
         own = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = rows.select("lang", "code", "n", F.shiftrightunsigned("code", UNIT_BITS).alias("context"), own.alias("rest"))
-        whole = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("rest").alias("left"), F.count("*").alias("seen"))
-        rows = rows.join(whole, ["lang", "context"])
+        known = level.join(found, level.lang == found.of).drop("of").select("lang", "code", "n", own.alias("rest"))
+        if asked is not None:
+            known = checkpointed(known)
+        context = F.shiftrightunsigned("code", UNIT_BITS)
+        whole = known.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"), F.sum("rest").alias("left"), F.count("*").alias("seen"))
+        rows = known if asked is None else want.select("lang", "code").join(known, ["lang", "code"], "left")
+        rows = rows.withColumn("context", context).join(whole, ["lang", "context"], "left")
         if lower is None:
             # Below single units, all that the language has, and one more for what it has not, weigh the same.
-            back = 1 / (F.col("seen") + 1)
+            back = F.coalesce(1 / (F.col("seen") + 1), F.lit(2.0**-UNIT_BITS))
         else:
             tail = lower.select("lang", F.col("code").alias("tail"), F.col("p").alias("back"))
             rows = rows.withColumn("tail", _tail("code", k)).join(tail, ["lang", "tail"])
             back = F.col("back")
-        p = (F.col("n") - F.col("rest")) / F.col("total") + F.col("left") / F.col("total") * back
+        above = F.coalesce((F.col("n") - F.col("rest")) / F.col("total"), F.lit(0.0))
+        p = F.coalesce(above + F.col("left") / F.col("total") * back, back)
         lower = checkpointed(rows.select("lang", "code", p.alias("p")))
     return lower.select("lang", "code", F.log("p").alias("logp"))
 
 
+def _counts(rows: DataFrame, plain: bool = False) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _count(batches, plain)
+
+    return rows.select("lang", "text").transform(in_batches, work, "lang string, code long, n long")
+
+
 def train(rows: DataFrame) -> DataFrame:
     """lang, code, logp: the model of the rows (lang, text), which knows every n-gram of them. No lang may be null."""
-    return estimate(checkpointed(rows.transform(in_batches, _count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))))
+    return estimate(checkpointed(_counts(rows).groupBy("lang", "code").agg(F.sum("n").alias("n"))))
+
+
+def train_halves(rows: DataFrame) -> DataFrame:
+    """lang, code, logp: for each n-gram of the rows (lang, text, row_key), its log-probability under what the other half of the language teaches.
+    A lang begins with its half, 0 or 1.
+
+    Texts that come more than once teach once: their keys are found first, and only they are grouped. These keys are broadcast within the bound of
+    small(); beyond that the rows are shuffled by key.
+    """
+    copied = small(rows.groupBy("row_key").count().filter("count > 1").select("row_key"))
+    once = rows.join(copied, "row_key", "left_anti")
+    first = rows.join(copied, "row_key", "left_semi").groupBy("row_key").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
+    found = _counts(once, True).unionByName(_counts(first, True))
+    counts = checkpointed(found.groupBy("lang", "code").agg(F.sum("n").alias("n")))
+    other = F.translate(F.substring("lang", 1, 1), "01", "10")
+    taught = counts.filter("n > 0").withColumn("lang", F.concat(other, F.expr("substring(lang, 2)")))
+    return checkpointed(estimate(taught, counts))
 
 
 @dataclass
@@ -259,14 +307,15 @@ def quality(docs: DataFrame, model_bytes: int = MODEL_BYTES) -> DataFrame:
 
     base_failed: fewer than 50 words, or over half of them in repeated runs of three. kept: not base_failed, and the
     log-perplexity lies within the band of the document's language (a null language is one of its own). Null or empty text:
-    all counts 0, base_failed. Repeated rows each count and get their row. Other columns are ignored.
+    all counts 0, base_failed. Repeated rows each get their row, and teach and weigh as one. Other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    # A language's name with a sign before it, so that no language at all is a name too.
-    lang = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
+    # A language's name with a sign before it, so that no language at all is a name too, and before that the half of the text.
+    half = F.xxhash64(F.lit("half"), text).bitwiseAND(F.lit(1)).cast("string")
+    lang = F.concat(half, F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), lang.alias("lang"), F.xxhash64(text, lang).alias("row_key"))
-    model = train(rows.select("lang", "text"))
+    model = train_halves(rows).select("lang", "code", F.col("logp").cast("float").alias("logp"))
     fits = model.count() * NGRAM_BYTES <= model_bytes
     score = None
     if fits:
@@ -277,13 +326,17 @@ def quality(docs: DataFrame, model_bytes: int = MODEL_BYTES) -> DataFrame:
         score = _scores(spark.sparkContext.broadcast(stores))
     measured = rows.transform(in_batches, _measure(score), f"doc_id long, lang string, row_key long, {COUNTS}, log_perplexity double")
     if not fits:
-        joined = _joined_scores(rows, model)
+        joined = _joined_scores(rows.dropDuplicates(["row_key"]), model)
         measured = measured.join(joined, measured.row_key == joined.key, "left").withColumn("log_perplexity", F.coalesce(-F.col("joined"), F.lit(0.0)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    measured = checkpointed(measured.withColumn("base_failed", failed))
-    quarters = measured.filter("not base_failed").groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"))
-    spread = F.greatest(F.expr("q[1] - q[0]"), F.lit(LEAST_SPREAD)) * BAND
-    bands = small(quarters.select("lang", (F.expr("q[0]") - spread).alias("low"), (F.expr("q[1]") + spread).alias("high")))
+    # Sums in another order differ in their last digits.
+    loss = F.round("log_perplexity", 9)
+    measured = checkpointed(measured.withColumns({"base_failed": failed, "log_perplexity": loss, "lang": F.expr("substring(lang, 2)")}))
+    distinct = measured.filter("not base_failed").groupBy("lang", "row_key").agg(F.first("log_perplexity").alias("loss"))
+    hundredths = distinct.groupBy("lang").agg(F.percentile_approx("loss", [i / 100 for i in range(101)], 10_000).alias("q"), F.count("*").alias("n"))
+    half_of = F.expr("array_min(transform(sequence(0, 50), i -> struct(q[i + 50] - q[i] AS length, q[i] AS low, q[i + 50] AS high)))")
+    spread = F.greatest(F.col("s.length"), F.lit(LEAST_SPREAD), FEW_SPREAD / F.sqrt("n")) * BAND
+    bands = small(hundredths.select("lang", "n", half_of.alias("s")).select("lang", (F.col("s.low") - spread).alias("low"), (F.col("s.high") + spread).alias("high")))
     inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     found = measured.join(bands, "lang", "left").withColumn("kept", kept)

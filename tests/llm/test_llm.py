@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
@@ -413,12 +414,24 @@ def test_model_is_kneser_ney(spark):
 
 
 def test_bands_reject_both_ways(spark):
-    """Shuffled letters and texts of another language lie above a language's band, two words in all orders lie below; plain documents stay."""
+    """Shuffled letters and texts of another language lie above a language's band, texts drawn from its squared n-gram chances lie below; plain documents stay."""
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang in ('en', 'de') and n_chars between 400 and 4000").dropDuplicates(["text"])
     plain = [(r["lang"], r["text"]) for r in table.collect()]
     rng = np.random.default_rng(5)
     bad = [(c, "".join(rng.permutation(list(t)))) for c, t in plain[:5]] + [("de" if c == "en" else "en", t) for c, t in plain[5:10]]
-    rows_ = plain + bad + [("en", " ".join(f"the{'th' * (i % 97)}e" for i in range(97)))]
+    after = defaultdict(Counter)
+    for c, t in plain:
+        for k in range(3, len(t) if c == "en" else 0):
+            after[t[k - 3 : k]][t[k]] += 1
+
+    def drawn():
+        s = "the"
+        while len(s) < 1500:
+            chance = np.array(list(after[s[-3:]].values())) ** 2.0
+            s += rng.choice(list(after[s[-3:]]), p=chance / chance.sum())
+        return s
+
+    rows_ = plain + bad + [("en", drawn()) for _ in range(2)]
     frame = spark.createDataFrame([(i, t, c) for i, (c, t) in enumerate(rows_)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in quality.quality(frame).collect()}
     n = len(plain)
@@ -427,6 +440,68 @@ def test_bands_reject_both_ways(spark):
     assert sum(got[i]["kept"] for i in good) >= 0.95 * len(good)
 
 
+def brute_halves(texts):
+    """Mean log-probability of each text, from the formulas over the n-grams (four units) of the distinct texts of the other half."""
+    from collections import Counter
+    from math import log
+
+    spaced = {t: "   " + re.sub(r"\s+", " ", t.lower()) for t, _ in texts}
+    losses = []
+    for text, half in texts:
+        levels = [Counter(g for t in {t for t, h in texts if h != half} for g in (spaced[t][i : i + 4] for i in range(len(spaced[t]) - 3)))]
+        for _ in range(3):
+            levels.append(Counter(g[1:] for g in levels[-1]))
+        tables = []
+        for level in levels:
+            n = Counter(level.values())
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+            d = [min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[1] and n[k] else 0.5, 0.0), k - 0.01) for k in (1, 2, 3)]
+            total, left = Counter(), Counter()
+            for g, c in level.items():
+                total[g[:-1]] += c
+                left[g[:-1]] += d[min(c, 3) - 1]
+            tables.append((level, d, total, left))
+
+        def p(g):
+            if not g:
+                return 1 / (len(levels[-1]) + 1)
+            level, d, total, left = tables[4 - len(g)]  # noqa: B023
+            if not total[g[:-1]]:
+                return p(g[1:])
+            own = (level[g] - d[min(level[g], 3) - 1]) / total[g[:-1]] if level[g] else 0.0
+            return own + left[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+        grams = [spaced[text][i : i + 4] for i in range(len(spaced[text]) - 3)]
+        losses.append(-sum(log(p(g)) for g in grams) / len(grams))
+    return losses
+
+
+def made_texts(rng, letters, n, size=120):
+    words = ["".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(400)]
+    return [" ".join(rng.choice(words, size)) for _ in range(n)]
+
+
+def test_halves_score_each_other(spark):
+    """Perplexities of both ways to keep the model against the formulas; a copy teaches once and gets its text's number."""
+    texts = made_texts(np.random.default_rng(7), "aeiostrn", 8, 60)
+    frame = docs(spark, *texts, texts[0], texts[0])
+    halves = {r["text"]: r["h"] for r in frame.selectExpr("text", "xxhash64('half', text) & 1 AS h").collect()}
+    assert set(halves.values()) == {0, 1}
+    want = brute_halves([(t, halves[t]) for t in texts])
+    found = [{r["doc_id"]: (r["log_perplexity"], r["kept"]) for r in quality.quality(frame, bound).collect()} for bound in (1 << 20, 0)]
+    assert found[0] == found[1]
+    assert [found[0][i + 1][0] for i in range(8)] == pytest.approx(want, abs=1e-6) and found[0][9] == found[0][10] == found[0][1]
+
+
+def test_junk_does_not_teach_that_it_is_language(spark):
+    """Two junk texts in five of a language's are rejected, also where one of them comes a hundred times; the other texts stay."""
+    rng = np.random.default_rng(8)
+    plain = made_texts(rng, "aeiouaeiourstlnmd", 60)
+    noise = [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), rng.integers(2, 9))) for _ in range(120)) for _ in range(40)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(docs(spark, *plain, *noise, *noise[:1] * 100)).collect()}
+    assert sum(got[i + 1] for i in range(60)) >= 57 and not any(got[i + 1] for i in range(60, 200))
+
+
 # Personal data.
 
 
