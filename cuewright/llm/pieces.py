@@ -70,9 +70,8 @@ class Vocabulary:
         self.unit = re.compile(f"{SPACE}*[{inside}]+|{SPACE}+|[^{inside}{SPACE}]")
 
 
-    def covers(self, text: str) -> bool:
-        """Whether all characters are pieces (the sign before a marked space is none)."""
-        return self.single.issuperset(text)
+    def covers(self, unit: str) -> bool:
+        return unit[0] != "\0" and self.single.issuperset(unit)
 
 
 def _grown(h: np.ndarray, point: np.ndarray) -> np.ndarray:
@@ -143,14 +142,14 @@ class Lattices:
         if self.piece.size > MOST_EDGES:
             self.clear()
         new = list(set(units).difference(self.root))
-        # Most often all characters of all units are pieces, which is seen at once.
-        plain = new if self.vocab.covers("".join(new)) else [u for u in new if self.vocab.covers(u)]
+        plain = [u for u in new if self.vocab.covers(u)]
         if plain:
             self._build(plain)
         for u in new if len(plain) < len(new) else ():
             if u not in self.root:
                 self._build_bytes(u)
-        return np.fromiter(map(self.root.__getitem__, units), np.int64, len(units))
+        root = self.root
+        return np.array([root[u] for u in units], np.int64)
 
     def arrays(self):
         return [c.values for c in (self.first, self.count, self.target, self.piece, self.logq, self.upto)]
