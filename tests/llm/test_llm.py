@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from functools import cache
 from itertools import product
 
 import numpy as np
@@ -551,6 +552,11 @@ def test_base_counts_and_hash_are_the_regular_expressions(spark):
         assert set(spans) <= set(found) and r["n_spans"] == len(found)
 
 
+@cache
+def fitted():
+    return pii.fit(pii_lines.lines())
+
+
 def field_found(model, texts):
     data, offsets = pii.as_chunk(texts)
     return [[s for s in own if pii.CHECKS[s[0]].fullmatch(t[s[1] : s[2]])] for t, own in zip(texts, pii.field_spans(model, data, offsets), strict=True)]
@@ -568,7 +574,7 @@ def test_field_on_lines_of_wordings_it_has_not_seen():
 
 
 def test_field_finds_what_the_patterns_miss():
-    model = pii.fit(pii_lines.lines())
+    model = fitted()
     lines = ["my SSN is 219-09-9999 ok", "IBAN DE89370400440532013000 now", "the API key = abcdef1234567890abcdef12", "my e-mail is bob at example dot org", "tel 0171-2345678", "use sk-abcDEF1234567890abcdef1234567890", "The quick brown fox jumps over the lazy dog. It was late."]
     found = [[(k, t[a:b]) for k, a, b in own] for t, own in zip(lines, field_found(model, lines), strict=True)]
     assert found == [[("id", "219-09-9999")], [("iban", "DE89370400440532013000")], [("secret", "abcdef1234567890abcdef12")], [("email", "bob at example dot org")], [("phone", "0171-2345678")], [("secret", "sk-abcDEF1234567890abcdef1234567890")], []]
@@ -582,6 +588,31 @@ def test_added_spans_overlap_no_base_span():
         assert pii.added(base, more) == [s for s in more if not any(a < s[2] and s[1] < b for spans in base.values() for a, b in spans)]
 
 
+def test_bounds_change_no_path(monkeypatch):
+    """Spans by bounds and short chains are those of Viterbi over whole texts, also under weights that like long spans."""
+    model, rng = pii.fit(pii_lines.lines(pii_lines.TEMPLATES[::4], each=2)), np.random.default_rng(4)
+    texts = [*pii_lines.lines(each=1, seed=5), "", " \n ", " ".join(pii_lines.lines(each=1, seed=6))]
+    data, offsets = pii.as_chunk(texts)
+    emit, step, some = model.emit.copy(), model.step.copy(), []
+    for noise in (0.0, 0.3, 1.0, 3.0):
+        model.emit, model.step = emit + noise * rng.standard_normal(emit.shape), step + noise * rng.standard_normal(step.shape)
+        found = pii.field_spans(model, data, offsets)
+        with monkeypatch.context() as m:
+            m.setattr(pii, "possible", lambda model, scores, kind, row: np.ones(len(kind), bool))
+            assert found == pii.field_spans(model, data, offsets)
+        some.append(sum(map(len, found)))
+    assert min(some) > 50
+
+
+def test_long_names_and_plain_texts():
+    """Spans have no greatest length, and long texts, or one word over and over, have no spans."""
+    model = fitted()
+    name = "my name is Karolina " + "Bergstrom" * 12
+    plain = pii_lines.lines(["{prose120}", "{prose400}", "{repeat300}", "{Repeat80}", "{rows200}"], each=8, seed=123)
+    found = field_found(model, [name, *plain])
+    assert [(k, name[a:b]) for k, a, b in found[0]] == [("name", name[11:])] and sum(map(len, found[1:])) == 0
+
+
 def test_viterbi_is_the_best_path():
     field, rng = pii.Field(), np.random.default_rng(9)
     field.step = rng.standard_normal(field.step.shape)
