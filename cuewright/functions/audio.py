@@ -48,10 +48,20 @@ def quality_score(samples: Column, sample_rate: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), duration * 0.3 + volume * 0.3 + reach * 0.2 + heard * 0.2)).otherwise(0.0)
 
 
-def normalize_volume(samples: Column, target: float = 0.15, frame: int = 2048, hop: int = 512) -> Column:
+def frame_levels(samples: Column, frame: int = 2048, hop: int = 512, centred: bool = True) -> Column:
+    """Loudness of frames a hop apart. Centred frames have their middle at each hop, and what lies outside of the clip counts as silence; others
+    begin at each hop, and the last ones are cut short."""
+    n = F.size(samples)
+    if not centred:
+        return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(hop)), lambda i: rms(F.slice(samples, i, frame)))
+    squares = lambda a, b: F.aggregate(F.slice(samples, a + 1, F.greatest(b - a, F.lit(0))), F.lit(0.0), lambda s, x: s + x * x)
+    middles = F.sequence(F.lit(0), n, F.lit(hop))
+    return F.transform(middles, lambda i: F.sqrt(squares(F.greatest(i - frame // 2, F.lit(0)), F.least(i + frame // 2, n)) / frame))
+
+
+def normalize_volume(samples: Column, target: float = 0.15, frame: int = 2048, hop: int = 512, centred: bool = True) -> Column:
     """Samples times target over the mean loudness of the frames that are heard (a gain of 0.1 to 10), softly limited."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(samples), F.lit(1)), F.lit(hop))
-    levels = F.filter(F.transform(starts, lambda i: rms(F.slice(samples, i, frame))), lambda x: x > 0)
+    levels = F.filter(frame_levels(samples, frame, hop, centred), lambda x: x > 0)
     mean = F.when(F.size(levels) > 0, _total(levels) / F.size(levels))
     gain = F.least(F.lit(10.0), F.greatest(F.lit(0.1), F.lit(target) / mean))
     return F.when(mean.isNull(), samples).otherwise(F.transform(samples, lambda x: F.tanh(x * gain * 0.95) * 0.95))
@@ -109,17 +119,17 @@ def replace_silent(clips: DataFrame) -> DataFrame:
     }).drop("best")
 
 
-def reference_segments(chunks: DataFrame, cues: DataFrame, chunk_us: int, normalize: bool = True) -> DataFrame:
+def reference_segments(chunks: DataFrame, cues: DataFrame, chunk_us: int, normalize: bool = True, centred: bool = True) -> DataFrame:
     """The reference clip of each cue: cut from the media's chunks, measured, of even volume, and where it is silent that of the best one.
 
-    Cues that don't end after they start, or start before 0, have none. A cue beyond the end of the audio has no samples and is silent.
+    Volume is measured over frames that are centred or begin at each hop. Cues that don't end after they start, or start before 0, have none. A cue beyond the end of the audio has no samples and is silent.
     """
     good = drop_invalid_times(cues, audio=True)
     found = cut_by_cue(chunks, good, chunk_us).select("media_id", "cue_no", "sample_rate", "samples")
     clips = good.join(found, ["media_id", "cue_no"], "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<double>")))
     clips = measured(clips.select("media_id", F.col("cue_no").alias("index"), "text", "start_us", "end_us", "sample_rate", "samples"))
     if normalize:
-        clips = clips.withColumn("samples", F.when(F.col("is_silence"), F.col("samples")).otherwise(normalize_volume(F.col("samples"))))
+        clips = clips.withColumn("samples", F.when(F.col("is_silence"), F.col("samples")).otherwise(normalize_volume(F.col("samples"), centred=centred)))
     return replace_silent(clips.withColumn("duration", F.round((F.col("end_us") - F.col("start_us")) / 1e6, 3)))
 
 

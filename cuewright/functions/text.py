@@ -7,7 +7,8 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spoken words for signs, terms in order, and punctuation in order.
+# Fixed values, from here to PRESETS: spoken words for signs, terms in order, punctuation in order, contractions in order, digits, patterns of brackets,
+# numbers, counted numbers and annotations in order, signs that a dash stops at, ends of sentences and clauses, and lengths.
 SIGN_WORDS = {"&": "和", "®": "", "™": "", "©": "", "℃": "摄氏度", "℉": "华氏度", "€": "欧元", "$": "美元", "£": "英镑", "¥": "人民币", "@": "艾特", "#": "井号"}
 TERMS = {
     "AI": "人工智能", "API": "应用程序接口", "URL": "网址", "CPU": "中央处理器", "GPU": "图形处理器",

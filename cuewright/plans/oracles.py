@@ -2,10 +2,43 @@
 
 from __future__ import annotations
 
-from ..functions.text import CLAUSE_ENDS, FAILURES, SENTENCE_ENDS, SIGN_WORDS, TERMS
-from ..operators.progress import STEP_COUNT
-from ..sources.subtitles import FORMATS, SUBTITLE_EXTENSIONS, VIDEO_EXTENSIONS
-from .adapters import MESSAGES
+# Fixed values, written out here so that the SQL takes nothing from the code that it is compared with: words, terms, ends, failures, formats, error texts, steps.
+SIGN_WORDS = {"&": "和", "®": "", "™": "", "©": "", "℃": "摄氏度", "℉": "华氏度", "€": "欧元", "$": "美元", "£": "英镑", "¥": "人民币", "@": "艾特", "#": "井号"}
+TERMS = {
+    "AI": "人工智能", "API": "应用程序接口", "URL": "网址", "CPU": "中央处理器", "GPU": "图形处理器",
+    "iPhone": "苹果手机", "iPad": "苹果平板", "Android": "安卓", "Windows": "视窗系统", "macOS": "苹果系统",
+}
+SENTENCE_ENDS, CLAUSE_ENDS = "。！？；.!?;", "，。！？；：,.:;!?"
+FAILURES = [
+    (["out of memory", "cuda out of memory"], "memory"),
+    (["no cuda capable", "cuda device"], "no_device"),
+    (["unsupported format", "codec not supported"], "codec"),
+    (["invalid argument", "invalid data"], "invalid_input"),
+    ([("decoder", "not found"), ("decoder", "unavailable")], "no_decoder"),
+    (["permission denied"], "permission"),
+    (["busy", "device busy"], "busy"),
+    (["hardware accelerated", "hwaccel"], "acceleration"),
+    (["format not supported", "pixel format"], "pixel_format"),
+    (["cannot initialize", "initialization failed"], "initialization"),
+    (["nvenc", "nvdec"], "hardware_codec"),
+    (["driver"], "driver"),
+    (["timeout"], "timeout"),
+    (["connection refused", "device not found"], "connection"),
+    (["resource temporarily unavailable"], "unavailable"),
+    (["impossible to convert between", "auto_scale"], "conversion"),
+    (["function not implemented"], "not_implemented"),
+]
+FORMATS = {
+    ".srt": "SubRip Text", ".ass": "Advanced SubStation Alpha", ".ssa": "SubStation Alpha", ".vtt": "WebVTT", ".sub": "MicroDVD/SubViewer", ".lrc": "LRC Lyrics",
+    ".sbv": "YouTube SBV", ".smi": "SAMI", ".sami": "SAMI", ".ttml": "Timed Text Markup Language", ".dfxp": "Distribution Format Exchange Profile", ".txt": "Plain Text",
+}
+VIDEO_EXTENSIONS = ["mp4", "avi", "mov", "mkv", "wmv", "flv", "m4v", "webm", "ts"]
+SUBTITLE_EXTENSIONS = ["srt", "ass", "ssa", "sub", "vtt"]
+MESSAGES = [
+    "CUDA out of memory", "no CUDA capable device", "unsupported format", "Invalid argument", "decoder not found", "Permission denied", "device busy", "hwaccel failed", "pixel format wrong",
+    "cannot initialize", "nvenc trouble", "driver too old", "timeout reached", "connection refused", "resource temporarily unavailable", "impossible to convert between", "function not implemented", "ffmpeg error 1", "something else", "",
+]
+STEP_COUNT = 8
 
 CUES = """cues AS (
   SELECT conv_id AS media_id, (turn + 1)::INTEGER AS cue_no, s * 1000 AS start_us, (s + 500 + n * 37 % 4200) * 1000 AS end_us, coalesce(text, '') AS text,

@@ -82,6 +82,11 @@ RECORD_SQL = {
     "audio_file_info": "SELECT vec_id + 1 AS index, CASE WHEN (vec_id + 1) % 4 <> 0 THEN 32 ELSE 44100 END AS sample_rate, (CASE WHEN (vec_id + 1) % 4 <> 0 THEN len(embedding) ELSE 0 END)::INTEGER AS audio_length, CASE WHEN (vec_id + 1) % 4 <> 0 THEN (vec_id + 1) * 10 ELSE 0 END AS file_size FROM embeddings",
     "normalize_volume": f"""WITH {AUDIO}, g AS (SELECT index, n, CASE WHEN rms = 0 THEN s ELSE list_transform(s, lambda x: tanh(x * least(10.0::DOUBLE, greatest(0.1::DOUBLE, 0.15::DOUBLE / rms)) * 0.95::DOUBLE) * 0.95::DOUBLE) END AS h FROM ab)
         SELECT index, round(sqrt(list_sum(list_transform(h, lambda x: x * x)) / n), 6) AS rms, round(list_max(h), 6) AS peak FROM g""",
+    "normalize_volume_centred": f"""WITH {AUDIO}, f AS (
+          SELECT index, n, s, list_transform(range(0, n // 8 + 1), lambda i: sqrt(coalesce(list_sum(list_transform(s[greatest(8 * i - 16, 0) + 1:least(8 * i + 16, n)], lambda x: x * x)), 0) / 32)) AS levels FROM ab),
+        m AS (SELECT *, list_avg(list_filter(levels, lambda x: x > 0)) AS mean FROM f),
+        g AS (SELECT index, n, len(levels)::INTEGER AS n_frames, CASE WHEN mean IS NULL THEN s ELSE list_transform(s, lambda x: tanh(x * least(10.0::DOUBLE, greatest(0.1::DOUBLE, 0.15::DOUBLE / mean)) * 0.95::DOUBLE) * 0.95::DOUBLE) END AS h FROM m)
+        SELECT index, n_frames, round(sqrt(list_sum(list_transform(h, lambda x: x * x)) / n), 6) AS rms, round(list_max(h), 6) AS peak FROM g""",
     "cut_by_cue": f"WITH {TRACK} SELECT media_id, index AS cue_no, len(s)::INTEGER AS n, CASE WHEN len(s) > 0 THEN round(sqrt(list_sum(list_transform(s, lambda x: x * x)) / len(s)), 6) END AS rms FROM part WHERE start_us < (SELECT len(whole) * 1000000 / 32 FROM track t WHERE t.media_id = part.media_id)",
     "reference_segments": f"WITH {REFERENCE} SELECT media_id, index, duration, is_silence, replaced_with, audio_length, quality_score, rms FROM final",
     "reference_summary": f"WITH {REFERENCE}, a AS (SELECT media_id, count(*) AS requested FROM spoken GROUP BY 1), g AS (SELECT media_id, count(*) AS produced, count(*) FILTER (is_silence) AS silent, count(replaced_with) AS replaced FROM final GROUP BY 1) SELECT media_id, requested, coalesce(produced, 0) AS produced, coalesce(silent, 0) AS silent, coalesce(replaced, 0) AS replaced FROM a LEFT JOIN g USING (media_id)",

@@ -334,10 +334,17 @@ def audio_file_info(spark, sf_dir):
 
 @query
 def normalize_volume(spark, sf_dir):
-    rows = D.audio(spark, sf_dir).withColumn("out", A.normalize_volume(F.col("samples")))
+    rows = D.audio(spark, sf_dir).withColumn("out", A.normalize_volume(F.col("samples"), centred=False))
     return rows.select("index", F.round(A.rms(F.col("out")), 6).alias("rms"), F.round(F.array_max("out"), 6).alias("peak"))
 
 
+@query
+def normalize_volume_centred(spark, sf_dir):
+    """Frames of 32 samples, 8 apart, so that each clip has several."""
+    rows = D.audio(spark, sf_dir).withColumn("out", A.normalize_volume(F.col("samples"), frame=32, hop=8))
+    return rows.select("index", F.size(A.frame_levels(F.col("samples"), 32, 8)).alias("n_frames"), F.round(A.rms(F.col("out")), 6).alias("rms"), F.round(F.array_max("out"), 6).alias("peak"))
+
+
 def _reference(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two seconds of samples of each vector, by label, as the audio of a media; and cues of a second or so in it."""
     chunks = D.chunks(spark, sf_dir)
@@ -354,11 +361,11 @@ def cut_by_cue(spark, sf_dir):
 @query
 def reference_segments(spark, sf_dir):
     chunks, cues = _reference(spark, sf_dir)
-    rows = A.reference_segments(chunks, cues, D.CHUNK_US)
+    rows = A.reference_segments(chunks, cues, D.CHUNK_US, centred=False)
     return rows.select("media_id", "index", "duration", "is_silence", "replaced_with", "audio_length", F.round("quality_score", 6).alias("quality_score"), F.round(A.rms(F.col("samples")), 5).alias("rms"))
 
 
 @query
 def reference_summary(spark, sf_dir):
     chunks, cues = _reference(spark, sf_dir)
-    return A.reference_summary(cues, A.reference_segments(chunks, cues, D.CHUNK_US))
+    return A.reference_summary(cues, A.reference_segments(chunks, cues, D.CHUNK_US, centred=False))

@@ -1,7 +1,8 @@
 """Subtitle files as cue tables.
 
 A file is a row (path, content); every reader turns a table of files into cues with explode and column functions, so files
-are read side by side and a reader shuffles nothing. Cues keep the order of their file as cue_no, from 1.
+are read side by side. Cues keep the order of their file as cue_no, from 1. SRT, SBV, LRC and plain text are numbered within their file's array
+and shuffle nothing; WebVTT, ASS and SRT by lines look back over lines, or sort, in windows by path.
 """
 
 from __future__ import annotations
@@ -64,10 +65,23 @@ def _numbered(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("cue_no", number).select("path", "cue_no", "start_us", "end_us", "text", "style", "actor")
 
 
-def _blocks(files: DataFrame, pattern: str) -> DataFrame:
-    """path, block number and the lines of each block."""
-    blocks = files.select("path", F.posexplode(F.split(T.strip(F.col("content")), pattern)).alias("at", "block"))
-    return blocks.select("path", "at", F.split(T.strip(F.col("block")), "\n").alias("lines"))
+def _blocks(pattern: str) -> Column:
+    """The lines of each block of a content, as an array of arrays."""
+    return F.transform(F.split(T.strip(F.col("content")), pattern), lambda b: F.split(T.strip(b), "\n"))
+
+
+def _timed(blocks: Column, line: int, sep: str, fmt: str, exact: bool = True) -> Column:
+    """start_us, end_us and text of the blocks with two times (or more, if not exact) in this line, from 0; the text is what stands below it."""
+    parts = F.transform(blocks, lambda b: F.struct(F.split(F.get(b, F.lit(line)), sep, -1).alias("times"), _rest(b, line + 2).alias("text")))
+    parts = F.filter(parts, lambda p: F.size(p["times"]) == 2 if exact else F.size(p["times"]) >= 2)
+    return F.transform(parts, lambda p: F.struct(parse_time(p["times"][0], fmt).alias("start_us"), parse_time(p["times"][1], fmt).alias("end_us"), p["text"].alias("text")))
+
+
+def _numbered_within(files: DataFrame, cues: Column) -> DataFrame:
+    """Cues from an array of start_us, end_us and text for each file, numbered in its order; those without a time are left out."""
+    good = F.filter(cues, lambda c: c["start_us"].isNotNull() & c["end_us"].isNotNull())
+    rows = files.select("path", F.posexplode(good).alias("at", "cue"))
+    return _plain(rows.select("path", (F.col("at") + 1).alias("cue_no"), "cue.*"))
 
 
 def _lines(files: DataFrame) -> DataFrame:
@@ -87,13 +101,11 @@ def read_srt(files: DataFrame, mode: str = "strict") -> DataFrame:
     cleaned for speech. allow_empty: two lines are enough. line: a number, a time line, text up to a blank line, sorted by start."""
     if mode == "line":
         return _read_srt_lines(files)
-    rows = _blocks(files, "\n\n" if mode == "strict" else r"\n\s*\n").filter(F.size("lines") >= (2 if mode == "allow_empty" else 3))
-    times = F.split(F.get("lines", F.lit(1)), " --> ", -1)
-    rows = rows.filter(F.size(times) == 2) if mode == "strict" else rows.filter(F.size(times) >= 2)
-    rows = rows.withColumns({"start_us": parse_time(times[0], "srt"), "end_us": parse_time(times[1], "srt"), "text": _rest(F.col("lines"), 3)})
+    least = 2 if mode == "allow_empty" else 3
+    blocks = F.filter(_blocks("\n\n" if mode == "strict" else r"\n\s*\n"), lambda b: F.size(b) >= least)
+    rows = _numbered_within(files, _timed(blocks, 1, " --> ", "srt", exact=mode == "strict"))
     clean = {"strict": lambda t: t, "regex": T.basic_clean, "allow_empty": lambda t: T.strip_html(t, "plain")}[mode]
-    rows = rows.withColumn("text", clean(F.col("text"))).filter("start_us is not null and end_us is not null")
-    return _numbered(_plain(rows), "at")
+    return rows.withColumn("text", clean(F.col("text")))
 
 
 def _loose_time(text: Column) -> Column:
@@ -178,26 +190,27 @@ def list_ass_styles(files: DataFrame) -> DataFrame:
     return styles.groupBy("path").agg(F.array_sort(F.collect_set("style")).alias("styles"))
 
 
+def _stripped() -> Column:
+    return F.transform(F.split("content", "\n"), T.strip)
+
+
 def read_lrc(files: DataFrame) -> DataFrame:
     """Cues of LRC lines with text; each lasts three seconds."""
-    rows = _lines(files).withColumn("start_us", parse_time(F.col("line"), "lrc"))
-    rows = rows.withColumn("text", T.strip(F.regexp_replace("line", r"^\[[^\]]*\]", ""))).filter("start_us is not null and text <> ''")
-    return _numbered(_plain(rows.withColumn("end_us", F.col("start_us") + 3 * SECOND)), "at")
+    cues = F.transform(_stripped(), lambda x: F.struct(parse_time(x, "lrc").alias("start_us"), T.strip(F.regexp_replace(x, r"^\[[^\]]*\]", "")).alias("text")))
+    cues = F.filter(cues, lambda c: c["text"] != "")
+    return _numbered_within(files, F.transform(cues, lambda c: F.struct(c["start_us"].alias("start_us"), (c["start_us"] + 3 * SECOND).alias("end_us"), c["text"].alias("text"))))
 
 
 def read_sbv(files: DataFrame) -> DataFrame:
     """Cues of SBV blocks whose first line holds two times."""
-    rows = _blocks(files, "\n\n").filter(F.size("lines") >= 2)
-    times = F.split(F.get("lines", F.lit(0)), ",", -1)
-    rows = rows.filter(F.size(times) == 2).withColumns({"start_us": parse_time(times[0], "sbv"), "end_us": parse_time(times[1], "sbv"), "text": _rest(F.col("lines"), 2)})
-    return _numbered(_plain(rows.filter("start_us is not null and end_us is not null")), "at")
+    return _numbered_within(files, _timed(F.filter(_blocks("\n\n"), lambda b: F.size(b) >= 2), 0, ",", "sbv"))
 
 
 def read_txt(files: DataFrame) -> DataFrame:
     """A cue of three seconds for each line; blank lines take their time but give none."""
-    rows = _lines(files).filter("line <> ''").withColumn("start_us", F.col("at").cast("bigint") * 3 * SECOND)
-    rows = rows.select("path", "at", "start_us", (F.col("start_us") + 3 * SECOND).alias("end_us"), F.col("line").alias("text"))
-    return _numbered(_plain(rows), "at")
+    start = lambda i: i.cast("bigint") * 3 * SECOND
+    cues = F.transform(_stripped(), lambda x, i: F.struct(start(i).alias("start_us"), (start(i) + 3 * SECOND).alias("end_us"), x.alias("text")))
+    return _numbered_within(files, F.filter(cues, lambda c: c["text"] != ""))
 
 
 READERS = {".srt": read_srt, ".vtt": read_vtt, ".ass": read_ass, ".ssa": read_ass, ".lrc": read_lrc, ".sbv": read_sbv, ".txt": read_txt}

@@ -1,7 +1,9 @@
 """Properties and small cases of the operators that no query covers."""
 
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuewright.functions import audio as A
@@ -115,6 +117,20 @@ def test_chunked_audio(spark):
     assert [r["t"] for r in loud] == [[0.5], [0.0], []] and [r["q"] for r in loud] == [False, True, True] and loud[1]["v"] == [0.0]
 
 
+def test_centred_frames(spark):
+    """Levels and volume of clips of no, one and many frames, against plain Python."""
+    clips = [[], [0.25], [0.0] * 9, [((i * 37) % 11 - 5) / 20 for i in range(53)], [0.5] * 10 + [0.0] * 90]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(clips)], "i int, s array<double>")
+    got = rows.select("i", A.frame_levels(F.col("s"), 16, 4).alias("levels"), A.normalize_volume(F.col("s"), 0.15, 16, 4).alias("v")).collect()
+    for i, levels, v in got:
+        padded = [0.0] * 8 + clips[i] + [0.0] * 8
+        want = [math.sqrt(sum(x * x for x in padded[k : k + 16]) / 16) for k in range(0, len(clips[i]) + 1, 4)]
+        assert levels == pytest.approx(want)
+        heard = [x for x in want if x > 0]
+        gain = min(10.0, max(0.1, 0.15 * len(heard) / sum(heard))) if heard else None
+        assert v == pytest.approx([x if gain is None else math.tanh(x * gain * 0.95) * 0.95 for x in clips[i]])
+
+
 def test_pairing_and_paths(spark):
     files = spark.createDataFrame([(p,) for p in ("/m/a.mp4", "/m/a.MKV", "/m/a.vtt", "/m/a.srt", "/m/b.mp4", "/m/b_en.srt", "/m/c.mp4")], "path string")
     assert sorted(map(tuple, P.pair_media_subtitles(files).collect())) == [("/m/a.MKV", "/m/a.srt"), ("/m/a.mp4", "/m/a.vtt")]
