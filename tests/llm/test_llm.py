@@ -336,6 +336,38 @@ def test_sample_has_all_languages_and_distinct_texts(spark):
     assert len(got) == 90 and (got == 10).all()
 
 
+def test_all_distinct_rows_teach(spark):
+    """Counts, model and thresholds against those of all rows at once, on more rows than landmarks are chosen among; copies teach once."""
+    rng = np.random.default_rng(5)
+    made = [(c, " ".join("".join(rng.choice(list(b), 3)) for _ in range(12))) for c, b in (("aa", "aeioulmn"), ("bb", "aeiouptk")) for _ in range(700)]
+    rows_ = spark.createDataFrame([(t, c) for c, t in made + made[:1] * 50 + made[-30:]], "text string, lang string").repartition(5)
+    model, learned, counts = language.learn(rows_)
+    assert sorted((r["lang"], r["text"]) for r in learned.collect()) == sorted(set(made))
+    raw = [t.encode() for _, t in sorted(set(made))]
+    names = np.array([c for c, _ in sorted(set(made))], object)
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
+    row, place = language.letter_grams(data, offsets)
+    want = np.stack([np.bincount(place[names[row] == c], minlength=language.DIMENSIONS) for c in ("aa", "bb")])
+    assert (counts == want).all()
+    x = language.unit(language.presence(data, offsets))
+    chosen = sorted((r["lang"], r["text"]) for r in language.sample(rows_).collect())
+    assert len(chosen) == 2 * language.ROWS_PER_LANGUAGE < len(names)
+    bits = lambda t: np.packbits(language.presence(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])), axis=1)[0].tobytes()
+    packed = sorted((c, bits(t)) for c, t in chosen)
+    marks = language.unit(np.stack([np.unpackbits(np.frombuffer(packed[i][1], np.uint8)) for i in language.choose([c for c, _ in packed], ["aa", "bb"])]))
+    k = (x @ marks.T).astype(float)
+    own = np.stack([(names == c) / (names == c).sum() for c in ("aa", "bb")])
+    whole = language.solve(marks, ["aa", "bb"], (k * own.mean(axis=0)[:, None]).T @ k, own @ k)
+    assert np.abs(model.score(x) - whole.score(x)).max() < 1e-3
+    evidence = language.gather_evidence(learned, counts, model.languages)
+    for i, c in enumerate(("aa", "bb")):
+        logs = [language._log_probabilities(want[i] - np.bincount(place[row == r], minlength=language.DIMENSIONS))[place[row == r]] for r in np.flatnonzero(names == c)]
+        mean = np.array([x.mean() for x in logs])
+        middle = np.median(mean)
+        assert abs(evidence.least[i] - (middle - language.REACH * max(middle - np.quantile(mean, language.LOW), language.LEAST_DISTANCE))) < 0.01
+        assert abs(evidence.deviation[i] - np.sqrt(np.mean([x.var() for x in logs]))) < 1e-3
+
+
 def test_kernel_is_the_share_of_common_grams():
     """The product of two presence rows against sets of n-grams of orders 1 to 3, counted in Python."""
     texts = ["Das ist ein Satz.", "das war ein SATZ", "Ünïcode çà", ""]
