@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.legacy.javaCharsets": "true",
     # decode() then replaces what it cannot read, which decode_text() takes as a sign of another charset.
     "spark.sql.legacy.codingErrorAction": "true",
+    # Folders are listed by so many tasks; by default each folder has a task of its own, up to 10,000.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "128",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 

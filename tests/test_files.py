@@ -81,3 +81,16 @@ def test_merge_repeated_style_same_as_walk(spark):
     cues = spark.createDataFrame(rows, "media_id bigint, cue_no int, start_us bigint, end_us bigint, text string, style string, actor string")
     walked = sorted((m, *r) for m in range(30) for r in _walked_styles([(i, s, e, t) for k, i, _, e, t, s, _ in rows if k == m]))
     assert sorted((r["media_id"], r["cue_no"], r["style"], r["end_us"], r["text"]) for r in R.merge_repeated_style(cues).collect()) == walked
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """A task for each folder made the listing as slow as the writing."""
+    for i in range(300):
+        (tmp_path / f"media_id={i}").mkdir()
+        (tmp_path / f"media_id={i}" / "part.txt").write_text(f"file {i}")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    files = Q.read_files(spark, str(tmp_path))
+    spark.sparkContext.setJobGroup("others", "others")
+    status = spark.sparkContext.statusTracker()
+    tasks = [status.getStageInfo(n).numTasks for job in status.getJobIdsForGroup("listing") for n in status.getJobInfo(job).stageIds]
+    assert tasks and sum(tasks) <= 128 and files.count() == 300
