@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt out evenly, some tasks to a core: a file of one row group is otherwise read and worked on by one task, whatever its size."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation is a media and a turn a cue; long cues reach into the next."""
     size = F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint")

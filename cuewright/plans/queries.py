@@ -213,7 +213,7 @@ def convert_format(spark, sf_dir):
 def _text(name: str, **columns: Callable[[Column], Column]) -> None:
     def run(spark, sf_dir):
         text = F.col("text")
-        return D.table(spark, sf_dir, "documents").select("doc_id", *[f(text).alias(c) for c, f in columns.items()])
+        return D.spread(D.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *[f(text).alias(c) for c, f in columns.items()])
 
     QUERIES[name] = run
 
@@ -240,19 +240,19 @@ _text("validate_text", is_valid=lambda t: T.validate_text(t)["is_valid"], error_
 
 @query
 def split_length(spark, sf_dir):
-    rows = D.table(spark, sf_dir, "documents").select("doc_id", T.split_length(F.col("text")).alias("p"))
+    rows = D.spread(D.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.split_length(F.col("text")).alias("p"))
     return rows.select("doc_id", F.size("p").alias("pieces"), F.md5(F.array_join("p", "|").cast("binary")).alias("digest"))
 
 
 @query
 def process_text(spark, sf_dir):
-    done = D.table(spark, sf_dir, "documents").select("doc_id", T.process_text(F.col("text"), longest=300).alias("r"))
+    done = D.spread(D.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.process_text(F.col("text"), longest=300).alias("r"))
     return done.select("doc_id", "r.language", "r.is_valid", "r.error_message", F.size("r.segments").alias("pieces"), F.md5(F.col("r.cleaned").cast("binary")).alias("digest"))
 
 
 @query
 def text_stats(spark, sf_dir):
-    done = D.table(spark, sf_dir, "documents").select(T.process_text(F.col("text"), longest=300).alias("r"))
+    done = D.spread(D.table(spark, sf_dir, "documents").select("text")).select(T.process_text(F.col("text"), longest=300).alias("r"))
     good = F.count_if("r.is_valid")
     return done.agg(F.count("*").alias("processed"), (F.count("*") - good).alias("errors"), F.when(F.count("*") > 0, good / F.count("*")).otherwise(0.0).alias("success_rate"))
 
@@ -260,7 +260,7 @@ def text_stats(spark, sf_dir):
 @query
 def preprocess_cues(spark, sf_dir):
     """Cues that are cleaned for speech, with the first piece of each."""
-    cues = C.drop_invalid_times(D.cues(spark, sf_dir))
+    cues = D.spread(C.drop_invalid_times(D.cues(spark, sf_dir)).select("media_id", "cue_no", "text"))
     rows = cues.withColumn("r", T.process_text(F.col("text"), "sentence", 300))
     return rows.select("media_id", "cue_no", F.md5(F.coalesce(F.get("r.segments", F.lit(0)), F.lit("")).cast("binary")).alias("digest"), F.col("r.is_valid").alias("is_valid"))
 
