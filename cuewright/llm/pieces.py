@@ -36,9 +36,16 @@ SAMPLES = 4
 SPACE = "▁"
 #: A piece weighs its rank to this power; a byte of a character without a piece counts as the last rank.
 SHARPNESS = 1.0
-CHUNK = 1 << 18
+CHUNK = 1 << 17
+#: The number that a text's own sign for a space has among its characters; no piece holds it.
+MARK = 0x110000
+ALONE, BLANK, INSIDE = range(3)
+#: Longer units have their lattices built one by one: the products of their chances may leave the range of numbers.
+LONGEST = 48
+UPTO_BITS = 36
 #: Edges of kept lattices; the store starts anew beyond that.
 MOST_EDGES = 3_000_000
+ROOM = MOST_EDGES + (1 << 21)
 
 
 class Vocabulary:
@@ -61,17 +68,14 @@ class Vocabulary:
                     names[piece] = i
         ranks = {p: r for r, p in enumerate(sorted(names, key=names.get))}
         self.pieces = {p: (i, -SHARPNESS * log(2 + ranks[p])) for p, i in names.items()}
-        self.single = {p for p in names if len(p) == 1}
         self.levels = _levels(self.pieces)
         self.fallback = -SHARPNESS * log(2 + len(names))
         self.longest = max(map(len, names))
-        inner = sorted({c for p in names if len(p) > 1 for c in p} - {SPACE})
-        inside = "".join(map(re.escape, inner))
-        self.unit = re.compile(f"{SPACE}*[{inside}]+|{SPACE}+|[^{inside}{SPACE}]")
-
-
-    def covers(self, unit: str) -> bool:
-        return unit[0] != "\0" and self.single.issuperset(unit)
+        #: What a character is to units: in pieces of several characters, a space, or a unit of its own; and whether it is a piece itself.
+        self.kind, self.single = np.full(MARK + 1, ALONE, np.uint8), np.zeros(MARK + 1, bool)
+        self.kind[[ord(c) for c in {c for p in names if len(p) > 1 for c in p}]] = INSIDE
+        self.kind[ord(SPACE)] = BLANK
+        self.single[[ord(p) for p in names if len(p) == 1]] = True
 
 
 def _grown(h: np.ndarray, point: np.ndarray) -> np.ndarray:
@@ -79,14 +83,29 @@ def _grown(h: np.ndarray, point: np.ndarray) -> np.ndarray:
     return W.mix(h * np.uint64(0x9E3779B97F4A7C15) + point)
 
 
+#: Bits of a hash by which a level is entered.
+ENTRY = 15
+
+
 @dataclass
 class Level:
-    """Hashes of the first n characters of all pieces, sorted; the piece that ends there, or -1, and its weight."""
+    """Hashes of the first n characters of all pieces, sorted, with the greatest number last; where the hashes with each first ENTRY bits begin;
+    the piece that ends there, or -1, and its weight (not the logarithm)."""
 
     prefix: np.ndarray
+    begin: np.ndarray
     piece: np.ndarray
     weight: np.ndarray
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash is, or would be."""
+        at = self.begin[h >> np.uint64(64 - ENTRY)]
+        on = np.flatnonzero(self.prefix[at] < h)
+        while len(on):
+            at[on] += 1
+            on = on[self.prefix[at[on]] < h[on]]
+        return at
+
 
 def _levels(pieces: dict[str, tuple[int, float]]) -> list[Level]:
     out = []
@@ -98,7 +117,9 @@ def _levels(pieces: dict[str, tuple[int, float]]) -> list[Level]:
             h = _grown(h, points[:, k])
         own = [pieces.get(p, (-1, 0.0)) for p in starts]
         order = np.argsort(h)
-        out.append(Level(h[order], np.array([i for i, _ in own])[order], np.array([w for _, w in own])[order]))
+        prefix = np.append(h[order], np.uint64(2**64 - 1))
+        begin = np.searchsorted(h[order], np.arange(1 << ENTRY, dtype=np.uint64) << np.uint64(64 - ENTRY))
+        out.append(Level(prefix, begin, np.array([i for i, _ in own] + [-1], np.int32)[np.append(order, len(own))], np.exp([w for _, w in own] + [-inf])[np.append(order, len(own))]))
     return out
 
 
@@ -108,15 +129,15 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class _Column:
-    """A numpy array that grows at its end."""
+    """A numpy array that grows at its end. Its room takes memory only where it was written to."""
 
     def __init__(self, kind):
-        self.held, self.size = np.zeros(1 << 12, kind), 0
+        self.held, self.size = np.empty(ROOM, kind), 0
 
     def extend(self, values) -> None:
         need = self.size + len(values)
         if need > len(self.held):
-            self.held = np.append(self.held, np.zeros(max(need, len(self.held)), self.held.dtype))
+            self.held = np.append(self.values, np.empty(need, self.held.dtype))
         self.held[self.size : need] = values
         self.size = need
 
@@ -126,106 +147,129 @@ class _Column:
 
 
 class Lattices:
-    """Lattices of units, as growing arrays of nodes and edges. An edge's chance is that of all segmentations behind it;
-    `upto` is the chance of its node's edges up to it, and infinite for the last."""
+    """Lattices of units, as growing arrays of edges; a node is known by its first edge, and a target is a node or -1. An edge's chance is that of
+    all segmentations behind it; `upto` is the chance of its node's edges up to it, and infinite for the last."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
+        self.target, self.piece = _Column(np.int32), _Column(np.int32)
+        self.logq, self.upto = _Column(np.float64), _Column(np.float32)
         self.clear()
 
     def clear(self) -> None:
-        self.root: dict[str, int] = {}
-        self.first, self.count, self.target, self.piece = (_Column(np.int32) for _ in range(4))
-        self.logq, self.upto = _Column(np.float64), _Column(np.float32)
+        #: Hashes of the units that are kept, sorted, and their first nodes.
+        self.known, self.root = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for column in (self.target, self.piece, self.logq, self.upto):
+            column.size = 0
 
-    def roots(self, units: list[str]) -> np.ndarray:
+    def roots(self, points: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The first node of each unit of a text, given where units begin; units that are not kept yet are built once."""
         if self.piece.size > MOST_EDGES:
             self.clear()
-        new = list(set(units).difference(self.root))
-        plain = [u for u in new if self.vocab.covers(u)]
-        if plain:
-            self._build(plain)
-        for u in new if len(plain) < len(new) else ():
-            if u not in self.root:
-                self._build_bytes(u)
-        root = self.root
-        return np.array([root[u] for u in units], np.int64)
+        sizes = np.diff(begins, append=len(points))
+        place = np.arange(len(points), dtype=np.int32) - np.repeat(begins.astype(np.int32), sizes)
+        h = W.mix(np.add.reduceat(W.mix((place.astype(np.uint64) << np.uint64(32)) + points), begins) + sizes.astype(np.uint64)) if len(begins) else np.zeros(0, np.uint64)
+        distinct, one, which = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        new = np.flatnonzero(np.append(self.known, np.uint64(0))[at] != distinct) if len(self.known) else np.arange(len(distinct))
+        if len(new):
+            root = self._build_all(points, begins[one[new]], sizes[one[new]])
+            self.known, self.root = np.insert(self.known, at[new], distinct[new]), np.insert(self.root, at[new], root)
+            at = np.searchsorted(self.known, distinct)
+        return self.root[at][which]
+
+    def _build_all(self, points: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(sizes)
+        text = points[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1])]
+        plain = np.logical_and.reduceat(self.vocab.single[text], ends - sizes) & (sizes <= LONGEST)
+        root = np.zeros(len(sizes), np.int64)
+        if plain.any():
+            root[plain] = self._build(text[np.repeat(plain, sizes)].astype(np.uint64), sizes[plain])
+        for u in np.flatnonzero(~plain):
+            root[u] = self._build_one(text[ends[u] - sizes[u] : ends[u]].tolist())
+        return root
 
     def arrays(self):
-        return [c.values for c in (self.first, self.count, self.target, self.piece, self.logq, self.upto)]
+        return [c.values for c in (self.target, self.piece, self.logq, self.upto)]
 
-    def _build(self, units: list[str]) -> None:
-        """Lattices of units in which every character is a piece of one token."""
-        vocab = self.vocab
-        text = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        lengths = np.array([len(u) for u in units])
+    def _build(self, text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Lattices of units of at most LONGEST characters, each of which is a piece."""
+        n = len(text)
         ends = np.cumsum(lengths)
-        end = np.repeat(ends, lengths)
-        start, h, found = np.arange(len(text)), np.zeros(len(text), np.uint64), []
-        for n, level in enumerate(vocab.levels, 1):
-            inside = start + n <= end[start]
-            start, h = start[inside], _grown(h[inside], text[start[inside] + n - 1])
-            at = np.minimum(np.searchsorted(level.prefix, h), len(level.prefix) - 1)
-            known = level.prefix[at] == h
+        far = (np.repeat(ends, lengths) - np.arange(n)).astype(np.uint8)
+        start, h, found = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64), []
+        for size, level in enumerate(self.vocab.levels, 1):
+            if size > 1:
+                inside = np.flatnonzero(far[start] >= size)
+                start, h = start[inside], h[inside]
+            h = _grown(h, text[start + (size - 1)])
+            at = level.find(h)
+            known = np.flatnonzero(level.prefix[at] == h)
             start, h, at = start[known], h[known], at[known]
             piece = level.piece[at]
-            is_piece = piece >= 0
-            found.append((start[is_piece], np.full(int(is_piece.sum()), n), piece[is_piece], level.weight[at][is_piece]))
+            own = np.flatnonzero(piece >= 0)
+            found.append((size, start[own], piece[own], level.weight[at[own]]))
             if not len(start):
                 break
-        start, size, piece, weight = (np.concatenate(x) for x in zip(*reversed(found), strict=True))
-        order = np.argsort(start, kind="stable")
-        start, size, piece, weight = start[order], size[order], piece[order], weight[order]
-        count = np.bincount(start, minlength=len(text))
-        first = np.append(0, np.cumsum(count))[:-1]
+        # The edges of a node lie together, its longest pieces first.
+        count = np.zeros(n, np.int32)
+        for _, own, _, _ in found:
+            count[own] += 1
+        last = np.cumsum(count)
+        first = last - count
+        place, edges = first.copy(), int(last[-1])
+        weight, pieces, target = np.zeros(edges), np.zeros(edges, np.int32), np.zeros(edges, np.int32)
+        for size, own, piece, chance in reversed(found):
+            to = place[own]
+            place[own] += 1
+            weight[to], pieces[to], target[to] = chance, piece, np.where(far[own] == size, n, own + size)
         # Totals from the last character of each unit to its first, the same place from the end in all units at once.
-        total = np.zeros(len(text) + 1)
-        over = start + size == end[start]
-        far = end - np.arange(len(text))
         nodes = np.argsort(far, kind="stable")
-        cuts = np.searchsorted(far[nodes], np.arange(1, int(lengths.max()) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = nodes[a:b]
-            n = count[own]
-            last = np.cumsum(n)
-            edges = np.repeat(first[own] - (last - n), n) + np.arange(int(last[-1]))
-            w = weight[edges] + np.where(over[edges], 0.0, total[start[edges] + size[edges]])
-            top = np.maximum.reduceat(w, last - n)
-            total[own] = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, n)), last - n))
-        logq = weight + np.where(over, 0.0, total[start + size]) - total[start]
-        chance = np.exp(logq)
-        run = np.cumsum(chance)
-        upto = run - (run - chance)[first[start]]
-        upto[first + count - 1] = inf
-        base, base_edge = self.first.size, self.piece.size
-        self.root.update(zip(units, (base + ends - lengths).tolist(), strict=True))
-        self.first.extend(base_edge + first)
-        self.count.extend(count)
-        self.target.extend(np.where(over, -1, base + start + size))
-        self.piece.extend(piece)
-        self.logq.extend(logq)
+        own = count[nodes]
+        after = np.cumsum(own)
+        order = np.repeat(first[nodes] - (after - own), own) + np.arange(edges)
+        value, behind = weight[order], target[order]
+        total = np.append(np.zeros(n), 1.0)
+        cuts = np.append(0, np.cumsum(np.bincount(far)[1:])).tolist()
+        heads = np.append(0, np.append(0, after)[cuts[1:]]).tolist()
+        marks = after - own
+        for a, b, low, high in zip(cuts[:-1], cuts[1:], heads[:-1], heads[1:], strict=True):
+            value[low:high] *= total[behind[low:high]]
+            total[nodes[a:b]] = np.add.reduceat(value[low:high], marks[a:b] - low)
+        weight[order] = value
+        chance = weight / np.repeat(total[:n], count)
+        # As whole numbers, so that they don't depend on what lies before.
+        whole = (chance * 2.0**UPTO_BITS).astype(np.int64)
+        run = np.cumsum(whole)
+        upto = (run - np.repeat((run - whole)[first], count)) / 2.0**UPTO_BITS
+        upto[last - 1] = inf
+        base = self.piece.size
+        self.target.extend(np.append(base + first, -1)[target])
+        self.piece.extend(pieces)
+        self.logq.extend(np.log(chance))
         self.upto.extend(upto)
+        return base + first[ends - lengths]
 
     def _node(self, edges: list[tuple[int, int, float]]) -> int:
         """Adds a node with edges (target, piece, log-chance)."""
-        self.first.extend([self.piece.size])
-        self.count.extend([len(edges)])
+        node = self.piece.size
         self.target.extend([e[0] for e in edges])
         self.piece.extend([e[1] for e in edges])
         self.logq.extend([e[2] for e in edges])
         self.upto.extend(np.append(np.cumsum(np.exp([e[2] for e in edges]))[:-1], inf))
-        return self.first.size - 1
-
-    def _build_bytes(self, unit: str) -> None:
-        """The lattice of a unit with characters that are only written in bytes; each byte is a node."""
-        vocab, n = self.vocab, len(unit)
-        if unit.startswith("\0" + SPACE):
-            unit, n = SPACE, 1
-        raw_only = unit == SPACE and n == 1
+        return node
+
+    def _build_one(self, points: list[int]) -> int:
+        """The lattice of a long unit, or one with characters that are only written in bytes; each byte is a node."""
+        vocab, n = self.vocab, len(points)
+        raw_only = points == [MARK]
+        unit = SPACE if raw_only else "".join(map(chr, points))
+        plain = bool(vocab.single[points].all())
         node, after = [-1] * (n + 1), [0.0] * (n + 1)
         for i in range(n - 1, -1, -1):
             edges = []
-            for j in () if raw_only else range(i + 1, min(n, i + vocab.longest) + 1):
+            sizes = range(i + 1, min(n, i + vocab.longest) + 1)
+            for j in () if raw_only else reversed(sizes) if plain else sizes:
                 if found := vocab.pieces.get(unit[i:j]):
                     edges.append((node[j], found[0], found[1] + after[j]))
             if raw_only or unit[i] not in vocab.pieces:
@@ -238,7 +282,7 @@ class Lattices:
             total = top + log(sum(exp(e[2] - top) for e in edges))
             after[i] = total
             node[i] = self._node([(t, p, w - total) for t, p, w in edges])
-        self.root["\0" + SPACE if raw_only else unit] = node[0]
+        return node[0]
 
 
 _lattices: dict[str, Lattices] = {}
@@ -259,12 +303,12 @@ def _step_hash(seed: np.ndarray, step) -> np.ndarray:
 
 def _walk(store, start: np.ndarray, seeds: np.ndarray):
     """Walks down from each start node: (steps of each walk; edges of all steps, walk by walk)."""
-    first, _, target, _, _, upto = store
+    target, _, _, upto = store
     live, node, steps = np.flatnonzero(start >= 0), start[start >= 0], []
     taken = np.zeros(len(start), np.int64)
     while len(live):
         u = _uniform(_step_hash(seeds[live], np.array([len(steps)])))
-        edge = first[node].astype(np.int64)
+        edge = node.astype(np.int64)
         # The first edges of a node are its longest pieces, which are chosen most often.
         on = np.flatnonzero(u >= upto[edge])
         while len(on):
@@ -294,19 +338,20 @@ def _leavings(store, walked, a: np.ndarray, b: np.ndarray, phi: np.ndarray, most
     where it did not, the whole walk is looked at.
     """
     start, seeds, ends, edges, logs, total = walked
-    count, target = store[1:3]
+    target, _, _, upto = store
+    unit_of = np.repeat(np.arange(len(start)), np.diff(ends))
 
     def look(a, b, phi, size):
         at = a[:, None] + np.arange(size)
         inside = at < b[:, None]
         at = np.minimum(at, b[:, None] - 1)
-        unit = np.searchsorted(ends, at, "right") - 1
+        unit = unit_of[at]
         step = at - ends[unit]
         node = np.where(step == 0, start[unit], target[edges[at - (step > 0)]])
         before = phi[:, None] + total[at] - total[a][:, None]
         wait = -np.log(((_step_hash(seeds[unit], step) & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2**32)
         rest = np.log(wait / -np.expm1(np.minimum(logs[at], -1e-15))) - before
-        rest = np.where(inside & (count[node] > 1), rest, inf)
+        rest = np.where(inside & (upto[node] < inf), rest, inf)
         order = np.argpartition(rest, most - 1, axis=1)[:, :most] if size > most else np.broadcast_to(np.arange(size), rest.shape)
         own = np.arange(len(a))[:, None]
         return order, unit[own, order], node[own, order], before[own, order], rest[own, order]
@@ -324,22 +369,18 @@ def sample_texts(texts: list[str], keys: np.ndarray, path: str = MODEL, k: int =
     """For each text a list of at most k (piece ids, log-probability, inclusion score), the first found first."""
     vocab = vocabulary(path)
     lattices = _lattices.setdefault(path, Lattices(vocab))
-    units, sizes = [], []
-    for t in texts:
-        own = vocab.unit.findall(SPACE + t.replace(" ", SPACE)) if t and SPACE not in t else _marked_units(vocab, t)
-        units += own
-        sizes.append(len(own))
-    roots = lattices.roots(units)
+    points, begins, sizes = _units(vocab, texts)
+    roots = lattices.roots(points, begins)
     store = lattices.arrays()
-    piece, logq = store[3:5]
+    piece, logq = store[1:3]
     edge_of = np.append(0, np.cumsum(sizes))
     row = np.repeat(np.arange(len(texts)), sizes)
-    number = np.arange(len(units)) - edge_of[row]
+    number = np.arange(len(begins)) - edge_of[row]
     key = keys.astype(np.uint64)[row] + number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
     found: list[list] = [[] for _ in texts]
     open_: list[list] = [[] for _ in texts]
-    # A walk: text, its score, log-probability and edges so far, first unit, the node that it starts at.
+    # A walk: text, its score, log-probability and pieces so far, first unit, the node that it starts at.
     walks = [(i, _root_score(int(keys[i])), 0.0, np.zeros(0, np.int32), 0, -2) for i in range(len(texts)) if sizes[i]]
     for i in range(len(texts)):
         if not sizes[i]:
@@ -358,35 +399,47 @@ def sample_texts(texts: list[str], keys: np.ndarray, path: str = MODEL, k: int =
         taken, edges = _walk(store, start, seeds)
         ends = np.append(0, np.cumsum(taken))
         logs = logq[edges]
-        total = np.append(0.0, np.cumsum(logs))
+        total = np.zeros(len(logs) + 1)
+        np.cumsum(logs, out=total[1:])
+        ids = piece[edges]
         cuts = ends[heads]
         leavings = _leavings(store, (start, seeds, ends, edges, logs, total), cuts[:-1], cuts[1:], np.array([w[2] for w in walks]), k + 1 - turn)
         again = []
         for w, (i, score, phi, prefix, _, _) in enumerate(walks):
             a, b = int(cuts[w]), int(cuts[w + 1])
-            path_edges = np.concatenate([prefix, edges[a:b]])
+            path = np.concatenate([prefix, ids[a:b]])
             # What is left at a node has the score of a Gumbel of its mass, cut off at the score of the node.
             for s, unit, node, before, rest in zip(*(c.tolist() for c in leavings[w]), strict=True):
                 if rest < inf:
                     minus = _log_add(-score, rest)
-                    heapq.heappush(open_[i], (minus, len(open_[i]) + 1000 * turn, before, len(prefix) + s, int(which[unit]), node, (int(edges[a + s]),), path_edges))
-            found[i].append((path_edges, phi + float(total[b] - total[a]), 0.0))
+                    heapq.heappush(open_[i], (minus, len(open_[i]) + 1000 * turn, before, len(prefix) + s, int(which[unit]), node, (int(edges[a + s]),), path))
+            found[i].append((path, phi + float(total[b] - total[a]), 0.0))
             if turn + 1 < k and open_[i]:
                 again.append(_branch(open_[i], i, int(edge_of[i]), store, int(keys[i]), turn))
         walks = again
     out = []
     for i, samples in enumerate(found):
         kappa = -open_[i][0][0] if open_[i] else -inf
-        out.append([(piece[e], p, 1.0 if kappa == -inf else -expm1(-exp(min(p - kappa, 700.0)))) for e, p, _ in samples])
+        out.append([(e, p, 1.0 if kappa == -inf else -expm1(-exp(min(p - kappa, 700.0)))) for e, p, _ in samples])
     return out
 
 
-def _marked_units(vocab: Vocabulary, text: str) -> list[str]:
-    """Units of a text that holds the sign for a space itself: there it is a unit of its own, written in bytes."""
-    own = []
-    for n, part in enumerate(re.split(f"({SPACE})", text)):
-        own += ["\0" + SPACE] if n % 2 else vocab.unit.findall((SPACE if not n and text else "") + part.replace(" ", SPACE))
-    return own
+def _units(vocab: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of all texts, with a sign for a space before each that has any; where units begin; and how many of them each text has.
+
+    A unit is a run of characters of pieces with the spaces before it, a run of spaces, or another character. A text's own sign for a space is one.
+    """
+    marked = [" " + t if t else "" for t in texts]
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.where(points == ord(SPACE), np.uint32(MARK), points)
+    points[points == 32] = ord(SPACE)
+    heads = np.append(0, np.cumsum([len(t) for t in marked]))
+    kind = vocab.kind[points]
+    opens = kind == ALONE
+    opens[1:] |= (kind[:-1] == ALONE) | ((kind[1:] == BLANK) & (kind[:-1] == INSIDE))
+    opens[heads[:-1][np.diff(heads) > 0]] = True
+    begins = np.flatnonzero(opens)
+    return points, begins, np.diff(np.searchsorted(begins, heads))
 
 
 def _chances(seed: int) -> tuple[float, float]:
@@ -410,10 +463,12 @@ def _root_score(key: int) -> float:
 
 def _branch(heap: list, i: int, first_unit: int, store, key: int, turn: int):
     """Takes the best open node: one of its children that are left, by their chances, and what then is left is open again."""
-    minus, _, before, place, unit, node, gone, path_edges = heapq.heappop(heap)
-    first, count, target, _, logq, _ = store
-    low = int(first[node])
-    logs = logq[low : low + int(count[node])].tolist()
+    minus, _, before, place, unit, node, gone, path = heapq.heappop(heap)
+    target, piece, logq, upto = store
+    low = last = node
+    while upto[last] < inf:
+        last += 1
+    logs = logq[low : last + 1].tolist()
     own = [(low + n, exp(x)) for n, x in enumerate(logs) if low + n not in gone]
     u, v = _chances(key + (turn + 1) * 0x27D4EB2F165667C5 + place * 0x9E3779B97F4A7C15)
     rest = sum(x for _, x in own)
@@ -425,8 +480,8 @@ def _branch(heap: list, i: int, first_unit: int, store, key: int, turn: int):
             break
     rest -= chance
     if len(own) > 1 and rest > 0:
-        heapq.heappush(heap, (_log_add(minus, log(-log(v)) - before - log(rest)), len(heap) + 1000 * (turn + 1), before, place, unit, node, (*gone, child), path_edges))
-    prefix = np.append(path_edges[:place], np.int32(child))
+        heapq.heappush(heap, (_log_add(minus, log(-log(v)) - before - log(rest)), len(heap) + 1000 * (turn + 1), before, place, unit, node, (*gone, child), path))
+    prefix = np.append(path[:place], piece[child])
     return i, -minus, before + logs[child - low], prefix, unit - first_unit, int(target[child])
 
 

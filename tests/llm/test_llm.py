@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import subprocess
+import sys
 import tracemalloc
 from collections import Counter, defaultdict
 from functools import cache
@@ -789,3 +791,21 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in seen.select("doc_id").collect()} <= kept
     got = P.run(spark, SF)
     assert got.filter("not round_trip").count() == 0 and got.select("doc_id").distinct().count() == seen.select("doc_id").distinct().count()
+
+
+def test_sampling_takes_little_memory():
+    """A worker that samples 4 MB of words that hardly repeat grows by less than 170 MB (model and libraries not counted)."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from cuewright.llm import pieces
+pieces.vocabulary(pieces.MODEL)
+draw, letters = np.random.default_rng(5), np.array(list("etaoinshrdlu"))
+texts = ["".join(np.where(draw.random(3000) < 0.15, " ", letters[draw.integers(12, size=3000)])) for _ in range(1400)]
+batch = pa.record_batch({"doc_id": pa.array(range(1400), pa.int64()), "text": texts, "row_key": pa.array(range(1400), pa.int64())})
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+before = peak()
+assert sum(b.num_rows for b in pieces._encode(pieces.MODEL, 4, True)(iter([batch]))) == 5600
+print(peak() - before)
+"""
+    grown = float(subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True).stdout)
+    assert grown < 170
