@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -42,9 +41,11 @@ MARK = 0x110000
 ALONE, BLANK, INSIDE = range(3)
 #: Longer units have their lattices built one by one: the products of their chances may leave the range of numbers.
 LONGEST = 48
+#: Bits behind the point of chances that are summed.
 UPTO_BITS = 36
 #: Edges of kept lattices; the store starts anew beyond that.
 MOST_EDGES = 3_000_000
+#: Edges that a column has room for at first; one chunk may go beyond the bound.
 ROOM = MOST_EDGES + (1 << 21)
 
 
